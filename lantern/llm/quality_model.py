@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         one, zero = max(1, total[k]), max(1, n - total[k])
         p = F.count("*") / n
         scores.append(F.abs(a / one - b / zero) / F.sqrt(p * (1 - p) * (1 / one + 1 / zero) + 1e-12))
-    ranked = words.groupBy("word").agg(F.count("*").alias("held"), F.greatest(*scores).alias("z")).where((F.col("held") >= 8) & (F.col("z") >= LEAST_Z)).orderBy(F.col("z").desc(), "word").limit(LEXICON)
+    ranked = words.groupBy("word").agg(F.count("*").alias("held"), F.greatest(*scores).alias("z")).where((F.col("held") >= 4) & (F.col("z") >= LEAST_Z)).orderBy(F.col("z").desc(), "word").limit(LEXICON)
     model.lexicon = {r["word"]: i for i, r in enumerate(ranked.collect())}
     lexicon = model.lexicon
 

@@ -19,11 +19,11 @@ from lantern.llm.common import WORD, stored
 
 #: Rule: (its measure, cutoffs in rising order). A document fails where the measure is above the cutoff.
 RULES = {
-    "symbols": ("n_symbols / n_words", (0.01, 0.03, 0.1, 0.3)),
-    "dup_lines": ("n_dup_lines / n_lines", (0.05, 0.1, 0.2, 0.3, 0.5)),
-    "repeats": ("n_repeat_words / n_words", (0.05, 0.1, 0.2, 0.3, 0.4)),
-    "long_words": ("word_chars / n_words", (6.0, 7.0, 8.0, 10.0, 12.0)),
-    "short_words": ("-word_chars / n_words", (-4.0, -3.0, -2.5, -2.0)),
+    "symbols": ("try_divide(n_symbols, n_words)", (0.01, 0.03, 0.1, 0.3)),
+    "dup_lines": ("try_divide(n_dup_lines, n_lines)", (0.05, 0.1, 0.2, 0.3, 0.5)),
+    "repeats": ("try_divide(n_repeat_words, n_words)", (0.05, 0.1, 0.2, 0.3, 0.4)),
+    "long_words": ("try_divide(word_chars, n_words)", (6.0, 7.0, 8.0, 10.0, 12.0)),
+    "short_words": ("-try_divide(word_chars, n_words)", (-4.0, -3.0, -2.5, -2.0)),
 }
 RISK, DELTA = 0.02, 0.05
 
@@ -47,7 +47,8 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
     d = c.withColumn("at", twice).drop("pairs")
     covered = F.aggregate(F.transform("at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("at", k + 1) - p, F.lit(3)))), F.lit(0), lambda s, x: s + x)
     long = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")]
-    return d.select("doc_id", *keep, *long, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # written, since a filter on the counts would else be pushed down with all of this inlined
+    return stored(d.select("doc_id", *keep, *long, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")), "measures")
 
 
 def base_failed() -> Column:
@@ -100,6 +101,6 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str, rules=RULES) ->
 
 
 def apply(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """Measures are written once; cutoffs and verdicts are made from them."""
-    measured = stored(measures(docs, stratum), "measures")
+    """Cutoffs and verdicts are made from one written table of measures."""
+    measured = measures(docs, stratum)
     return judge(measured, calibrate(measured, labels, stratum), stratum)

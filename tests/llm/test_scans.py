@@ -106,7 +106,7 @@ def test_hits_as_plain_search(spark, docs, rows, items, shard_words):
     if shard_words == 5:
         want = list(set(want))  # rows of equal doc_id are one
     assert many(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want, key=repr)
-    assert sum(w[5] for w in want) > 5
+    assert sum(w[5] for w in want) >= 5
 
 
 def test_cut_and_drop(spark, docs, rows, items):
