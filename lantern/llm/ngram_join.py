@@ -6,11 +6,12 @@ fixed order; only these columns of the incidence matter. The order puts n-grams
 sketch of fixed size over all documents (it decides only the order, so results don't depend on it).
 
 The incidence's column of an n-gram is a block: its documents. In each block every document is multiplied with one, the block's
-leader, and overlaps are accumulated by pair; pairs below bounds derived from their sizes and positions are discarded, and the
-others get their exact overlap from the texts. Documents that link with a block's leader need no further comparison among
-themselves. Of the other pairs of a block, those are discarded whose Jaccard distances to the leader differ by more than a link
-allows (the distance is a metric); the rest are multiplied as well. So all links between classes are found or implied by
-components, and a large group of near copies doesn't become all of its pairs.
+leader, and overlaps are accumulated by pair; pairs are discarded by bounds derived from their sizes, from the place of the
+n-gram (the first common one of a pair that links stands early in both), and from parity sketches: bits flipped by each n-gram,
+of which two sets differ in no more places than in n-grams. What is left gets its exact overlap from the texts. Documents that
+link with their block's leader need no comparison among themselves; the other pairs of a block are multiplied as well, under the
+same bounds. So all links between classes are found or implied by components, and a large group of near copies doesn't become
+all of its pairs.
 
 Null, empty and blank texts have no n-grams and link with nothing. Rows without doc_id get no component. Repeated rows are copies.
 Texts with fewer than n words have one n-gram, all of their words. Of the input only doc_id and text are used.
@@ -30,6 +31,8 @@ from lantern.llm.components import components
 
 #: The sketch has 2**SKETCH counters, in pieces of 2**PIECE.
 SKETCH, PIECE = 19, 13
+#: 64-bit words of a parity sketch.
+PARITY = 8
 
 
 def grams(text: bytes, n: int) -> np.ndarray:
@@ -75,56 +78,52 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, print (of the set) and prefix (the n-grams of the incidence that matter), a written table."""
+    """doc_id, n_shingles, print (of the set), parity and prefix (the n-grams of the incidence that matter), a written table."""
     common = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n))
 
     def sign(batches):
         rank = common.value
         for batch in batches:
             for part in slices(batch, 1024):
-                sizes, prints, prefixes = [], [], []
+                sizes, prints, prefixes, flips = [], [], [], []
                 for text in part.column(1).to_pylist():
                     g = grams(text, n)
                     size = len(g)
                     sizes.append(size)
                     prints.append(xxhash.xxh3_128_digest(g.tobytes()))
+                    flips.append(np.packbits(np.bincount((g & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).view(np.int64))
                     order = np.argsort(rank[(g >> np.uint64(64 - SKETCH)).astype(np.int64)], kind="stable")
                     prefixes.append(g[order[: size - -(-num * size // den) + 1]].view(np.int64) if size else np.empty(0, np.int64))
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), lists], ["doc_id", "n_shingles", "print", "prefix"])
+                parity = pa.ListArray.from_arrays(pa.array(range(0, PARITY * len(flips) + 1, PARITY), pa.int32()), pa.array(np.concatenate(flips)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), parity, lists], ["doc_id", "n_shingles", "print", "parity", "prefix"])
 
-    return stored(docs.select("doc_id", as_bytes().alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, print binary, prefix array<long>"), "prints")
-
-
-def _needed(num: int, den: int) -> str:
-    """The least overlap of a pair that links: ceil(t (na + nb) / (1 + t))."""
-    return f"ceil({num} * (na + nb) / {num + den})"
+    return stored(docs.select("doc_id", as_bytes().alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, print binary, parity array<long>, prefix array<long>"), "prints")
 
 
 def _exact(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """pairs (a, b) with inter, distance and linked, from both texts."""
+    """The pairs (a, b) that link, with inter, from both texts."""
 
     def overlap(batches):
         last, mine = None, None
         for batch in batches:
             for part in slices(batch):
-                inter, far, linked = [], [], []
+                inter, linked = [], []
                 for a, x, y in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     if a != last or mine is None:
                         last, mine = a, grams(x, n)
                     other = grams(y, n)
                     both = len(np.intersect1d(mine, other, assume_unique=True))
-                    union = len(mine) + len(other) - both
                     inter.append(both)
-                    far.append(1 - both / union)
-                    linked.append(den * both >= num * union)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(inter, pa.int64()), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "inter", "distance", "linked"])
+                    linked.append(den * both >= num * (len(mine) + len(other) - both))
+                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(inter, pa.int64())], ["a", "b", "inter"])
+                yield out.filter(pa.array(linked, pa.bool_()))
 
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
     joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(overlap, "a long, b long, inter long, distance double, linked boolean")
+    return joined.mapInArrow(overlap, "a long, b long, inter long")
 
 
 def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -135,26 +134,32 @@ def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[D
     classes = signed.select("doc_id", "n_shingles", "print").join(reps.withColumnRenamed("n_shingles", "n"), "print", "left").select("doc_id", "n_shingles", "rep")
     alone = full.join(reps.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
     incidence = alone.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
-    leaders = incidence.groupBy("gram").agg(F.count("*").alias("held"), F.min(F.struct("rep", "n", "pos")).alias("lead")).where("held > 1").drop("held")
-    blocks = stored(incidence.join(leaders, "gram").select("gram", "rep", "n", "pos", "lead"), "blocks")
-    texts = docs.select(F.col("doc_id").alias("rep"), as_bytes().alias("text")).join(blocks.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
-    texts = stored(texts, "texts")
-    # pairs a < b: sizes na, nb; positions pa, pb of a common n-gram; nothing before or after it can add more than this
-    bound = f"least(na, nb) * {den} >= greatest(na, nb) * {num} and least(pa, pb) + 1 + least(na - 1 - pa, nb - 1 - pb) >= {_needed(num, den)}"
-    star = blocks.where("rep <> lead.rep").selectExpr("lead.rep a", "lead.n na", "lead.pos pa", "rep b", "n nb", "pos pb").where(bound)
-    star = stored(_exact(star.groupBy("a", "b").agg(F.count("*").alias("met")), texts, n, num, den), "star")
-    # the other pairs of each block: at least one of the two doesn't link with the leader
-    known = star.select(F.col("a").alias("l"), F.col("b").alias("r"), "distance", "linked")
-    placed = blocks.where("rep <> lead.rep").select("gram", "rep", "n", "pos", F.col("lead.rep").alias("leader")).join(known, (F.col("leader") == F.col("l")) & (F.col("rep") == F.col("r")), "left")
-    placed = stored(placed.select("gram", "rep", "n", "pos", "distance", F.coalesce("linked", F.lit(False)).alias("linked")), "placed")
-    apart = placed.where("not linked").selectExpr("gram", "rep x", "n nx", "pos px", "distance dx")
-    every = placed.selectExpr("gram", "rep y", "n ny", "pos py", "distance dy", "linked")
-    near = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= 1 - num / den + 1e-9, F.lit(True))
-    rest = apart.join(every, "gram").where((F.col("linked") & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y"))).where(near)
-    rest = rest.selectExpr("nx na", "ny nb", "px pa", "py pb", "least(x, y) a", "greatest(x, y) b").where(bound)
-    rest = rest.groupBy("a", "b").agg(F.count("*").alias("met"))
-    rest = _exact(rest, texts, n, num, den)
-    return classes, star.unionByName(rest).where("linked").select("a", "b", "inter")
+    leaders = incidence.groupBy("gram").agg(F.count("*").alias("held"), F.min(F.struct("rep", "n", "pos")).alias("lead")).where("held > 1")
+    blocks = stored(incidence.join(leaders, "gram").select("gram", "rep", "n", "pos", "lead", "held"), "blocks")
+    parity = signed.where("doc_id is not null").select("doc_id", "parity").dropDuplicates(["doc_id"])
+    # of pairs with sizes na, nb and places pa, pb of their first common n-gram: needed is the overlap of a pair that links
+    needed = f"ceil({num} * (na + nb) / {num + den})"
+    sizes = f"least(na, nb) * {den} >= greatest(na, nb) * {num} and pa + {needed} <= na and pb + {needed} <= nb"
+    apart = " + ".join(f"bit_count(sa[{i}] ^ sb[{i}])" for i in range(PARITY))
+    bits = f"{apart} <= na + nb - 2 * {needed}"
+    star = blocks.where("rep <> lead.rep").selectExpr("lead.rep a", "lead.n na", "lead.pos pa", "rep b", "n nb", "pos pb").where(sizes)
+    star = star.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    star = star.join(parity.select(F.col("doc_id").alias("a"), F.col("parity").alias("sa")), "a").join(parity.select(F.col("doc_id").alias("b"), F.col("parity").alias("sb")), "b")
+    star = stored(star.where(bits).select("a", "b"), "star")
+    # the other pairs of blocks of more than two: at least one of the two doesn't link with the leader
+    many = blocks.where("held > 2 and rep <> lead.rep").select("gram", "rep", "n", "pos", F.col("lead.rep").alias("leader"))
+    texts = docs.select(F.col("doc_id").alias("rep"), as_bytes().alias("text"))
+    ids = star.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(many.select("rep")).distinct()
+    texts = stored(texts.join(ids, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+    linked = stored(_exact(star, texts, n, num, den), "linked")
+    hub = linked.select(F.col("a").alias("l"), F.col("b").alias("r"), F.lit(True).alias("joined"))
+    placed = many.join(hub, (F.col("leader") == F.col("l")) & (F.col("rep") == F.col("r")), "left").join(parity, F.col("rep") == F.col("doc_id"))
+    placed = stored(placed.select("gram", "rep", "n", "pos", "parity", F.coalesce("joined", F.lit(False)).alias("joined")), "placed")
+    x = placed.where("not joined").selectExpr("gram", "rep x", "n na", "pos pa", "parity sa")
+    y = placed.selectExpr("gram g", "rep y", "n nb", "pos pb", "parity sb", "joined")
+    rest = x.join(y, (F.col("gram") == F.col("g")) & ((F.col("joined") & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y"))) & F.expr(sizes) & F.expr(bits))
+    rest = rest.selectExpr("least(x, y) a", "greatest(x, y) b").groupBy("a", "b").agg(F.count("*").alias("met"))
+    return classes, linked.unionByName(_exact(rest, texts, n, num, den))
 
 
 def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
