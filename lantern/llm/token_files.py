@@ -1,11 +1,12 @@
 """Token-ID files: each document's ids are compressed on their own with one shared zstandard dictionary.
 
-``write`` makes three Parquet datasets under one path, all by Spark's writers, so they may lie in any store it writes to:
+``write`` makes Parquet datasets under one path, all by Spark's writers, so they may lie in any store it writes to:
 
 * ``dictionary``: one row (hash, dictionary). The hash is the sha256 of the dictionary's bytes.
-* ``blocks``: (block, dictionary_hash, data): the frames of about ``BLOCK`` bytes of documents, one after the other.
+* ``blocks``: (block, dictionary_hash, tokens, places, data): the frames of about ``BLOCK`` bytes of documents, one after the
+  other, and their places. Blocks hold documents in ascending doc_id order, nulls first; their numbers ascend too.
 * ``index``: (doc_id, block, offset, bytes, start, n_tokens): where a document's frame lies in its block, and how many ids all
-  documents before it have. Blocks hold documents in ascending doc_id order, nulls first; their numbers ascend too.
+  documents before it have. ``heads``: (block, first): the same for blocks.
 
 A frame holds the ids as little-endian 32-bit integers, grouped by byte (all lowest bytes first): the high bytes are mostly equal,
 so they cost little. ``read`` decodes all documents, ``lookup`` single ones, reading their blocks only.
@@ -19,17 +20,18 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lantern.llm.common import slices, stored
+from lantern.llm.common import slices
 
 SAMPLES, DICTIONARY, BLOCK, LEVEL = 2000, 64 * 1024, 4 << 20, 3
 #: Pieces that a task remembers with their ids.
-MEMORY = 300_000
+MEMORY = 250_000
 END = 2
 _UNSAFE = re.compile(r"\s\s")
 
@@ -37,9 +39,9 @@ _UNSAFE = re.compile(r"\s\s")
 class Encoder:
     """Ids of texts as bytes of little-endian 32-bit integers.
 
-    No token of a byte-level vocabulary spans a single space between two other characters and what stands before it, so a text
-    is cut there and each piece is encoded once while it is remembered. Texts with runs of white space or with an added token's
-    string are encoded whole.
+    No token of a byte-level vocabulary reaches over a line break between two other characters, or from there over a single space,
+    so a text is cut there and each piece is encoded once while it is remembered: the last ``MEMORY`` pieces, and as many before
+    them. Texts with runs of white space or with an added token's string are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,25 +49,61 @@ class Encoder:
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        #: By the string before a piece: its ids, and those of the generation before.
+        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.old: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        (self.line,) = self._ids(["\n"])
+        self.marks = dict(zip(".,!?", self._ids(list(".,!?")), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, cut = self.known, []
+    def _learn(self, before: str, pieces: set[str]) -> dict[str, bytes]:
+        known, old, marks = self.known[before], self.old[before], self.marks
         if len(known) > MEMORY:
-            known.clear()
+            old, known = known, {}
+            self.old[before], self.known[before] = old, known
+        ended, new = [], set()
+        for p in pieces - known.keys():
+            ids = old.get(p)
+            if ids is not None:
+                known[p] = ids
+            elif p[-1:] in marks and p[:-1].isalpha():  # letters and a mark are two tokens' worth
+                ended.append(p)
+                if p[:-1] not in known:
+                    new.add(p[:-1])
+            else:
+                new.add(p)
+        new = [p for p in new if p not in known]
+        known.update(zip(new, self._ids([before + p for p in new]), strict=True))
+        for p in ended:
+            known[p] = known[p[:-1]] + marks[p[-1]]
+        return known
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut, heads, rest = [], set(), set()
         for text in texts:
             if _UNSAFE.search(text) or any(a in text for a in self.added):
                 cut.append(None)
             else:
-                first, *rest = text.split(" ")
-                cut.append([first, *map(" ".__add__, rest)])
-        new = list({p for pieces in cut if pieces for p in pieces if p not in known})
-        known.update(zip(new, self._ids(new), strict=True))
-        whole = iter(self._ids([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        return [next(whole) if pieces is None else b"".join([known[p] for p in pieces]) for pieces in cut]
+                lines = [line.split(" ") for line in text.split("\n")]
+                for words in lines:
+                    heads.add(words[0])
+                    rest.update(words[1:])
+                cut.append(lines)
+        first, later = self._learn("", heads), self._learn(" ", rest)
+        whole = iter(self._ids([t for t, lines in zip(texts, cut, strict=True) if lines is None]))
+        return [next(whole) if lines is None else self.line.join([first[w[0]] + b"".join([later[x] for x in w[1:]]) for w in lines]) for lines in cut]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which serves many tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def serialized(ids: bytes) -> bytes:
@@ -85,10 +123,10 @@ def train(docs: DataFrame, tokenizer: str, end: int = END, samples: int = SAMPLE
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        pieces = encoder(tokenizer)
         for batch in batches:
             for part in slices(batch):
-                ids = encoder.encode(part.column(0).to_pylist())
+                ids = pieces.encode(part.column(0).to_pylist())
                 # one frame's worth of a very long text trains no better than its beginning
                 yield pa.RecordBatch.from_pydict({"ids": pa.array([serialized((x + tail)[: 4 * 2048]) for x in ids], pa.binary())})
 
@@ -112,49 +150,45 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> str:
     spark.createDataFrame([(digest, data)], "hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     shared, tail = spark.sparkContext.broadcast(data), np.array([end], "<u4").tobytes()
 
-    def encode(batches):
-        encoder = Encoder(tokenizer)
+    def pack(batches):
+        """Blocks of a partition, each with the index of its documents."""
+        pieces = encoder(tokenizer)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value), write_content_size=True)
+        rows, held, number = [], 0, 0
         for batch in batches:
             for part in slices(batch):
-                ids = [x + tail for x in encoder.encode(part.column(1).to_pylist())]
-                frames = [packer.compress(serialized(x)) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"])
-
-    frames = stored(_texts(docs).mapInArrow(encode, "doc_id long, n_tokens long, frame binary"), "frames")
-    ranged = frames.repartitionByRange(F.col("doc_id").asc_nulls_first(), "n_tokens").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens")
-
-    def pack(batches):
-        """Blocks of a partition, with their index as one array."""
-        rows, held = [], 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append(row)
-                held += len(row[3])
-                if held >= BLOCK:
-                    yield block(rows)
-                    rows, held = [], 0
+                for doc, ids in zip(part.column(1).to_pylist(), pieces.encode(part.column(2).to_pylist()), strict=True):
+                    frame = packer.compress(serialized(ids + tail))
+                    rows.append((doc, len(ids) // 4 + 1, frame))
+                    held += len(frame)
+                    if held >= BLOCK:
+                        yield block(part.column(0)[0].as_py(), number, rows)
+                        rows, held, number = [], 0, number + 1
+                here = part.column(0)[0].as_py()
         if rows:
-            yield block(rows)
-
-    def block(rows):
-        ends = np.cumsum([0, *(len(r[3]) for r in rows)]).tolist()
-        starts = np.cumsum([0, *(r[2] for r in rows)]).tolist()
-        index = [{"doc_id": r[1], "offset": o, "bytes": len(r[3]), "before": s, "n_tokens": r[2]} for r, o, s in zip(rows, ends, starts, strict=False)]
-        kind = pa.struct([("doc_id", pa.int64()), ("offset", pa.int64()), ("bytes", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int32()), pa.array([b"".join(r[3] for r in rows)], pa.binary()), pa.array([starts[-1]], pa.int64()), pa.array([index], pa.list_(kind))], ["part", "data", "tokens", "index"])
-
-    schema = "part int, data binary, tokens long, index array<struct<doc_id:long,offset:long,bytes:long,before:long,n_tokens:long>>"
-    packed = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "frame").mapInArrow(pack, schema)
-    packed = stored(packed.withColumn("seq", F.monotonically_increasing_id()), "packed")
-    # a row for each block; the ids before it by prefix sums over partitions and then over a partition's blocks
+            yield block(here, number, rows)
+
+    def block(part, number, rows):
+        ends = np.cumsum([0, *(len(r[2]) for r in rows)]).tolist()
+        starts = np.cumsum([0, *(r[1] for r in rows)]).tolist()
+        places = [{"doc_id": r[0], "offset": o, "bytes": len(r[2]), "before": s, "n_tokens": r[1]} for r, o, s in zip(rows, ends, starts, strict=False)]
+        kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("doc_id", "offset", "bytes", "before", "n_tokens")]))
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), pa.array([digest]), pa.array([starts[-1]], pa.int64()), pa.array([places], kind), pa.array([b"".join(r[2] for r in rows)], pa.binary())], ["block", "dictionary_hash", "tokens", "places", "data"])
+
+    order = F.col("doc_id").asc_nulls_first()
+    ranged = _texts(docs).repartitionByRange(order, F.xxhash64("text")).sortWithinPartitions(order)
+    schema = "block long, dictionary_hash string, tokens long, places array<struct<doc_id:long,offset:long,bytes:long,before:long,n_tokens:long>>, data binary"
+    ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(pack, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    blocks = spark.read.schema(schema).parquet(f"{path}/blocks")
+    # the ids before a block, by prefix sums over partitions and then over a partition's blocks: a row for each block
+    heads = blocks.select("block", "tokens", F.shiftright("block", 32).alias("part"))
     every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = packed.groupBy("part").agg(F.sum("tokens").alias("n")).select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(every), F.lit(0)).alias("before_part"))
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    heads = packed.select("part", "seq", "tokens").join(totals, F.col("part") == F.col("p")).select(F.col("seq").alias("block"), (F.col("before_part") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).alias("first"))
-    packed.select(F.col("seq").alias("block"), F.lit(digest).alias("dictionary_hash"), "data").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
-    index = packed.select("seq", F.explode("index").alias("i")).join(heads, F.col("seq") == F.col("block"))
+    totals = heads.groupBy("part").agg(F.sum("tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(every), F.lit(0)).alias("sooner"))
+    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.join(totals, "part").select("block", (F.col("sooner") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).alias("first"))
+    index = blocks.select("block", F.explode("places").alias("i")).join(heads, "block")
     index.select("i.doc_id", "block", "i.offset", "i.bytes", (F.col("first") + F.col("i.before")).alias("start"), "i.n_tokens").write.parquet(f"{path}/index")
+    heads.write.parquet(f"{path}/heads")
     return digest
 
 
@@ -166,47 +200,44 @@ def _opened(spark: SparkSession, path: str) -> tuple[str, bytes]:
     return row["hash"], data
 
 
-def _decoded(spark: SparkSession, path: str, index: DataFrame, each, schema: str, names: list[str]) -> DataFrame:
-    """Joins ``index`` with its blocks and calls each(ids) for every document; schema has what it gives."""
+def _decoded(spark: SparkSession, path: str, blocks: DataFrame, each, schema: str, names: list) -> DataFrame:
+    """Decodes blocks where they are read and calls each(ids) for every document; schema has what it gives. Blocks aren't shuffled."""
     digest, data = _opened(spark, path)
     shared = spark.sparkContext.broadcast(data)
-    blocks = spark.read.parquet(f"{path}/blocks")
-    places = index.groupBy("block").agg(F.collect_list(F.struct("doc_id", "offset", "bytes", "start", "n_tokens")).alias("docs"))
-    joined = blocks.join(places, "block").select("dictionary_hash", "data", "docs")
 
     def run(batches):
         opener = zstandard.ZstdDecompressor(dict_data=_dictionary(shared.value))
         for batch in batches:
             for part in slices(batch, 1):
-                (held,), (blob,), (docs,) = (c.to_pylist() for c in part.columns)
+                (number,), (held,), (places,), (blob,) = (c.to_pylist() for c in part.columns)
                 if held != digest:
                     raise ValueError("a block was written with another dictionary")
                 rows = []
-                for d in docs:
+                for d in places:
                     ids = deserialized(opener.decompress(blob[d["offset"] : d["offset"] + d["bytes"]]))
                     if len(ids) != d["n_tokens"]:
                         raise ValueError(f"document {d['doc_id']} has {len(ids)} ids, its index {d['n_tokens']}")
-                    rows.append({"doc_id": d["doc_id"], "start": d["start"], "n_tokens": len(ids), **each(ids)})
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), *names]))
+                    rows.append({"doc_id": d["doc_id"], "block": number, "before": d["before"], "n_tokens": len(ids), **each(ids)})
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*((k, pa.int64()) for k in ("doc_id", "block", "before", "n_tokens")), *names]))
 
-    return joined.mapInArrow(run, f"doc_id long, start long, n_tokens long, {schema}")
+    decoded = blocks.select("block", "dictionary_hash", "places", "data").mapInArrow(run, f"doc_id long, block long, before long, n_tokens long, {schema}")
+    heads = spark.read.parquet(f"{path}/heads")
+    return decoded.join(heads, "block").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", *(n[0] for n in names))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids."""
-    index = spark.read.parquet(f"{path}/index")
-    return _decoded(spark, path, index, lambda ids: {"ids": ids.tolist()}, "ids array<long>", [("ids", pa.list_(pa.int64()))])
+    return _decoded(spark, path, spark.read.parquet(f"{path}/blocks"), lambda ids: {"ids": ids.tolist()}, "ids array<long>", [("ids", pa.list_(pa.int64()))])
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """The same for single documents."""
-    index = spark.read.parquet(f"{path}/index").where(F.col("doc_id").isin(doc_ids))
-    wanted = [r["block"] for r in index.select("block").distinct().collect()]
-    index = index.where(F.col("block").isin(wanted))
-    return _decoded(spark, path, index, lambda ids: {"ids": ids.tolist()}, "ids array<long>", [("ids", pa.list_(pa.int64()))])
+    """The same for single documents; only their blocks and frames are opened."""
+    found = spark.read.parquet(f"{path}/index").where(F.col("doc_id").isin(doc_ids)).select("block").distinct().collect()
+    blocks = spark.read.parquet(f"{path}/blocks").where(F.col("block").isin([r["block"] for r in found]))
+    blocks = blocks.withColumn("places", F.filter("places", lambda p: p["doc_id"].isin(doc_ids)))
+    return _decoded(spark, path, blocks, lambda ids: {"ids": ids.tolist()}, "ids array<long>", [("ids", pa.list_(pa.int64()))])
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, from the files."""
-    index = spark.read.parquet(f"{path}/index")
-    return _decoded(spark, path, index, lambda ids: {"ids_crc32": zlib.crc32(ids.tobytes())}, "ids_crc32 long", [("ids_crc32", pa.int64())])
+    return _decoded(spark, path, spark.read.parquet(f"{path}/blocks"), lambda ids: {"ids_crc32": zlib.crc32(ids.tobytes())}, "ids_crc32 long", [("ids_crc32", pa.int64())])
