@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lantern.functions import text as T
-from lantern.plans import catalog
+from lantern.plans import catalog, evidence  # noqa: F401, evidence registers its queries
 from lantern.sources import files
 from lantern.streaming import tasks
 
@@ -50,7 +50,7 @@ def test_ingestion_adds_each_key_once(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == list(range(8))
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "retrieval_metrics", "doc_round_robin", "tag_lift", "line_chunks"])
+@pytest.mark.parametrize("name", ["bm25_topk", "retrieval_metrics", "doc_round_robin", "tag_lift", "line_chunks", "soft_hard_filter", "cross_query_fusion", "region_overlap", "cross_page_tables", "crash_recovery", "answer_metrics"])
 def test_queries_as_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "labels", "lineitem", "events"):
