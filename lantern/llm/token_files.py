@@ -24,6 +24,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -31,17 +32,20 @@ from lantern.llm.common import slices
 
 SAMPLES, DICTIONARY, BLOCK, LEVEL = 2000, 64 * 1024, 4 << 20, 3
 #: Pieces that a task remembers with their ids.
-MEMORY = 250_000
+MEMORY = 500_000
+#: New pieces that are encoded as one text.
+TOGETHER = 256
 END = 2
 _UNSAFE = re.compile(r"\s\s")
 
 
 class Encoder:
-    """Ids of texts as bytes of little-endian 32-bit integers.
+    """Ids of texts as arrays of little-endian 32-bit integers.
 
     No token of a byte-level vocabulary reaches over a line break between two other characters, or from there over a single space,
     so a text is cut there and each piece is encoded once while it is remembered: the last ``MEMORY`` pieces, and as many before
-    them. Texts with runs of white space or with an added token's string are encoded whole.
+    them. A batch's distinct pieces are found and put together by Arrow and numpy. New pieces are encoded many at a time with line
+    breaks between them. Texts with runs of white space or with an added token's string are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,22 +53,33 @@ class Encoder:
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: By the string before a piece: its ids, and those of the generation before.
-        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
-        self.old: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        #: Ids by piece, and those of the generation before. A piece begins with its line break, or follows a space.
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         (self.line,) = self._ids(["\n"])
         self.marks = dict(zip(".,!?", self._ids(list(".,!?")), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, before: str, pieces: set[str]) -> dict[str, bytes]:
-        known, old, marks = self.known[before], self.old[before], self.marks
-        if len(known) > MEMORY:
-            old, known = known, {}
-            self.old[before], self.known[before] = old, known
+    def _many(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without line breaks, a few hundred in one text each time."""
+        out, line = [], int.from_bytes(self.line, "little")
+        runs = ["\n".join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)]
+        for ids in self._ids(runs):
+            cuts = (np.flatnonzero(np.frombuffer(ids, "<u4") == line) * 4).tolist()
+            out += [ids[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(ids)], strict=True)]
+        return out
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        if len(self.known) > MEMORY:
+            self.old, self.known = self.known, {}
+        known, old, marks = self.known, self.old, self.marks
         ended, new = [], set()
-        for p in pieces - known.keys():
+        for p in pieces:
+            if p in known:
+                continue
             ids = old.get(p)
             if ids is not None:
                 known[p] = ids
@@ -74,26 +89,35 @@ class Encoder:
                     new.add(p[:-1])
             else:
                 new.add(p)
-        new = [p for p in new if p not in known]
-        known.update(zip(new, self._ids([before + p for p in new]), strict=True))
+        heads, rest, alone = [], [], []
+        for p in new:
+            if not p or p[-1].isspace() or p[0].isspace() and (p[0] != "\n" or p[1:2].isspace()):
+                alone.append(p)  # would touch the line break beside it
+            else:
+                (heads if p[0] == "\n" else rest).append(p)
+        known.update(zip(alone, self._ids([p if p[:1] == "\n" else " " + p for p in alone]), strict=True))
+        known.update(zip(heads, [self.line + ids for ids in self._many([p[1:] for p in heads])], strict=True))
+        known.update(zip(rest, self._many([" " + p for p in rest]), strict=True))
         for p in ended:
             known[p] = known[p[:-1]] + marks[p[-1]]
-        return known
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut, heads, rest = [], set(), set()
-        for text in texts:
-            if _UNSAFE.search(text) or any(a in text for a in self.added):
-                cut.append(None)
-            else:
-                lines = [line.split(" ") for line in text.split("\n")]
-                for words in lines:
-                    heads.add(words[0])
-                    rest.update(words[1:])
-                cut.append(lines)
-        first, later = self._learn("", heads), self._learn(" ", rest)
-        whole = iter(self._ids([t for t, lines in zip(texts, cut, strict=True) if lines is None]))
-        return [next(whole) if lines is None else self.line.join([first[w[0]] + b"".join([later[x] for x in w[1:]]) for w in lines]) for lines in cut]
+        return [known[p] for p in pieces]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        safe = [not _UNSAFE.search(t) and not any(a in t for a in self.added) for t in texts]
+        whole = iter(self._ids([t for t, s in zip(texts, safe, strict=True) if not s]))
+        cut = pa.array(["\n" + t.replace("\n", " \n") for t, s in zip(texts, safe, strict=True) if s], pa.large_string())
+        words = pc.split_pattern(cut, " ")
+        coded = words.flatten().dictionary_encode()
+        ids = self._learn(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts, held = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(ids), "<u4")
+        codes = coded.indices.to_numpy()
+        sizes = lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        every = held[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], sizes)]
+        at = ends[words.offsets.to_numpy()].tolist()
+        parts = iter([every[i + 1 : j] for i, j in zip(at[:-1], at[1:], strict=True)])  # without the line break put before the text
+        return [next(parts) if s else np.frombuffer(next(whole), "<u4") for s in safe]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -106,8 +130,8 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def serialized(ids: bytes) -> bytes:
-    return np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes()
+def serialized(ids: np.ndarray, end: int) -> bytes:
+    return np.append(ids, np.uint32(end)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def deserialized(data: bytes) -> np.ndarray:
@@ -120,7 +144,6 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, tokenizer: str, end: int = END, samples: int = SAMPLES, size: int = DICTIONARY) -> bytes:
     """A dictionary from the ids of a bounded sample; empty where zstandard can't train one (too few ids)."""
-    tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
         pieces = encoder(tokenizer)
@@ -128,7 +151,7 @@ def train(docs: DataFrame, tokenizer: str, end: int = END, samples: int = SAMPLE
             for part in slices(batch):
                 ids = pieces.encode(part.column(0).to_pylist())
                 # one frame's worth of a very long text trains no better than its beginning
-                yield pa.RecordBatch.from_pydict({"ids": pa.array([serialized((x + tail)[: 4 * 2048]) for x in ids], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"ids": pa.array([serialized(x[:2047], end) for x in ids], pa.binary())})
 
     sample = _texts(docs).orderBy(F.xxhash64("doc_id"), "doc_id").limit(samples).select("text")
     rows = [bytes(r["ids"]) for r in sample.repartition(8).mapInArrow(run, "ids binary").collect()]
@@ -148,7 +171,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> str:
     data = train(docs, tokenizer, end)
     digest = hashlib.sha256(data).hexdigest()
     spark.createDataFrame([(digest, data)], "hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    shared, tail = spark.sparkContext.broadcast(data), np.array([end], "<u4").tobytes()
+    shared = spark.sparkContext.broadcast(data)
 
     def pack(batches):
         """Blocks of a partition, each with the index of its documents."""
@@ -158,8 +181,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> str:
         for batch in batches:
             for part in slices(batch):
                 for doc, ids in zip(part.column(1).to_pylist(), pieces.encode(part.column(2).to_pylist()), strict=True):
-                    frame = packer.compress(serialized(ids + tail))
-                    rows.append((doc, len(ids) // 4 + 1, frame))
+                    frame = packer.compress(serialized(ids, end))
+                    rows.append((doc, len(ids) + 1, frame))
                     held += len(frame)
                     if held >= BLOCK:
                         yield block(part.column(0)[0].as_py(), number, rows)
