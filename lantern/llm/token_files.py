@@ -45,7 +45,7 @@ class Encoder:
     No token of a byte-level vocabulary reaches over a line break between two other characters, or from there over a single space,
     so a text is cut there and each piece is encoded once while it is remembered: the last ``MEMORY`` pieces, and as many before
     them. A batch's distinct pieces are found and put together by Arrow and numpy. New pieces are encoded many at a time with line
-    breaks between them. Texts with runs of white space or with an added token's string are encoded whole.
+    breaks between them. Texts that begin with white space, have runs of it or an added token's string are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -103,7 +103,7 @@ class Encoder:
         return [known[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        safe = [not _UNSAFE.search(t) and not any(a in t for a in self.added) for t in texts]
+        safe = [not t[:1].isspace() and not _UNSAFE.search(t) and not any(a in t for a in self.added) for t in texts]
         whole = iter(self._ids([t for t, s in zip(texts, safe, strict=True) if not s]))
         cut = pa.array(["\n" + t.replace("\n", " \n") for t, s in zip(texts, safe, strict=True) if s], pa.large_string())
         words = pc.split_pattern(cut, " ")
