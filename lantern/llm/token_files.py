@@ -18,6 +18,7 @@ A null or empty text is only the end id. Rows of equal doc_id follow each other
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from array import array
@@ -51,6 +52,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Ids by piece, and those of the generation before. A piece begins with its line break, or follows a space.
@@ -77,9 +79,7 @@ class Encoder:
             self.old, self.known = self.known, {}
         known, old, marks = self.known, self.old, self.marks
         ended, new = [], set()
-        for p in pieces:
-            if p in known:
-                continue
+        for p in [p for p in pieces if p not in known]:
             ids = old.get(p)
             if ids is not None:
                 known[p] = ids
