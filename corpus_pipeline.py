@@ -20,8 +20,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any run of ten words of a benchmark item go; no part of them is trained on."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=10, coverage_limit=0.0)
+    """Runs of ten words and more of a benchmark item are cut; a document of which more than a tenth is hit goes. Shorter items don't count."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=10, length_limit=10, coverage_limit=0.1, short=False)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,14 +34,17 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Items:
-    """The automaton of some items, and which of them have a window."""
+    """The automaton of some items, and which of them have a window. Without ``short``, items of fewer than n words have none."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int) -> None:
+    def __init__(self, items: list[tuple[str, bytes]], n: int, short: bool = True) -> None:
         self.n, self.vocab = n, {}
         self.automaton = SuffixAutomaton()
         self.windows: dict[tuple[int, ...], list[str]] = defaultdict(list)
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words(text)]
+            found = words(text)
+            if len(found) < n and not short:
+                continue
+            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in found]
             self.automaton.add(ids, 0)
             m = min(n, len(ids))
             for window in {tuple(ids[i : i + m]) for i in range(len(ids) - m + 1)} if ids else ():
@@ -137,11 +140,13 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, length_limit: int = 10, coverage_limit: float = 0.0, shard_words: int = 1_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, length_limit: int = 10, coverage_limit: float = 0.0, shard_words: int = 1_000_000, short: bool = True) -> DataFrame:
     """docs, with the hit spans of at least ``length_limit`` words cut out of the texts, without those that are covered beyond a limit.
 
     A document of which more than the share ``coverage_limit`` of the words is hit goes as a whole. Spans shorter than
-    ``length_limit`` (windows of short items) stay in the text but count as coverage. n_chars follows the text where there is one.
+    ``length_limit`` (windows of short items) stay in the text but count as coverage; without ``short``, items of fewer than n
+    words are left out altogether. The words on both sides of a cut are not matched again as one run. n_chars follows the text
+    where there is one.
     """
     schema, names = docs.schema, docs.columns
     at = names.index("text")
@@ -151,7 +156,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, length_limit:
         shared = spark.sparkContext.broadcast(items_of)
 
         def run(batches, shared=shared):
-            known = Items(shared.value, n)
+            known = Items(shared.value, n, short)
             for batch in batches:
                 for part in slices(batch):
                     keep, texts = [], []
