@@ -4,10 +4,10 @@ Words are runs of ASCII letters and digits and of all other non-ASCII characters
 consecutive words of an item; an item of fewer words, but not none, is one window. The automaton of all items is built from a
 broadcast list; each document's words are streamed through it, and where the longest matching length reaches a window's, its
 words are hit. The list is broadcast in shards of at most ``shard_words`` words; with more than one shard the documents are
-streamed once for each and the hits are joined.
+written once with a key for each row, streamed once for each shard, and the hits are joined by that key.
 
-Null and empty texts have no words. Items with equal texts all occur. Null item ids are shown as "null". Documents with equal
-doc_id are taken for copies of one when there is more than one shard. Of the inputs only doc_id, text, item_id are used.
+Null and empty texts have no words. Items with equal texts all occur. Null item ids are shown as "null". Each row of the documents
+stands for itself, whatever its doc_id. Of the inputs only doc_id, text, item_id are used.
 """
 
 from __future__ import annotations
@@ -81,18 +81,37 @@ class Items:
         return len(found), [(a, b) for a, b in spans], items
 
 
-def _stream(docs: DataFrame, items: list, n: int) -> DataFrame:
+def _stream(docs: DataFrame, items: list, n: int, key: str = "doc_id", short: bool = True, all_rows: bool = True) -> DataFrame:
+    """The hits of each row as SCHEMA says, named by ``key``; of the rows that are hit only, unless ``all_rows``."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
-        known = Items(shared.value, n)
+        known = Items(shared.value, n, short)
         for batch in batches:
             for part in slices(batch):
                 rows = [known.hits(t) for t in part.column(1).to_pylist()]
                 spans = pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), spans, pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+                out = pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), spans, pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))], [key, "n_words", "spans", "items"])
+                yield out if all_rows else out.filter(pa.array([bool(r[1]) for r in rows], pa.bool_()))
 
-    return docs.select("doc_id", as_bytes().alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(key, as_bytes().alias("text")).mapInArrow(run, SCHEMA.replace("doc_id", key, 1))
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of its own for each row, written so that it stays, and the key's name."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
+def _joined(parts: list[DataFrame], key: str) -> DataFrame:
+    """The hits of some shards as one row for each key."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    joined = every.groupBy(key).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return joined.withColumn("spans", _union("spans"))
 
 
 def _shards(items: DataFrame, shard_words: int):
@@ -108,14 +127,12 @@ def _shards(items: DataFrame, shard_words: int):
 
 def hits(docs: DataFrame, items: DataFrame, n: int = 10, shard_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, spans (hit words), items (ids as strings, sorted), a row for each row of docs."""
-    parts = [_stream(docs, shard, n) for shard in _shards(items, shard_words)] or [_stream(docs, [], n)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    joined = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return joined.withColumn("spans", _union("spans"))
+    shards = list(_shards(items, shard_words))
+    if len(shards) < 2:
+        return _stream(docs, shards[0] if shards else [], n)
+    rows, key = _keyed(docs.select("doc_id", "text"))
+    found = _joined([_stream(rows, shard, n, key, all_rows=i == 0) for i, shard in enumerate(shards)], key)
+    return found.join(rows.select(key, "doc_id"), key).select("doc_id", "n_words", "spans", "items")
 
 
 def _union(spans: str):
@@ -151,32 +168,48 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, length_limit:
     schema, names = docs.schema, docs.columns
     at = names.index("text")
     shards = list(_shards(items, shard_words))
-    spark = docs.sparkSession
-    for items_of in shards:  # one in all but very large benchmarks
-        shared = spark.sparkContext.broadcast(items_of)
-
-        def run(batches, shared=shared):
+    if not shards:
+        return docs
+
+    def cut(part, rows):
+        """A piece of docs after what is hit of each text: its number of words and spans."""
+        keep, texts = [], []
+        for text, (count, spans) in zip(part.column(at).to_pylist(), rows, strict=True):
+            cover = sum(b - a for a, b in spans)
+            keep.append(cover <= coverage_limit * count)
+            long = [s for s in spans if s[1] - s[0] >= length_limit]
+            texts.append(_without(text.encode(), long).decode() if long and keep[-1] else text)
+        out = part.set_column(at, names[at], pa.array(texts, part.schema.field(at).type))
+        if "n_chars" in names:
+            k = names.index("n_chars")
+            old = part.column(at).to_pylist()
+            chars = [c if t == o else len(t) for c, t, o in zip(part.column(k).to_pylist(), texts, old, strict=True)]
+            out = out.set_column(k, "n_chars", pa.array(chars, part.schema.field(k).type))
+        return out.filter(pa.array(keep, pa.bool_()))
+
+    if len(shards) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(shards[0])
+
+        def run(batches):
             known = Items(shared.value, n, short)
             for batch in batches:
                 for part in slices(batch):
-                    keep, texts = [], []
-                    for text in part.column(at).to_pylist():
-                        raw = (text or "").encode()
-                        count, spans, _ = known.hits(raw)
-                        cover = sum(b - a for a, b in spans)
-                        keep.append(cover <= coverage_limit * count)
-                        cut = [s for s in spans if s[1] - s[0] >= length_limit]
-                        texts.append(_without(raw, cut).decode() if cut and keep[-1] else text)
-                    out = part.set_column(at, names[at], pa.array(texts, part.schema.field(at).type))
-                    if "n_chars" in names:
-                        k = names.index("n_chars")
-                        old = part.column(at).to_pylist()
-                        chars = [c if t == o else len(t) for c, t, o in zip(part.column(k).to_pylist(), texts, old, strict=True)]
-                        out = out.set_column(k, "n_chars", pa.array(chars, part.schema.field(k).type))
-                    yield out.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+                    yield cut(part, [known.hits((t or "").encode())[:2] for t in part.column(at).to_pylist()])
+
+        return docs.mapInArrow(run, schema)
+
+    keyed, key = _keyed(docs)
+    found = stored(_joined([_stream(keyed, shard, n, key, short, all_rows=False) for shard in shards], key).select(key, "n_words", "spans"), "hits")
+    found = found.select(F.col(key).alias("hit_row"), F.struct("n_words", "spans").alias("hit"))
+    placed = keyed.join(found, F.col(key) == F.col("hit_row"), "left").select(*(keyed[c] for c in names), F.col("hit").alias(key))
+
+    def apply(batches):
+        for batch in batches:
+            for part in slices(batch):
+                rows = [(h["n_words"], [(s["start"], s["end"]) for s in h["spans"]]) if h else (0, []) for h in part.column(len(names)).to_pylist()]
+                yield cut(part.select(names), rows)
+
+    return placed.mapInArrow(apply, schema)
 
 
 def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:

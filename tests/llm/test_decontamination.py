@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline
 from lantern.llm import decontamination
 
@@ -51,3 +53,39 @@ def test_stage_on_the_given_tables(spark):
     assert got == {d: w for d, w in want.items() if w is not None}
     whole = {r["doc_id"] for r in decontamination.decontaminate(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert len(set(got) - whole) >= 5
+
+
+REPEATED = [
+    (1, " ".join(f"i{k}" for k in range(20)) + " end", "en", "a", 1),
+    (1, "a text of its own", "en", "a", 1),
+    (1, "a text of its own", "en", "a", 1),
+    (None, " ".join(f"j{k}" for k in range(20)), "en", "a", 1),
+    (None, " ".join(f"i{k}" for k in range(15)) + " " + " ".join(f"j{k}" for k in range(10)) + " c" * 40, "en", "a", 1),
+    (2, None, "en", "a", 1),
+    (3, "c " * 60 + " ".join(f"i{k}" for k in range(5, 20)), "en", "a", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    return spark.createDataFrame([(1, " ".join(f"i{k}" for k in range(20))), (2, " ".join(f"j{k}" for k in range(20))), (3, "end")], "item_id long, text string")
+
+
+@pytest.mark.parametrize("shard_words", [1_000_000, 5])
+def test_each_row_has_its_hits_at_each_shard_size(spark, bench, shard_words):
+    docs = spark.createDataFrame(REPEATED, SCHEMA).repartition(3)
+    assert shard_words > 5 or len(list(decontamination._shards(bench, shard_words))) > 1
+    got = sorted((str(r["doc_id"]), r["n_words"], [tuple(s) for s in r["spans"]], r["items"]) for r in decontamination.hits(docs, bench, shard_words=shard_words).collect())
+    assert got == sorted([("1", 21, [(0, 21)], ["1", "3"]), ("1", 5, [], []), ("1", 5, [], []), ("None", 20, [(0, 20)], ["2"]), ("None", 65, [(0, 25)], ["1", "2"]), ("2", 0, [], []), ("3", 75, [(60, 75)], ["1"])])
+
+
+@pytest.mark.parametrize("shard_words", [1_000_000, 5])
+def test_coverage_is_judged_once_over_all_shards(spark, bench, shard_words):
+    """The row of both items is 25 of 65 words hit; each item alone covers less than 0.25."""
+    docs = spark.createDataFrame(REPEATED, SCHEMA).repartition(3)
+    for limit, n in ((0.25, 5), (0.4, 6)):
+        clean = decontamination.decontaminate(docs, bench, coverage_limit=limit, shard_words=shard_words)
+        assert clean.columns == docs.columns and clean.count() == n - 1
+        got = sorted((str(r["doc_id"]), low(r["text"])) for r in clean.collect())
+        want = [("1", low("a text of its own"))] * 2 + [("2", []), ("3", ["c"] * 60)] + [("None", ["c"] * 40)] * (limit == 0.4)
+        assert got == sorted(want)
