@@ -170,6 +170,21 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
 
 
 def first_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without those that a link joins to a smaller doc_id, directly or over others. Rows without doc_id stay."""
-    drop = groups(docs, n, num, den).where("component_id < doc_id").select(F.col("doc_id").alias("dropped")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("dropped"), "left_anti")
+    """docs with one row of each group that links make: that of the smallest doc_id, a null one last.
+
+    Rows with equal or no doc_id are documents of their own: of copies one stays, of different texts each is judged for itself.
+    Texts without n-grams stay. Inside, a row's doc_id is the 64-bit hash of its doc_id and text; rows equal in both share it, and
+    of these any one is taken.
+    """
+    key, names = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), docs.columns
+    found = groups(docs.select(key.alias("doc_id"), "text"), n, num, den).where("n_shingles > 0")
+    found = stored(found.select("doc_id", "component_id").distinct(), "components")
+    ids = docs.select(key.alias("row"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id").alias("place"))
+    ids = ids.groupBy("row").agg(F.min("place").alias("place"), F.count("*").alias("n_rows"))
+    placed = stored(ids.join(found, F.col("row") == F.col("doc_id")).select("row", "n_rows", "place", "component_id"), "places")
+    kept = placed.groupBy("component_id").agg(F.min(F.struct("place", "row")).alias("kept")).select(F.col("kept.row").alias("stays"))
+    judged = stored(placed.join(kept, F.col("row") == F.col("stays"), "left").select("row", "n_rows", F.col("stays").isNotNull().alias("first")), "judged")
+    left = docs.withColumn("row_key", key)
+    once = left.join(judged.where("not first or n_rows > 1"), F.col("row_key") == F.col("row"), "left_anti")
+    many = left.join(judged.where("first and n_rows > 1"), F.col("row_key") == F.col("row"), "left_semi").dropDuplicates(["row_key"])
+    return once.unionByName(many).select(*names)

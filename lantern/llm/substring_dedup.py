@@ -12,7 +12,8 @@ whether a smaller document of the shard holds it. A window that its anchor's ref
 a third document, as at the edges of a passage: for these an exact check groups the windows by a 128-bit hash.
 
 Null and empty texts have no words. Rows without doc_id are left as they are. Rows with equal doc_id aren't duplicates of each
-other. Of the input only doc_id and text are used.
+other, and their texts may differ: spans and cuts belong to a doc_id and the 64-bit hash of a text (text_key), so only rows equal
+in both share them. Of the input only doc_id and text are used.
 """
 
 from __future__ import annotations
@@ -50,32 +51,37 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in edges.reshape(-1, 2).tolist()]
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text."""
+    return docs.select("doc_id", as_bytes().alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+
+
 def signatures(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, sha256 of all words joined, anchors (distinct)."""
+    """doc_id, text_key, n_words, sha256 of all words joined, anchors (distinct)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 n, sha, anchors = [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     w = text.split()
                     n.append(len(w))
                     sha.append(_sha(w))
                     anchors.append(np.unique(_anchors(hash_words(w), window, gram)[0]) if len(w) >= window else np.empty(0, np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, anchors)]), pa.int32()), pa.array(np.concatenate(anchors), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha), lists], ["doc_id", "n_words", "sha", "anchors"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sha), lists], ["doc_id", "text_key", "n_words", "sha", "anchors"])
 
-    return docs.select("doc_id", as_bytes().alias("text")).mapInArrow(run, "doc_id long, n_words long, sha string, anchors array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, text_key long, n_words long, sha string, anchors array<long>")
 
 
 def _regions(cand: DataFrame, window: int, gram: int) -> DataFrame:
-    """Of (doc_id, text, shared (anchor, first)): runs of windows whose anchor another document has, with the reference's doc_id."""
+    """Of (doc_id, text_key, text, shared (anchor, first)): runs of windows whose anchor another document has, with the reference's doc_id."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for doc, text, shared in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for doc, text_key, text, shared in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     w = text.split()
                     key, _ = _anchors(hash_words(w), window, gram)
                     keys = np.array([s["anchor"] for s in shared], np.int64)
@@ -87,10 +93,10 @@ def _regions(cand: DataFrame, window: int, gram: int) -> DataFrame:
                     ref = first[at]
                     for of in np.unique(ref[has]).tolist():
                         for a, b in _runs(has & (ref == of)):
-                            rows.append((doc, of, a, b - a + window - 1, b" ".join(w[a : b + window - 1])))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "first", "start", "n", "words"])
+                            rows.append((doc, text_key, of, a, b - a + window - 1, b" ".join(w[a : b + window - 1])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "text_key", "first", "start", "n", "words"])
 
-    return cand.mapInArrow(run, "doc_id long, first long, start int, n int, words binary")
+    return cand.mapInArrow(run, "doc_id long, text_key long, first long, start int, n int, words binary")
 
 
 def _matches(dealt: DataFrame, window: int) -> DataFrame:
@@ -107,7 +113,7 @@ def _matches(dealt: DataFrame, window: int) -> DataFrame:
     def run(batches):
         current, vocab, machine, done = None, {}, None, False
         out: list[tuple] = []
-        for shard, salt, query, doc, start, text in rows_of(batches):
+        for shard, salt, query, doc, text_key, start, text in rows_of(batches):
             if (shard, salt) != current:
                 current, vocab, machine, done = (shard, salt), {}, SuffixAutomaton(), False
             w = text.split()
@@ -121,31 +127,31 @@ def _matches(dealt: DataFrame, window: int) -> DataFrame:
             for i, (state, longest) in enumerate(machine.matching([vocab.get(x, -1) for x in w])):
                 if longest >= window and machine.holder(state, window) < doc:
                     held[i - window + 1] = True
-            out += [(doc, start + a, start + b + window - 1, None, None) for a, b in _runs(held)]
+            out += [(doc, text_key, start + a, start + b + window - 1, None, None) for a, b in _runs(held)]
             if not held.all():
                 h = hash_words(w)
                 one, two = kgrams(h, window, 1).view(np.int64), kgrams(h, window, 2).view(np.int64)
-                out += [(doc, start + i, None, int(one[i]), int(two[i])) for i in np.flatnonzero(~held).tolist()]
+                out += [(doc, text_key, start + i, None, int(one[i]), int(two[i])) for i in np.flatnonzero(~held).tolist()]
             if len(out) > 5000:
                 yield packed(out)
                 out = []
         yield packed(out)
 
     def packed(rows):
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "start", "end", "h1", "h2"])
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "text_key", "start", "end", "h1", "h2"])
 
-    return dealt.mapInArrow(run, "doc_id long, start int, end int, h1 long, h2 long")
+    return dealt.mapInArrow(run, "doc_id long, text_key long, start int, end int, h1 long, h2 long")
 
 
 def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, signed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(removed, candidates): removed is doc_id and runs of words (start, end) that go; candidates holds these documents' texts."""
+    """(removed, candidates): removed is doc_id, text_key and runs of words (start, end) that go; candidates holds each of these texts once."""
     signed = stored(signatures(docs, window, gram), "anchors") if signed is None else signed
-    held = signed.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
+    held = signed.where("doc_id is not null").select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
     shared = held.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    by_doc = held.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first")).alias("shared"))
-    texts = docs.select("doc_id", as_bytes().alias("text"))
-    cand = stored(texts.join(by_doc, "doc_id"), "candidates")
+    by_doc = held.join(shared, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("anchor", "first")).alias("shared"))
+    cand = _texts(docs).join(by_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "shared")
+    cand = stored(cand.dropDuplicates(["doc_id", "text_key"]), "candidates")
     regions = stored(_regions(cand, window, gram), "regions")
     refs = regions.where("doc_id = first").groupBy(F.lit(1)).agg(F.sum("n").alias("n")).first()
     shards = max(1, -(-(refs["n"] if refs else 0) // SHARD_WORDS))
@@ -153,26 +159,26 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, signed: DataF
     loads = placed.where("query = 1").groupBy("shard").agg(F.sum("n").alias("load")).select("shard", F.ceil(F.col("load") / TASK_WORDS).cast("int").alias("tasks"))
     salted = placed.join(loads, "shard")
     salts = F.when(F.col("query") == 0, F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "start"), F.col("tasks")).cast("int")))
-    salted = salted.withColumn("salt", F.explode(salts)).select("shard", "salt", "query", "doc_id", "start", "words")
+    salted = salted.withColumn("salt", F.explode(salts)).select("shard", "salt", "query", "doc_id", "text_key", "start", "words")
     dealt = salted.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "query", "doc_id")
     matched = stored(_matches(dealt, window), "matches")
-    open_ = matched.where("end is null").select("doc_id", "start", "h1", "h2")
+    open_ = matched.where("end is null").select("doc_id", "text_key", "start", "h1", "h2")
     least = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    late = open_.join(least, ["h1", "h2"]).where("doc_id > first").selectExpr("doc_id", "start", f"start + {window} as end")
-    return matched.where("end is not null").select("doc_id", "start", "end").unionByName(late), cand
+    late = open_.join(least, ["h1", "h2"]).where("doc_id > first").selectExpr("doc_id", "text_key", "start", f"start + {window} as end")
+    return matched.where("end is not null").select("doc_id", "text_key", "start", "end").unionByName(late), cand
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by a space; null where none went)."""
     signed = stored(signatures(docs, window, gram), "anchors")
     removed, cand = spans(docs, window, gram, signed)
-    runs = removed.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    runs = removed.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 n, kept = [], []
-                for text, rs in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for text, rs in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     w = text.split()
                     keep = np.ones(len(w), bool)
                     for r in rs:
@@ -180,8 +186,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                     n.append(int(len(w) - keep.sum()))
                     kept.append(b" ".join(x for x, k in zip(w, keep.tolist(), strict=True) if k))
                 sha = [hashlib.sha256(k).hexdigest() for k in kept]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array([k.decode() for k in kept])], ["doc_id", "n_removed", "new_sha", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sha), pa.array([k.decode() for k in kept])], ["of", "of_key", "n_removed", "new_sha", "kept"])
 
-    cut = cand.select("doc_id", "text").join(runs, "doc_id").mapInArrow(run, "doc_id long, n_removed long, new_sha string, kept string").withColumnRenamed("doc_id", "of")
-    joined = signed.select("doc_id", "n_words", "sha").join(cut, F.col("doc_id") == F.col("of"), "left")
+    cut = cand.select("doc_id", "text_key", "text").join(runs, ["doc_id", "text_key"]).mapInArrow(run, "of long, of_key long, n_removed long, new_sha string, kept string")
+    joined = signed.select("doc_id", "text_key", "n_words", "sha").join(cut, (F.col("doc_id") == F.col("of")) & (F.col("text_key") == F.col("of_key")), "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("new_sha", "sha").alias("kept_sha256"), "kept")
