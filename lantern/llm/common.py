@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -13,23 +15,53 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch while intermediate tables are written: so many whole texts are in memory at once, twice over.
+BATCH = 500
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode a local one stands in for it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lantern.work.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lantern-")
         spark.conf.set("lantern.work.dir", base)
     return base
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH):
+    """Arrow batches of few rows for what is run inside: long texts come in small pieces to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/lantern-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, **columns) -> DataFrame:
+    """``columns`` beside one column ``row`` that holds all of docs' own, so that none of their names can clash; see ``unpacked``."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.struct(*own).alias("row") if own else F.lit(None).alias("row"), *(c.alias(k) for k, c in columns.items()))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **columns) -> DataFrame:
+    """docs' own columns of ``packed`` rows, and ``columns``."""
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *(c.alias(k) for k, c in columns.items()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

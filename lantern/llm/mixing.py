@@ -5,15 +5,16 @@ hash lies below a threshold. Sizes are summed by source and the hash's leading 1
 is refined by the next 10 bits, four times over, so no documents are sorted. What is taken differs from the target by half of
 the size of the documents that share all 40 bits at the threshold.
 
-A null source is a source, a null text has size 0. Documents with equal doc_id and size are taken or left together. Extra
-columns are kept by ``copies`` and may not be named as its new columns are, which start with ``mix_``.
+A null source is a source, a null text has size 0. No document comes more than ``most`` times. A source without any words is
+taken once. Documents with equal doc_id and size are taken or left together. Extra columns are kept by ``copies`` and may have any
+names but those of its new columns (mix_size, mix_hash, mix_source_size, mix_target, mix_copies).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lantern.llm.common import WORD, stored
+from lantern.llm.common import WORD, packed, stored, unpacked
 
 BITS, LEVELS = 10, 4
 
@@ -48,8 +49,10 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
 
     sizes: (source, mix_size, mix_hash), a written table that is read once for each level.
     """
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long")
     state = goals.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("below", F.lit(0).cast("long"))
+    full = state.where("rest <= 0").select("source", "source_size", "target", "whole", "below")  # no further copy of anything
+    state = state.where("rest > 0")
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
         at = state.select(F.col("source").alias("s"), "rest", F.col("below").alias("prefix"))
@@ -63,14 +66,15 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         bucket = F.coalesce("e.bucket", F.shiftleft("below", BITS) + (1 << BITS) - 1)
         state = state.select("source", "source_size", "target", "whole", (F.col("rest") - F.coalesce("e.before", F.lit(0))).alias("rest"), bucket.alias("below"), F.coalesce("e.n", F.lit(0)).alias("n"))
         state = stored(state, f"mix{level}")
-    return state.select("source", "source_size", "target", "whole", (F.col("below") + (F.col("rest") * 2 >= F.col("n")).cast("long")).alias("below"))
+    return full.unionByName(state.select("source", "source_size", "target", "whole", (F.col("below") + (F.col("rest") * 2 >= F.col("n")).cast("long")).alias("below")))
 
 
 def copies(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> DataFrame:
     """docs with mix_size, mix_hash, mix_source_size, mix_target and mix_copies, the times that the mix takes the document."""
-    s = sized(docs)
+    s = sized(packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), text=F.col("text")))
     small = stored(s.select("source", "mix_size", "mix_hash"), "sizes")
     goals = targets(small.groupBy("source").agg(F.sum("mix_size").alias("source_size")), weights, most)
-    cut = thresholds(small, goals).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "whole", "below")
-    out = s.join(cut, s["source"].eqNullSafe(cut["mix_source"]), "left")
-    return out.withColumn("mix_copies", F.col("whole") + (F.col("mix_hash") < F.col("below")).cast("long")).drop("mix_source", "whole", "below")
+    cut = thresholds(small, goals).withColumnRenamed("source", "of")
+    out = s.join(cut, s["source"].eqNullSafe(cut["of"]), "left")
+    taken = F.col("whole") + (F.col("mix_hash") < F.col("below")).cast("long")
+    return unpacked(out, docs, mix_size=F.col("mix_size"), mix_hash=F.col("mix_hash"), mix_source_size=F.col("source_size"), mix_target=F.col("target"), mix_copies=taken)

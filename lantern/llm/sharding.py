@@ -5,35 +5,36 @@ gives each row's place. The row whose middle lies in the i-th of n equal parts o
 contiguous, and their sizes differ from the mean by one row at most.
 
 A null text has no bytes, a null in ``order`` comes first, equal rows keep any order among themselves. Ranges are cut by
-``order`` and then by a hash of the size, so that rows of one hot key needn't meet. Extra columns are kept and may not start
-with ``shard_`` or be named shard or slot.
+``order`` and then by the size, so that rows of one hot key needn't meet unless they are equal in both. Extra columns are kept and
+may have any names but shard and slot.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lantern.llm.common import stored
+from lantern.llm.common import packed, stored, unpacked
 
 LAW = "bytes"
 
 
 def shard(docs: DataFrame, n: int = 24, size: str = "size", order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs with shard (int) and slot (long, gapless from 0 in each shard). ``size`` is a column of positive numbers."""
-    keys = [F.col(c).asc_nulls_first() for c in order]
-    dealt = stored(docs.repartitionByRange(*keys, F.col(size)).withColumn("shard_part", F.spark_partition_id()), "ranges")
-    every = Window.orderBy("shard_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("shard_part").agg(F.sum(size).alias("bytes"))
-    totals = totals.select("shard_part", F.coalesce(F.sum("bytes").over(every), F.lit(0)).alias("shard_before"), F.sum("bytes").over(Window.partitionBy()).alias("shard_all"))
-    inside = Window.partitionBy("shard_part").orderBy(*keys, size)
-    rows = inside.rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.join(totals, "shard_part").withColumn("shard_upto", F.col("shard_before") + F.sum(size).over(rows))
+    rows = packed(docs, size=F.col(size).cast("long"), **{f"k{i}": F.col(c) for i, c in enumerate(order)})
+    keys = [F.col(f"k{i}").asc_nulls_first() for i in range(len(order))]
+    dealt = stored(rows.repartitionByRange(*keys, F.col("size")).withColumn("part", F.spark_partition_id()), "ranges")
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"))
+    totals = totals.select("part", F.coalesce(F.sum("bytes").over(every), F.lit(0)).alias("before"), F.sum("bytes").over(Window.partitionBy()).alias("all"))
+    inside = Window.partitionBy("part").orderBy(*keys, "size")
+    upto = F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    placed = dealt.join(totals, "part").withColumn("upto", upto).withColumn("place", F.row_number().over(inside))
     # twice the middle of the row, in whole numbers
-    placed = placed.withColumn("shard", F.least(F.floor((2 * F.col("shard_upto") - F.col(size)).cast("decimal(38,0)") * n / (2 * F.col("shard_all"))), F.lit(n - 1)).cast("int"))
-    placed = placed.withColumn("shard_row", F.row_number().over(inside))
+    middle = (2 * F.col("upto") - F.col("size")).cast("decimal(38,0)")
+    placed = placed.withColumn("shard", F.least(F.floor(middle * n / (2 * F.col("all"))), F.lit(n - 1)).cast("int"))
     # a shard's rows before this partition
-    held = placed.groupBy("shard", F.col("shard_part").alias("part")).agg(F.count("*").alias("rows"), F.min("shard_row").alias("first"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.select(F.col("shard").alias("s"), "part", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    out = placed.join(held, (placed["shard"] == held["s"]) & (placed["shard_part"] == held["part"]))
-    return out.withColumn("slot", (F.col("shard_row") + F.col("shift")).cast("long")).drop("shard_part", "shard_before", "shard_all", "shard_upto", "shard_row", "s", "part", "shift")
+    held = placed.groupBy("shard", "part").agg(F.count("*").alias("rows"), F.min("place").alias("first"))
+    sooner = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("shard", "part", (F.coalesce(F.sum("rows").over(sooner), F.lit(0)) - F.col("first")).alias("shift"))
+    out = placed.join(held, ["shard", "part"])
+    return unpacked(out, docs, shard=F.col("shard"), slot=(F.col("place") + F.col("shift")).cast("long"))
