@@ -3,7 +3,7 @@
 Each rule is a regular expression. From it a Boolean query over trigrams is derived: alternatives (OR) of sets of trigrams
 (AND) that any match must hold, in lower case. ``postings`` builds the inverted index (gram, doc_id) for the trigrams that
 rules ask for; ``candidates`` intersects the postings; ``scan`` verifies the candidates with the regular expressions, and runs
-rules without mandatory trigrams over every text.
+rules without mandatory trigrams over every text. Of an alternative's trigrams the index holds the ``GRAMS`` rarest.
 
 Nulls, empty texts: no spans. A null doc_id is a value like any other; repeated rows each get their own result. Of the input
 only ``doc_id`` and ``text`` are used, so further columns can't clash.
@@ -29,27 +29,54 @@ class Rule:
     least: int = 1
 
 
-#: The first three are the base; their matches are always kept as they are.
+#: The first three are the base; their matches are always kept as they are. The others are public formats of keys and tokens.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY( BLOCK)?-----"),
     Rule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9._~+/-]{20,}=*"),
+    Rule("basic", r"(?i:authorization)\x20*:\x20*(?i:basic)\x20+[A-Za-z0-9+/]{8,}=*"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("url", r"[a-z][a-z0-9+]{1,20}://[A-Za-z0-9._~%+-]{1,64}:[A-Za-z0-9._~%+-]{3,64}@[A-Za-z0-9.-]+"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("github_fine", r"github_pat_[A-Za-z0-9_]{50,}"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("slack", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
+    Rule("slack_hook", r"hooks\.slack\.com/services/[A-Za-z0-9/_-]{20,}"),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{20,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("google_oauth", r"ya29\.[A-Za-z0-9_-]{20,}"),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}"),
+    Rule("pypi", r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}"),
+    Rule("mailchimp", r"[0-9a-f]{32}-us[0-9]{1,2}"),
+    Rule("telegram", r"[0-9]{8,10}:AA[A-Za-z0-9_-]{33}"),
+    Rule("azure", r"AccountKey=[A-Za-z0-9+/]{80,}=*"),
+    Rule("digitalocean", r"do[opr]_v1_[0-9a-f]{64}"),
+    Rule("shopify", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}"),
+    Rule("huggingface", r"hf_[A-Za-z]{34}"),
+    Rule("databricks", r"dapi[0-9a-f]{32}"),
+    Rule("age", r"AGE-SECRET-KEY-1[0-9A-Z]{58}"),
 )
 #: More alternatives than this are merged, classes of more characters than this count as any character.
-MANY, WIDE = 64, 4
+MANY, WIDE = 64, 5
+#: Trigrams that the index holds for an alternative: those of the rarest letters.
+GRAMS, FREQUENT = 2, "etaoinsrhldcumfpgwybvkxjqz"
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """Alternatives of trigrams, one of which any match holds in full, in lower case; [frozenset()] if nothing is mandatory."""
     ops = re._parser
 
+    def minimal(found: set) -> set:
+        return {g for g in found if not any(o < g for o in found)}
+
     def merged(states: set) -> set:
         if len(states) <= MANY:
             return states
-        return {("", frozenset.intersection(*(g for _, g in states)))}
+        least = minimal({g for _, g in states})  # without their last characters most alternatives are alike
+        return {("", g) for g in (least if len(least) <= MANY else [frozenset.intersection(*least)])}
 
     def literal(states: set, char: str) -> set:
         out = set()
@@ -86,8 +113,13 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
             states = merged(states)
         return states
 
-    found = {g for _, g in walk(ops.parse(pattern), {("", frozenset())})}
-    return sorted((g for g in found if not any(o < g for o in found)), key=sorted)
+    return sorted(minimal({g for _, g in walk(ops.parse(pattern), {("", frozenset())})}), key=sorted)
+
+
+def _rarest(grams: frozenset[str]) -> list[str]:
+    """The few trigrams of an alternative that the index holds: any of them must occur, so fewer only make more candidates."""
+    commonness = lambda g: (sum(len(FREQUENT) - FREQUENT.index(c) if c in FREQUENT else 0 for c in g), g)
+    return sorted(sorted(grams, key=commonness)[:GRAMS])
 
 
 def clauses(rules=RULES) -> list[tuple[str, int, str, int]]:
@@ -96,7 +128,9 @@ def clauses(rules=RULES) -> list[tuple[str, int, str, int]]:
     for rule in rules:
         query = trigram_query(rule.pattern)
         if all(query):
-            out += [(rule.kind, i, gram, len(grams)) for i, grams in enumerate(query) for gram in sorted(grams)]
+            shared = frozenset.intersection(*query)
+            alternatives = [_rarest(grams) for grams in ([shared] if shared else query)]
+            out += [(rule.kind, i, gram, len(grams)) for i, grams in enumerate(alternatives) for gram in grams]
     return out
 
 
@@ -115,30 +149,59 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     return full.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
 
 
+_SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Leftmost non-overlapping matches as structs (start, order, end, kind), in code points."""
-    p = F.lit(rule.pattern)
+    """Leftmost non-overlapping matches as structs (start, order, end, kind), in code points.
+
+    The text is cut at the matches once; places are running sums of lengths, inside blocks of about the square root of the number of
+    matches and then over the blocks, so that no long array is copied for each match.
+    """
+    p, none = F.lit(rule.pattern), F.expr(f"cast(array() as {_SPANS})")
     found = F.regexp_extract_all(text, p, F.lit(0))
     held = F.regexp_extract_all(text, p, F.lit(rule.group)) if rule.group else found
-    steps = F.transform(found, lambda m, i: F.struct(F.length(m).alias("n"), F.length(F.get(F.split(text, rule.pattern, -1), i)).alias("gap"), (F.length(F.get(held, i)) >= rule.least).alias("ok")))
-    none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string>>)").alias("spans"))
+    cut = F.arrays_zip(found.alias("m"), F.split(text, rule.pattern, -1).alias("gap"), held.alias("h"))
+    # what stands after the last match has no match of its own
+    steps = F.transform(F.filter(cut, lambda x: x["m"].isNotNull()), lambda x: F.struct(F.length(x["m"]).alias("n"), F.length(x["gap"]).alias("gap"), (F.length(x["h"]) >= rule.least).alias("ok")))
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
         span = F.struct(start.alias("start"), F.lit(order).alias("ord"), (start + x["n"]).alias("end"), F.lit(rule.kind).alias("kind"))
         return F.struct((start + x["n"]).alias("at"), F.when(x["ok"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(steps, none, step, lambda acc: acc["spans"])
+    def moved(spans, by):
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["ord"].alias("ord"), (s["end"] + by).alias("end"), s["kind"].alias("kind")))
+
+    def join(acc, x):
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["parts"], F.array(moved(x["spans"], acc["at"]))).alias("parts"))
+
+    def blocks(all_steps, size):
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(all_steps)), size)
+        sums = F.transform(starts, lambda i: F.aggregate(F.slice(all_steps, i, size), F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+        first = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPANS}>)").alias("parts"))
+        return F.flatten(F.aggregate(sums, first, join, lambda acc: acc["parts"]))
+
+    return _let(steps, lambda s: _let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(s))).cast("int")), lambda n: blocks(s, n)))
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """(doc_id, spans): spans are structs (start, ord, end, kind), by start and then by the order of the rules."""
+    """(doc_id, spans): spans are structs (start, ord, end, kind), by start and then by the order of the rules.
+
+    Candidates are a written table, so their size is known before the join: few enough are broadcast by Spark, and texts stay where
+    they are; else both sides are shuffled.
+    """
     index = stored(postings(docs, rules), "postings")
     asked = {c[0] for c in clauses(rules)}
-    found = candidates(index, rules).withColumnRenamed("doc_id", "candidate")
+    found = stored(candidates(index, rules).withColumnRenamed("doc_id", "candidate"), "candidates")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.join(found, texts["doc_id"].eqNullSafe(found["candidate"]), "left")
-    empty = F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string>>)")
+    empty = F.expr(f"cast(array() as {_SPANS})")
     columns = []
     for order, rule in enumerate(rules):
         may = F.array_contains("rules", rule.kind) if rule.kind in asked else F.lit(True)
