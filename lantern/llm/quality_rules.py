@@ -1,14 +1,16 @@
 """Quality rules with risk-controlled thresholds. DataFrame functions only.
 
-``measures`` counts, for each text, what the rules look at. ``calibrate`` chooses each rule's cutoff in each stratum from
-labelled holdouts: a cutoff is allowed only if an exact binomial test shows, at level ``delta`` divided by the number of all
-tests (Bonferroni), that it rejects less than ``risk`` of the good documents; that is, if the Clopper-Pearson upper bound of its
-false rejections is at most ``risk``. Of the allowed ones the cutoff with the best difference between the shares of bad and good
-documents rejected is taken; a rule without an allowed cutoff that gains something rejects nothing in that stratum. ``judge``
-applies the base rule and the cutoffs.
-
-A null or empty text has no words and fails the base rule. A null stratum is a stratum. Repeated rows are judged alike; a
-document that is labelled twice counts twice. Extra columns are ignored.
+``measures`` counts, for each text, what the rules look at. ``calibrate`` chooses, in each stratum, one cutoff for each rule (or
+none) from labelled holdouts, all of them together: a choice is allowed only if an exact binomial test shows, at level ``delta``
+divided by the number of all choices in all strata (Bonferroni), that the documents which fail any of its rules are less than
+``risk`` of the good ones; that is, if the Clopper-Pearson upper bound of its false rejections is at most ``risk``. So the
+guarantee holds for the verdict. Of the allowed choices the one with the best difference between the shares of bad and good
+documents rejected is taken; a stratum without one that gains something rejects nothing. ``judge`` applies the base rule and the
+cutoffs.
+
+Good documents are labelled of quality 1 and not toxic, all other labelled ones are bad. A null or empty text has no words and
+fails the base rule. A null stratum is a stratum. Repeated rows are judged alike; a document that is labelled twice counts twice.
+Without labels only the base rule rejects. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,27 +71,56 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(steps, F.struct(zero.alias("term"), zero.alias("sum")), add, lambda acc: F.exp(acc["sum"]))
 
 
+def _most(n: Column, level: Column, p: float) -> Column:
+    """The largest k with P(X <= k) <= level for X ~ Binomial(n, p), -1 if there is none."""
+    ratio = F.log(F.lit(p / (1 - p)))
+    zero = n * F.log(F.lit(1 - p))
+    log = F.log(level)
+
+    def add(acc, j):
+        term = acc["term"] + F.log((n - j + 1) / j) + ratio
+        top = F.greatest(acc["sum"], term)
+        total = top + F.log1p(F.exp(F.least(acc["sum"], term) - top))
+        return F.struct(term.alias("term"), total.alias("sum"), F.when(total <= log, j).otherwise(acc["k"]).alias("k"))
+
+    none = F.when(zero <= log, F.lit(0)).otherwise(F.lit(-1)).cast("long")
+    mean = F.floor(n * p).cast("long")  # beyond the mean the tail is no small one
+    steps = F.when(mean >= 1, F.sequence(F.lit(1).cast("long"), mean)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return F.aggregate(steps, F.struct(zero.alias("term"), zero.alias("sum"), none.alias("k")), add, lambda acc: acc["k"])
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, rules=RULES, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_rejected, bound): bound is the probability of so few rejections at the risk."""
-    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("labelled"), (F.col("quality") == 1).cast("int").alias("good"))
+    """(stratum, rule, cutoff, n_good, n_rejected, bound): of all rules together n_rejected good documents fail one, and bound is the
+    probability of so few at the risk.
+
+    Documents are counted by how many cutoffs of each rule they exceed, which makes a table of bounded size. Choices are the
+    combinations of one cutoff or none for each rule; those that keep a document are the ones above its own counts.
+    """
+    toxic = F.coalesce("toxic", F.lit(0)) if "toxic" in labels.columns else F.lit(0)
+    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("labelled"), ((F.col("quality") == 1) & (toxic == 0)).cast("int").alias("good"))
     held = measured.where(~base_failed()).join(known, F.col("doc_id") == F.col("labelled"))
-    bins = []
-    for name, (measure, cutoffs) in rules.items():
-        above = sum((F.coalesce(F.expr(measure) > c, F.lit(False)).cast("int") for c in cutoffs), F.lit(0))
-        bins.append(F.struct(F.lit(name).alias("rule"), above.alias("above")))
-    counted = held.select(F.col(stratum).alias("stratum"), "good", F.explode(F.array(*bins)).alias("b")).groupBy("stratum", "b.rule", "b.above").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
-    # a document above j cutoffs fails the first j
-    tests = counted.sparkSession.createDataFrame([(r, j + 1, float(c)) for r, (_, cs) in rules.items() for j, c in enumerate(cs)], "rule string, j int, cutoff double")
-    sums = counted.join(F.broadcast(tests), "rule").groupBy("stratum", "rule", "j", "cutoff").agg(
-        F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"),
-        F.sum(F.when(F.col("above") >= F.col("j"), F.col("good")).otherwise(0)).alias("n_rejected"), F.sum(F.when(F.col("above") >= F.col("j"), F.col("bad")).otherwise(0)).alias("n_caught"),
-    )
-    all_tests = F.count("*").over(Window.partitionBy())
-    bound = F.when(F.col("n_rejected") < risk * F.col("n_good"), binomial_tail(F.col("n_good"), F.col("n_rejected"), risk)).otherwise(1.0)
-    gain = F.coalesce(F.try_divide("n_caught", "n_bad"), F.lit(0.0)) - F.coalesce(F.try_divide("n_rejected", "n_good"), F.lit(0.0))
-    allowed = sums.withColumn("bound", bound).withColumn("tests", all_tests).withColumn("gain", gain).where((F.col("bound") <= F.lit(delta) / F.col("tests")) & (F.col("gain") > 0))
-    best = Window.partitionBy("stratum", "rule").orderBy(F.col("gain").desc(), F.col("cutoff").desc())
-    return allowed.withColumn("place", F.row_number().over(best)).where("place = 1").select("stratum", "rule", "cutoff", "n_good", "n_rejected", "bound")
+    names, depth = list(rules), {name: len(cutoffs) for name, (_, cutoffs) in rules.items()}
+    above = [sum((F.coalesce(F.expr(measure) > c, F.lit(False)).cast("int") for c in cutoffs), F.lit(0)).alias(name) for name, (measure, cutoffs) in rules.items()]
+    cells = held.select(F.col(stratum).alias("stratum"), "good", *above).groupBy("stratum", *names).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    cells = stored(cells, "cells")
+    kept = cells  # choice j of a rule rejects documents above j - 1 of its cutoffs; the last one rejects none
+    for name in names:
+        kept = kept.withColumn(name, F.explode(F.sequence(F.col(name) + 1, F.lit(depth[name] + 1))))
+    kept = kept.groupBy(F.col("stratum").alias("of"), *names).agg(F.sum("good").alias("kept_good"), F.sum("bad").alias("kept_bad"))
+    choices = 1
+    for name in names:
+        choices *= depth[name] + 1
+    totals = cells.groupBy("stratum").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
+    level = F.lit(delta) / (F.count("*").over(Window.partitionBy()) * choices)  # a row for each stratum
+    totals = totals.withColumn("level", level).withColumn("most", _most(F.col("n_good"), F.col("level"), risk))
+    tried = kept.join(totals, F.col("of").eqNullSafe(F.col("stratum"))).withColumn("n_rejected", F.col("n_good") - F.col("kept_good"))
+    gain = F.coalesce(F.try_divide(F.col("n_bad") - F.col("kept_bad"), "n_bad"), F.lit(0.0)) - F.coalesce(F.try_divide("n_rejected", "n_good"), F.lit(0.0))
+    allowed = tried.withColumn("gain", gain).where("n_rejected <= most and gain > 0")
+    lenient = sum((F.col(n) for n in names), F.lit(0))
+    best = Window.partitionBy("stratum").orderBy(F.col("gain").desc(), lenient.desc(), *names)
+    best = allowed.withColumn("place", F.row_number().over(best)).where("place = 1").withColumn("bound", binomial_tail(F.col("n_good"), F.col("n_rejected"), risk))
+    chosen = [F.struct(F.lit(name).alias("rule"), F.get(F.array(*(F.lit(float(c)) for c in rules[name][1])), F.col(name) - 1).alias("cutoff")) for name in names]
+    return best.select("stratum", F.explode(F.array(*chosen)).alias("c"), "n_good", "n_rejected", "bound").where("c.cutoff is not null").select("stratum", "c.rule", "c.cutoff", "n_good", "n_rejected", "bound")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str, rules=RULES) -> DataFrame:
