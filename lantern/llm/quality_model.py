@@ -6,8 +6,8 @@ the labels themselves tell apart (by a z-score of document frequencies). ``score
 
 ``posteriors`` adds the evidence up by path and by host, both over all documents. A host's rate of good documents is shrunk
 towards the global one and a path's towards its host's, each by a strength that the spread between sites shows (method of
-moments), so that sparse sites stay near the prior. ``judge`` moves a document's evidence by its path's log-odds against the global
-ones and keeps it if it is likely good and not likely toxic.
+moments), so that sparse sites stay near the prior. ``judge`` combines the two by Bayes' rule: a document's log-odds less the global
+ones are its likelihood ratio, and its path's posterior log-odds are the prior. It is kept if it is likely good and not likely toxic.
 
 A null or empty text has no evidence but the models' constants. A null host or path is a site of its own. With labels of one kind
 only, the model is the constant that they show; with none, everything is kept. Extra columns are kept and may not start with ``q_``.
@@ -25,8 +25,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from lantern.llm.common import slices, stored
 
 SAMPLE, LEXICON, LEAST_Z = 20_000, 200, 6.0
-#: Part of a site's log-odds that counts, and how far it may move a document.
-WEIGHT, FURTHEST = 0.5, 1.0
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 
@@ -140,6 +138,7 @@ def _probability(odds: Column) -> Column:
 
 
 def _odds(p: Column) -> Column:
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
     return F.log(p / (1 - p))
 
 
@@ -169,16 +168,17 @@ def judge(scored: DataFrame, rates: DataFrame, host: str, path: str) -> DataFram
     """scored with q_host_rate, q_path_rate, q_odds and q_kept."""
     r = rates.select("q_host", "q_path", F.col("global_rate").alias("q_global"), F.col("host_rate").alias("q_host_rate"), F.col("path_rate").alias("q_path_rate"))
     joined = scored.join(r, F.col(host).eqNullSafe(F.col("q_host")) & F.col(path).eqNullSafe(F.col("q_path")), "left")
-    shift = F.greatest(F.lit(-FURTHEST), F.least(F.lit(FURTHEST), WEIGHT * (_odds(F.col("q_path_rate")) - _odds(F.col("q_global")))))
-    joined = joined.withColumn("q_odds", F.col("q_good") + shift)
+    joined = joined.withColumn("q_odds", F.col("q_good") - _odds(F.col("q_global")) + _odds(F.col("q_path_rate")))
     return joined.withColumn("q_kept", (F.col("q_odds") >= 0) & (F.col("q_toxic") < 0)).drop("q_host", "q_path", "q_global")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *columns: str, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """docs, or these columns, with q_good, q_toxic, q_host_rate, q_path_rate, q_odds, q_kept.
 
-    Scores are made twice, for the rates and for the verdicts, which costs less than to write all texts in between.
+    Scores are written once, beside the columns asked for, and serve the rates and the verdicts.
     """
     model = fit(docs, labels, sample)
-    rates = stored(posteriors(score(docs, model, host, path), host, path), "rates")
-    return judge(score(docs, model, *columns), rates, host, path)
+    columns = columns or tuple(docs.columns)
+    scored = stored(score(docs, model, *dict.fromkeys([*columns, host, path])), "scores")
+    rates = stored(posteriors(scored, host, path), "rates")
+    return judge(scored, rates, host, path).select(*columns, "q_good", "q_toxic", "q_host_rate", "q_path_rate", "q_odds", "q_kept")
