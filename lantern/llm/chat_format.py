@@ -8,25 +8,37 @@ learnt, and not a perspective.
 length spreads over tasks; ``render`` joins the pieces to whole texts and mask spans where dialogues fit in a row. Places come from
 two levels of sums, inside blocks of ``BLOCK`` turns and over the blocks.
 
+No text or name can end a turn or begin another: in both a backslash is put into each ``<|`` and ``|>`` (and one more where there
+is one or more already), so ``unescape`` gives back what was written.
+
 Turns are in the order of (turn, speaker, text), nulls first; repeated turns stay. A null text is an empty turn, a null speaker is
-named ``NOBODY``, and null conv_ids form one conversation. A conversation of system turns only gives nothing.
+the participant named ``NOBODY``, and null conv_ids form one conversation. A conversation of system turns only gives nothing.
+Columns but the four that are named are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 NOBODY, SYSTEM, BLOCK = "unknown", "system", 1024
 
 
+def escape(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"<(\\*)\|", r"<$1\\|"), r"\|(\\*)>", r"|$1\\>")
+
+
+def unescape(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"\|(\\*)\\>", r"|$1>"), r"<(\\*)\\\|", r"<$1|")
+
+
 def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
     """conv_id, perspective, turn, speaker, piece, start, end (code points), body_start (where the mask starts), masked."""
     t = turns.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(speaker), F.lit(NOBODY)).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     people = t.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     r = t.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     mine = F.col("speaker") == F.col("perspective")
-    head = F.when(F.col("speaker") == SYSTEM, F.lit("<|system|>\n")).when(mine, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), F.col("speaker"), F.lit("|>\n")))
-    r = r.withColumn("head", F.length(head)).withColumn("piece", F.concat(head, F.col("text"), F.lit("<|end|>\n"))).withColumn("masked", mine)
+    head = F.when(F.col("speaker") == SYSTEM, F.lit("<|system|>\n")).when(mine, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), escape(F.col("speaker")), F.lit("|>\n")))
+    r = r.withColumn("head", F.length(head)).withColumn("piece", F.concat(head, escape(F.col("text")), F.lit("<|end|>\n"))).withColumn("masked", mine)
     r = r.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK)).withColumn("n", F.length("piece").cast("long")).drop("text")
     key = ["conv_id", "perspective", "block"]
     sums = r.groupBy(*key).agg(F.sum("n").alias("total"))

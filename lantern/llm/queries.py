@@ -67,15 +67,17 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_ESCAPED = r"regexp_replace(regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g'), '\|(\\*)>', '|\1\\>', 'g')"
+
 ORACLES = {
-    "op2_chat_format": """
+    "op2_chat_format": f"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
         p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
         r AS (SELECT t.conv_id, perspective, turn, speaker, speaker = perspective AS masked, text,
                 CASE WHEN speaker = 'system' THEN '<|system|>' || chr(10) WHEN speaker = perspective THEN '<|assistant|>' || chr(10)
-                     ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head
+                     ELSE '<|user name=' || {_ESCAPED.format('speaker')} || '|>' || chr(10) END AS head
               FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-        q AS (SELECT *, head || text || '<|end|>' || chr(10) AS piece FROM r),
+        q AS (SELECT *, head || {_ESCAPED.format('text')} || '<|end|>' || chr(10) AS piece FROM r),
         s AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, piece ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM q)
         SELECT conv_id, perspective, turn, speaker, piece, e - length(piece) AS start, e AS "end", e - length(piece) + length(head) AS body_start, masked FROM s""",
     "op4_ngram_join": f"""
