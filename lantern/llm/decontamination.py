@@ -3,11 +3,13 @@
 Words are runs of ASCII letters and digits and of all other non-ASCII characters, with A-Z in lower case. A window is ``n``
 consecutive words of an item; an item of fewer words, but not none, is one window. The automaton of all items is built from a
 broadcast list; each document's words are streamed through it, and where the longest matching length reaches a window's, its
-words are hit. The list is broadcast in shards of at most ``shard_words`` words; with more than one shard the documents are
-written once with a key for each row, streamed once for each shard, and the hits are joined by that key.
+words are hit. The list is broadcast in shards of about ``shard_words`` words, one at a time, so neither the driver nor a task
+holds more (about 1 KB a word in a task); a longer item is cut into pieces that overlap by a window less one word. With more than
+one shard the documents are written once with a key for each row, streamed once for each shard, and the hits are joined by that
+key, so results don't depend on the number of shards.
 
 Null and empty texts have no words. Items with equal texts all occur. Null item ids are shown as "null". Each row of the documents
-stands for itself, whatever its doc_id. Of the inputs only doc_id, text, item_id are used.
+stands for itself, whatever its doc_id. Of the inputs only doc_id, text, item_id are used; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from lantern.llm.common import as_bytes, slices, stored
 _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _TABLE = bytes(c if c in _KEPT else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: Words of the items of one shard.
+SHARD_WORDS = 100_000
 SCHEMA = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
@@ -81,9 +85,8 @@ class Items:
         return len(found), [(a, b) for a, b in spans], items
 
 
-def _stream(docs: DataFrame, items: list, n: int, key: str = "doc_id", short: bool = True, all_rows: bool = True) -> DataFrame:
-    """The hits of each row as SCHEMA says, named by ``key``; of the rows that are hit only, unless ``all_rows``."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _stream(docs: DataFrame, shared, n: int, key: str = "doc_id", short: bool = True, all_rows: bool = True) -> DataFrame:
+    """The hits of each row as SCHEMA says, named by ``key``, in the broadcast items; of the rows that are hit only, unless ``all_rows``."""
 
     def run(batches):
         known = Items(shared.value, n, short)
@@ -97,6 +100,16 @@ def _stream(docs: DataFrame, items: list, n: int, key: str = "doc_id", short: bo
     return docs.select(key, as_bytes().alias("text")).mapInArrow(run, SCHEMA.replace("doc_id", key, 1))
 
 
+def _streams(docs: DataFrame, shards: list[DataFrame], n: int, key: str, short: bool = True, all_rows: bool = False) -> list[DataFrame]:
+    """What ``_stream`` gives for each shard, as written tables: a shard leaves the driver and the tasks before the next one comes."""
+    out = []
+    for i, shard in enumerate(shards):
+        shared = docs.sparkSession.sparkContext.broadcast(_held(shard))
+        out.append(stored(_stream(docs, shared, n, key, short, all_rows and i == 0), "hits"))
+        shared.destroy()
+    return out
+
+
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a key of its own for each row, written so that it stays, and the key's name."""
     key = "row_key"
@@ -114,24 +127,34 @@ def _joined(parts: list[DataFrame], key: str) -> DataFrame:
     return joined.withColumn("spans", _union("spans"))
 
 
-def _shards(items: DataFrame, shard_words: int):
-    """Lists of (item, text), each of at most ``shard_words`` blanks and items in total, one after the other."""
-    sized = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), as_bytes().alias("text")).withColumn("size", F.length("text") + 1)
-    bins = sized.groupBy(F.pmod(F.xxhash64("item"), F.lit(4096)).alias("bin")).agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    dealt = bins.select("bin", F.floor((upto - 1) / (6 * shard_words)).alias("shard"))
-    placed = stored(sized.withColumn("bin", F.pmod(F.xxhash64("item"), F.lit(4096))).join(dealt, "bin").select("shard", "item", "text"), "items")
-    for (shard,) in placed.select("shard").distinct().orderBy("shard").collect():
-        yield [(r["item"], bytes(r["text"])) for r in placed.where(F.col("shard") == shard).collect()]
+def _shards(items: DataFrame, shard_words: int, n: int = 10) -> list[DataFrame]:
+    """Tables (item, text), each of about ``shard_words`` words."""
+    step = max(n, shard_words)
+    found = F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("w", found)
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1), F.lit(step)), lambda i: F.array_join(F.slice("w", i, step + n - 1), " "))
+    cut = named.select("item", F.posexplode(F.when(F.size("w") > step, pieces).otherwise(F.array("text"))).alias("piece", "text"))
+    sized = cut.withColumn("size", F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]+")) + 1).withColumn("bin", F.pmod(F.xxhash64("item", "piece"), F.lit(4096)))
+    bins = sized.groupBy("bin").agg(F.sum("size").alias("all"))
+    bins = bins.select("bin", (F.sum("all").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("all")).alias("before"))
+    inside = Window.partitionBy("bin").orderBy("item", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("sooner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bins, "bin")
+    placed = stored(placed.select(F.floor((F.col("before") + F.col("sooner")) / shard_words).alias("shard"), "item", "text"), "items")
+    numbers = [r[0] for r in placed.select("shard").distinct().orderBy("shard").collect()]
+    return [placed.where(F.col("shard") == i).select("item", "text") for i in numbers]
+
+
+def _held(shard: DataFrame) -> list[tuple[str, bytes]]:
+    return [(r["item"], r["text"].encode()) for r in shard.collect()]  # of bounded size
 
 
-def hits(docs: DataFrame, items: DataFrame, n: int = 10, shard_words: int = 1_000_000) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, n: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, spans (hit words), items (ids as strings, sorted), a row for each row of docs."""
-    shards = list(_shards(items, shard_words))
+    shards = _shards(items, shard_words, n)
     if len(shards) < 2:
-        return _stream(docs, shards[0] if shards else [], n)
+        return _stream(docs, docs.sparkSession.sparkContext.broadcast(_held(shards[0]) if shards else []), n)
     rows, key = _keyed(docs.select("doc_id", "text"))
-    found = _joined([_stream(rows, shard, n, key, all_rows=i == 0) for i, shard in enumerate(shards)], key)
+    found = _joined(_streams(rows, shards, n, key, all_rows=True), key)
     return found.join(rows.select(key, "doc_id"), key).select("doc_id", "n_words", "spans", "items")
 
 
@@ -157,7 +180,7 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, length_limit: int = 10, coverage_limit: float = 0.0, shard_words: int = 1_000_000, short: bool = True) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, length_limit: int = 10, coverage_limit: float = 0.0, shard_words: int = SHARD_WORDS, short: bool = True) -> DataFrame:
     """docs, with the hit spans of at least ``length_limit`` words cut out of the texts, without those that are covered beyond a limit.
 
     A document of which more than the share ``coverage_limit`` of the words is hit goes as a whole. Spans shorter than
@@ -167,7 +190,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, length_limit:
     """
     schema, names = docs.schema, docs.columns
     at = names.index("text")
-    shards = list(_shards(items, shard_words))
+    shards = _shards(items, shard_words, n)
     if not shards:
         return docs
 
@@ -188,7 +211,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, length_limit:
         return out.filter(pa.array(keep, pa.bool_()))
 
     if len(shards) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(shards[0])
+        shared = docs.sparkSession.sparkContext.broadcast(_held(shards[0]))
 
         def run(batches):
             known = Items(shared.value, n, short)
@@ -199,9 +222,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, length_limit:
         return docs.mapInArrow(run, schema)
 
     keyed, key = _keyed(docs)
-    found = stored(_joined([_stream(keyed, shard, n, key, short, all_rows=False) for shard in shards], key).select(key, "n_words", "spans"), "hits")
+    found = stored(_joined(_streams(keyed, shards, n, key, short), key).select(key, "n_words", "spans"), "spans")
     found = found.select(F.col(key).alias("hit_row"), F.struct("n_words", "spans").alias("hit"))
-    placed = keyed.join(found, F.col(key) == F.col("hit_row"), "left").select(*(keyed[c] for c in names), F.col("hit").alias(key))
+    placed = keyed.join(found, keyed[key] == found["hit_row"], "left").select(*(keyed[c] for c in names), found["hit"].alias(key))
 
     def apply(batches):
         for batch in batches:
