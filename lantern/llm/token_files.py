@@ -11,7 +11,8 @@
 A frame holds the ids as little-endian 32-bit integers, grouped by byte (all lowest bytes first): the high bytes are mostly equal,
 so they cost little. ``read`` decodes all documents, ``lookup`` single ones, reading their blocks only.
 
-The dictionary is trained on the documents with the smallest hashes, at most ``SAMPLES`` of them. Everything else covers all rows.
+The dictionary is trained on the documents with the smallest hashes, at most ``SAMPLES`` of them, and of a long one on ``SLICES``
+evenly spaced pieces of ``SLICE`` ids. Only the ratio depends on this; everything else covers all rows and whole texts.
 A null or empty text is only the end id. Rows of equal doc_id follow each other in any order. Only doc_id and text are used.
 """
 
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lantern.llm.common import slices
 
 SAMPLES, DICTIONARY, BLOCK, LEVEL = 2000, 64 * 1024, 4 << 20, 3
+SLICES, SLICE = 8, 256
 #: Pieces that a task remembers with their ids.
 MEMORY = 500_000
 #: New pieces that are encoded as one text.
@@ -142,6 +144,13 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _spread(ids: np.ndarray) -> np.ndarray:
+    """A short text's ids, or evenly spaced pieces of a long one's."""
+    if len(ids) < SLICES * SLICE:
+        return ids
+    return np.concatenate([ids[i : i + SLICE] for i in np.linspace(0, len(ids) - SLICE, SLICES).astype(int)])
+
+
 def train(docs: DataFrame, tokenizer: str, end: int = END, samples: int = SAMPLES, size: int = DICTIONARY) -> bytes:
     """A dictionary from the ids of a bounded sample; empty where zstandard can't train one (too few ids)."""
 
@@ -150,10 +159,12 @@ def train(docs: DataFrame, tokenizer: str, end: int = END, samples: int = SAMPLE
         for batch in batches:
             for part in slices(batch):
                 ids = pieces.encode(part.column(0).to_pylist())
-                # one frame's worth of a very long text trains no better than its beginning
-                yield pa.RecordBatch.from_pydict({"ids": pa.array([serialized(x[:2047], end) for x in ids], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"ids": pa.array([serialized(_spread(x), end) for x in ids], pa.binary())})
 
-    sample = _texts(docs).orderBy(F.xxhash64("doc_id"), "doc_id").limit(samples).select("text")
+    # hashes alone are ordered, so no texts are shuffled for it; then at most ``samples`` hashes pass
+    rows = _texts(docs).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    last = rows.select("h").orderBy("h").limit(samples).agg(F.max("h")).first()[0]
+    sample = rows.where(F.col("h") <= (0 if last is None else last)).dropDuplicates(["h"]).select("text")
     rows = [bytes(r["ids"]) for r in sample.repartition(8).mapInArrow(run, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(size, sorted(rows)).as_bytes()
