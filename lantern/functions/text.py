@@ -1,4 +1,4 @@
-"""Scalar text functions as Column expressions."""
+"""Scalar text functions as Column expressions."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 #: Full-width forms stand 0xFEE0 above their ASCII characters; the ideographic space stands for a space.
 FULL = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "　"
 HALF = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
-#: Tokens: runs of letters and digits, longer than one character.
+#: Tokens: runs of letters and digits, longer than one character, or a single digit.
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -31,7 +31,7 @@ def clip(c: Column, n: int) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), SPLIT), lambda t: F.length(t) > 1)
+    return F.filter(F.split(F.lower(c), SPLIT), lambda t: (F.length(t) > 1) | F.rlike(t, F.lit("^[0-9]$")))
 
 
 def number_tokens(c: Column) -> Column:
@@ -44,12 +44,22 @@ def year_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(r"[0-9]+"), F.lit(0)), lambda t: F.rlike(t, F.lit(r"^(19|20)[0-9]{2}$"))))
 
 
+#: Fixed patterns of dates: eight digits with no digit beside them, with separators, in words.
+_DATE8, _DATE = r"(?<![0-9])20[0-9]{2}[01][0-9][0-3][0-9](?![0-9])", r"(20[0-9]{2})[-./年]([01]?[0-9])[-./月]([0-3]?[0-9])"
+_DATE_WORDS = r"(?:19|20)[0-9]{2}年(?:[0-9]{1,2}月(?:[0-9]{1,2}日)?)?"
+
+
+def version_date(c: Column) -> Column:
+    """yyyymmdd of the first date in eight digits, else of the first one with separators; null without one."""
+    n = normalize(c)
+    parts = F.regexp_substr(n, F.lit(_DATE))
+    piece = lambda i: F.lpad(F.regexp_extract(parts, _DATE, i), 2, "0")
+    return F.coalesce(F.regexp_substr(n, F.lit(_DATE8)), F.concat(F.regexp_extract(parts, _DATE, 1), piece(2), piece(3)))
+
+
 def last_date(c: Column) -> Column:
-    """yyyymmdd of the last date written as eight digits or as y-m-d with any of - / . or 年月."""
-    parts = F.regexp_extract_all(c, F.lit(r"((?:19|20)[0-9]{2})[-/.年]?([0-9]{1,2})[-/.月]?([0-9]{1,2})"), F.lit(0))
-    last = F.try_element_at(parts, F.lit(-1))
-    piece = lambda i: F.lpad(F.regexp_extract(last, r"((?:19|20)[0-9]{2})[-/.年]?([0-9]{1,2})[-/.月]?([0-9]{1,2})", i), 2, "0")
-    return F.when(last.isNotNull(), F.concat(F.regexp_extract(last, r"((?:19|20)[0-9]{2})", 1), piece(2), piece(3)))
+    """The last date in words, year alone or with month and day, as it is written; null without one."""
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(_DATE_WORDS), F.lit(0)), F.lit(-1))
 
 
 def strip_tags(c: Column) -> Column:
@@ -97,7 +107,7 @@ def chinese_number(c: Column) -> Column:
         v = F.try_element_at(kind, ch).cast("long")
         wan = F.struct(((a["all"] + a["part"] + a["digit"]) * 10_000).alias("all"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("digit"))
         unit = F.struct(a["all"].alias("all"), (a["part"] + F.greatest(a["digit"], F.lit(1)) * v).alias("part"), F.lit(0).cast("long").alias("digit"))
-        digit = F.struct(a["all"].alias("all"), a["part"].alias("part"), v.alias("digit"))
+        digit = F.struct(a["all"].alias("all"), a["part"].alias("part"), (a["digit"] * 10 + v).alias("digit"))
         return F.when(ch == "万", wan).when(v >= 10, unit).otherwise(digit)
 
     value = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), start, step, lambda a: a["all"] + a["part"] + a["digit"])

@@ -28,7 +28,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-_TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: length(t) > 1)"
+_TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: length(t) > 1 OR regexp_full_match(t, '[0-9]'))"
 _BM25 = rf"""
     d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), q AS (SELECT item_id, {_TOKENS} AS t FROM benchmark),
     s AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d),

@@ -23,7 +23,8 @@ def test_text(spark):
     assert one(spark, T.chinese_number, "二十一", "十", "一百零五", "两千", "三万二百", "12", "x", "") == [21, 10, 105, 2000, 30200, 12, None, None]
     assert one(spark, T.number_tokens, "5 of 12.5% in 2020, 5") == [["5", "12.5%"]]
     assert one(spark, T.year_tokens, "x_2020_1999 12020 2020") == [["2020", "1999"]]
-    assert one(spark, T.last_date, "20200528 and 2021-3-4", "none") == ["20210304", None]
+    assert one(spark, T.version_date, "20200528 and 2021-3-4", "2021-3-4 order 202135 ok", "order 202135 ok", "2021年3月4日") == ["20200528", "20210304", None, "20210304"]
+    assert one(spark, T.last_date, "2019年 and 2020年5月28日, 2021年3月", "20200528") == ["2021年3月", None]
     assert one(spark, T.citations, "a ##3$$ b ##1$$##3$$") == [[3, 1]]
     assert one(spark, T.canonical_citations, "x [ID: 2] 【4】") == ["x ##2$$##4$$"]
     assert one(spark, T.html_rows, "<table><tr><th>a</th><td> <b>1</b></td></tr><tr><td></td></tr></table>") == [[["a", "1"]]]
