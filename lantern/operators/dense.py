@@ -11,7 +11,7 @@ BLOCK = 4096
 
 
 def knn(queries: DataFrame, rows: DataFrame, qid: str, id: str, vector: str, k: int = 10, least: float = -1.0, same: bool = False) -> DataFrame:
-    """(qid, rank, id, similarity). Each task keeps its k best for each query; the best of these are ranked by query.
+    """(qid, rank, id, similarity). Of each Arrow batch the k best for each query stay; the best of these are ranked by query.
 
     Queries come to the driver in blocks of a fixed size, one pass over the rows for each. Rows with the query's own id are left
     out unless ``same``. Null vectors and vectors of length 0 match nothing. Ties go to the smaller id.
@@ -39,9 +39,9 @@ def _block(q: DataFrame, rows: DataFrame, qid: str, id: str, vector: str, k: int
         m = m / np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            x = np.array(batch.column(1).to_pylist(), float)
-            if not len(x):
+            if not len(ids):
                 continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
             x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
             sims = np.round(m @ x.T, 5)
             if not same:

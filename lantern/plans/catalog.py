@@ -302,14 +302,22 @@ def corpus_state(spark, d):
 
 @query("SELECT source, text, count(*) AS n FROM documents GROUP BY source, text HAVING count(*) > 1")
 def dup_uploads(spark, d):
-    return table(spark, d, "documents").groupBy("source", "text").agg(F.count("*").alias("n")).where("n > 1")
+    """Texts that a source holds more than once. Hashes are grouped; whole texts move only for those that occur again."""
+    docs = table(spark, d, "documents").select("source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), F.col("text").isNull().alias("empty"))
+    again = docs.groupBy("source", "h", "empty").agg(F.count("*").alias("n")).where("n > 1").select(F.col("source").alias("s"), F.col("h").alias("k"), F.col("empty").alias("e"), "n")
+    found = docs.join(again, docs["source"].eqNullSafe(F.col("s")) & (F.col("h") == F.col("k")) & (F.col("empty") == F.col("e")))
+    return found.dropDuplicates(["source", "k", "e"]).select("source", "text", "n")
 
 
-@query("SELECT source, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes, sha256(string_agg(sha256(text), ',' ORDER BY sha256(text))) AS fingerprint FROM documents GROUP BY source")
+@query("""WITH h AS (SELECT source, octet_length(encode(text)) AS b, sha256(text) AS h FROM documents), p AS (SELECT source, left(h, 4) AS bucket, count(*) AS files, sum(b)::BIGINT AS bytes, sha256(string_agg(h, ',' ORDER BY h)) AS part FROM h GROUP BY ALL)
+    SELECT source, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes, sha256(string_agg(part, ',' ORDER BY bucket)) AS fingerprint FROM p GROUP BY source""")
 def corpus_fingerprint(spark, d):
-    """Totals and a hash of all texts by source that no order changes."""
+    """Totals and a hash of all texts by source that no order changes: hashes are sorted and hashed in 65,536 buckets, then these."""
     h = table(spark, d, "documents").select("source", F.octet_length("text").alias("b"), F.sha2("text", 256).alias("h"))
-    return h.groupBy("source").agg(F.count("*").alias("files"), F.sum("b").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("fingerprint"))
+    listed = lambda c: F.sha2(F.array_join(c, ","), 256)
+    parts = h.groupBy("source", F.substring("h", 1, 4).alias("bucket")).agg(F.count("*").alias("files"), F.sum("b").alias("bytes"), listed(F.array_sort(F.collect_list("h"))).alias("part"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"])
+    return parts.groupBy("source").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), listed(whole).alias("fingerprint"))
 
 
 @query("""WITH m AS (SELECT l_returnflag AS k, avg(l_discount) AS a, avg(l_tax) AS b FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), n AS (SELECT l_returnflag AS k, avg(l_discount) AS a, avg(l_tax) AS b FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),

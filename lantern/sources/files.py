@@ -1,9 +1,8 @@
-"""File sources. Binary formats are decoded by Arrow batches, everything else by columns."""
+"""File sources: scans, signatures, DOCX and XLSX sections, snapshots. Binary formats are decoded by Arrow batches, everything else by columns."""
 
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from xml.etree import ElementTree
 
@@ -18,7 +17,7 @@ def scan(spark: SparkSession, path: str, allowed=ALLOWED) -> DataFrame:
     """path, name, ext, length, content, of files with an allowed extension."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     files = files.withColumn("name", F.regexp_extract("path", r"[^/]+$", 0)).withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
-    return files.where(F.col("ext").isin(*allowed)).select("path", "name", "ext", "length", "content")
+    return files.where(F.col("ext").isin(*allowed)).select("path", "name", "ext", "length", "modificationTime", "content").orderBy("name", "path")
 
 
 def signature_ok(ext: Column, content: Column) -> Column:
@@ -36,17 +35,45 @@ def accepted(files: DataFrame, largest: int = LARGEST) -> DataFrame:
 
 
 def snapshot(files: DataFrame) -> DataFrame:
-    return files.select("name", "length", F.sha2("content", 256).alias("sha256"))
+    columns = ["path", "name", "length", *(["modificationTime"] if "modificationTime" in files.columns else [])]
+    return files.select(*columns, F.sha2("content", 256).alias("sha256"))
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+_RELS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+
+
 def docx_paragraphs(content: bytes) -> list[str]:
+    """Paragraphs in order; a table as one HTML table in its place."""
+
+    def words(node) -> str:
+        return "".join(t.text or "" for t in node.iter(f"{_W}t"))
+
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         tree = ElementTree.fromstring(z.read("word/document.xml"))
-    return ["".join(t.text or "" for t in p.iter(f"{_W}t")) for p in tree.iter(f"{_W}p")]
+    body = tree.find(f"{_W}body")
+    out = []
+    for node in body if body is not None else tree:
+        if node.tag == f"{_W}p":
+            out.append(words(node))
+        elif node.tag == f"{_W}tbl":
+            rows = ["".join(f"<td>{words(c)}</td>" for c in r.iter(f"{_W}tc")) for r in node.iter(f"{_W}tr")]
+            out.append("<table>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>")
+    return out
+
+
+def column_number(reference: str) -> int:
+    """0 for A1, 27 for AB3."""
+    n = 0
+    for ch in reference:
+        if not ch.isalpha():
+            break
+        n = n * 26 + ord(ch.upper()) - 64
+    return n - 1
 
 
 def xlsx_rows(content: bytes) -> list[tuple[str, list[str]]]:
@@ -56,16 +83,20 @@ def xlsx_rows(content: bytes) -> list[tuple[str, list[str]]]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
-        titles = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
-        sheets = sorted((x for x in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)), key=lambda x: int(re.findall(r"\d+", x)[0]))
+        links = {}
+        if "xl/_rels/workbook.xml.rels" in names:
+            links = {r.get("Id"): r.get("Target").lstrip("/").removeprefix("xl/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter(f"{_RELS}Relationship")}
         out = []
-        for title, sheet in zip(titles, sheets, strict=False):
-            for row in ElementTree.fromstring(z.read(sheet)).iter(f"{_S}row"):
-                cells = []
+        for number, entry in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"), 1):
+            path = "xl/" + links.get(entry.get(_REL), f"worksheets/sheet{number}.xml")
+            for row in ElementTree.fromstring(z.read(path)).iter(f"{_S}row") if path in names else ():
+                cells: list[str] = []
                 for c in row.iter(f"{_S}c"):
                     v, inline = c.find(f"{_S}v"), "".join(t.text or "" for t in c.iter(f"{_S}t"))
-                    cells.append(shared[int(v.text)] if c.get("t") == "s" and v is not None else inline or (v.text if v is not None else "") or "")
-                out.append((title, cells))
+                    at = column_number(c.get("r")) if c.get("r") else len(cells)
+                    cells += [""] * (at + 1 - len(cells))
+                    cells[at] = shared[int(v.text)] if c.get("t") == "s" and v is not None else inline or (v.text if v is not None else "") or ""
+                out.append((entry.get("name"), cells))
         return out
 
 
@@ -84,7 +115,8 @@ def sections(files: DataFrame) -> DataFrame:
                         if sheet not in header:
                             header[sheet] = cells
                             continue
-                        line = "; ".join(f"{h}：{c}" if h else c for h, c in zip(header[sheet], cells, strict=False) if c)
+                        heads = header[sheet] + [""] * (len(cells) - len(header[sheet]))  # cells beyond the header have no name
+                        line = "; ".join(f"{h}：{c}" if h else c for h, c in zip(heads, cells, strict=False) if c)
                         found.append(line if "sheet" in sheet.lower() else f"{line} ——{sheet}")
                 else:
                     found = content.decode("utf-8", "replace").splitlines()

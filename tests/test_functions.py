@@ -20,7 +20,7 @@ def test_text(spark):
     assert one(spark, T.normalize, "ＡＢ１　 x\n\ty ", None) == ["AB1 x y", None]
     assert one(spark, T.match_key, "Ａ b（C）") == ["ab(c)"]
     assert one(spark, lambda c: T.clip(c, 6), "abcdefg", "abcdef") == ["abc...", "abcdef"]
-    assert one(spark, T.chinese_number, "二十一", "十", "一百零五", "两千", "三万二百", "12", "x", "") == [21, 10, 105, 2000, 30200, 12, None, None]
+    assert one(spark, T.chinese_number, "二十一", "十", "一百零五", "两千", "三万二百", "12", "x", "", "二〇二四", "二零二零") == [21, 10, 105, 2000, 30200, 12, None, None, 2024, 2020]
     assert one(spark, T.number_tokens, "5 of 12.5% in 2020, 5") == [["5", "12.5%"]]
     assert one(spark, T.year_tokens, "x_2020_1999 12020 2020") == [["2020", "1999"]]
     assert one(spark, T.version_date, "20200528 and 2021-3-4", "2021-3-4 order 202135 ok", "order 202135 ok", "2021年3月4日") == ["20200528", "20210304", None, "20210304"]
@@ -42,6 +42,23 @@ def test_files(spark, tmp_path):
     assert sorted(tuple(r) for r in files.sections(found).collect()) == [("a.txt", 0, "one"), ("a.txt", 1, "two"), ("e.docx", 0, "Hello")]
 
 
+def test_sheets_with_gaps_and_other_order(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cell = lambda r, v: f'<c r="{r}" t="inlineStr"><is><t>{v}</t></is></c>'
+    with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="people" r:id="r2"/><sheet name="Sheet2" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row>{cell("A1", "k")}</row><row>{cell("A2", "v")}</row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {ns}><sheetData><row>{cell("A1", "name")}{cell("B1", "age")}{cell("C1", "city")}</row><row>{cell("A2", "ann")}{cell("C2", "Rome")}{cell("D2", "more")}</row></sheetData></worksheet>')
+    with zipfile.ZipFile(tmp_path / "t.docx", "w") as z:
+        w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>one</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl></w:body></w:document>')
+    found = files.accepted(files.scan(spark, str(tmp_path)))
+    assert sorted(tuple(r) for r in files.sections(found).collect()) == [("s.xlsx", 0, "name：ann; city：Rome; more ——people"), ("s.xlsx", 1, "k：v"), ("t.docx", 0, "one"), ("t.docx", 1, "<table><tr><td>a</td><td></td></tr></table>")]
+    assert files.column_number("AB3") == 27 and {"path", "modificationTime"} <= set(files.snapshot(found).columns)
+
+
 def test_ingestion_adds_each_key_once(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     for part in (range(0, 5), range(3, 8)):
