@@ -53,6 +53,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def once(value: Column) -> Column:
+    """value as the row of a generator: filters that name its fields stay above it and don't work it out again."""
+    return F.explode(F.array(value))
+
+
 def record(fields: dict[str, Column]) -> Column:
     return F.struct(*(c.alias(n) for n, c in fields.items()))
 

@@ -38,39 +38,44 @@ def candidates(asked: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """pairs with got (titles in the name, none that a longer one of them covers), conflict, anchored, score."""
+    """pairs that fit, with score: those that don't conflict with the question, hold what it names and are worth something."""
     k, name, version, q = F.col("k"), F.col("name"), F.col("version"), F.col("question")
     longer = lambda t: F.exists("tk", lambda o: (o != t) & F.contains(o, t) & F.contains(k, o))
-    p = pairs.withColumn("got", F.filter("tk", lambda t: F.contains(k, t) & ~longer(t)))
     issue = lambda i: F.contains(name, F.concat(F.lit("_"), i, F.lit("_npc"))) | F.contains(name, F.concat(F.lit("_"), i, F.lit(".")))
     dated = version != ""
-    conflict = (
-        (F.contains(name, F.lit("公报")) & F.exists("refused_issues", issue)) | (F.col("no_dated") & dated) | (F.col("no_base") & ~dated) | F.array_contains("refused_dates", version)
-        | (F.exists("rk", lambda t: F.contains(k, t)) & (F.size("got") == 0))
-    )
-    anchored = (
-        F.when(F.size("keys") > 0, F.exists("keys", lambda y: F.contains(k, y))).when((F.size("tk") > 0) & (F.size("got") == 0), False)
-        .when(F.size("sk") > 0, F.exists("sk", lambda t: F.contains(k, t))).otherwise(True)
-    )
-    body = F.concat(k, F.when(dated, version).otherwise(F.lit("基础版")))
     worth = lambda c, n: F.when(c, n).otherwise(0)
     total = lambda values, f: F.aggregate(values, F.lit(0), lambda s, x: s + f(x))
     article = F.col("route") == "law_article_lookup"
     gazette = F.contains(q, F.lit("公报")) | (F.col("route") == "gazette_issue_lookup")
-    score = (
-        worth(conflict, CONFLICT) + F.size("got") * TITLE + worth((F.size("tk") > 0) & (F.size("got") == F.size("tk")), ALL_TITLES)
-        + F.when(article & (F.size("got") > 0), F.when(Q.any_of(name, COMMENTS), ARTICLE_TITLE + COMMENT).otherwise(ARTICLE_TITLE + PLAIN)).otherwise(0)
-        + SUBJECT * _count("sk", lambda t: F.contains(body, t))
-        + F.when(gazette, worth(F.contains(name, F.lit("公报")), GAZETTE) + worth(F.contains(F.lower(name), F.lit("npc")), NPC) + KEY * _count("keys", lambda y: F.contains(k, y)) + YEAR * _count("years", lambda y: F.contains(name, y)) + ISSUE * _count("issues", issue)).otherwise(0)
-        + total("dates", lambda t: F.when(F.contains(body, t), DATE).otherwise(worth(dated, OTHER_DATE))) + worth(F.col("current") & dated, CURRENT) + F.when(F.col("base"), F.when(dated, NOT_BASE).otherwise(BASE)).otherwise(0)
-        + total("articles", lambda t: F.when(F.contains(body, t), ARTICLE).otherwise(worth(article, NO_ARTICLE))) + CASE * _count("cases", lambda t: F.contains(body, t))
-    )
-    return p.withColumn("conflict", conflict).withColumn("anchored", anchored).withColumn("score", score)
+
+    def of_body(got, body):
+        """got: titles in the name, none that a longer one of them covers."""
+        conflict = (
+            (F.contains(name, F.lit("公报")) & F.exists("refused_issues", issue)) | (F.col("no_dated") & dated) | (F.col("no_base") & ~dated) | F.array_contains("refused_dates", version)
+            | (F.exists("rk", lambda t: F.contains(k, t)) & (F.size(got) == 0))
+        )
+        anchored = (
+            F.when(F.size("keys") > 0, F.exists("keys", lambda y: F.contains(k, y))).when((F.size("tk") > 0) & (F.size(got) == 0), False)
+            .when(F.size("sk") > 0, F.exists("sk", lambda t: F.contains(k, t))).otherwise(True)
+        )
+        score = (
+            F.size(got) * TITLE + worth((F.size("tk") > 0) & (F.size(got) == F.size("tk")), ALL_TITLES)
+            + F.when(article & (F.size(got) > 0), F.when(Q.any_of(name, COMMENTS), ARTICLE_TITLE + COMMENT).otherwise(ARTICLE_TITLE + PLAIN)).otherwise(0)
+            + SUBJECT * _count("sk", lambda t: F.contains(body, t))
+            + F.when(gazette, worth(F.contains(name, F.lit("公报")), GAZETTE) + worth(F.contains(F.lower(name), F.lit("npc")), NPC) + KEY * _count("keys", lambda y: F.contains(k, y)) + YEAR * _count("years", lambda y: F.contains(name, y)) + ISSUE * _count("issues", issue)).otherwise(0)
+            + total("dates", lambda t: F.when(F.contains(body, t), DATE).otherwise(worth(dated, OTHER_DATE))) + worth(F.col("current") & dated, CURRENT) + F.when(F.col("base"), F.when(dated, NOT_BASE).otherwise(BASE)).otherwise(0)
+            + total("articles", lambda t: F.when(F.contains(body, t), ARTICLE).otherwise(worth(article, NO_ARTICLE))) + CASE * _count("cases", lambda t: F.contains(body, t))
+        )
+        return F.when(conflict, CONFLICT).when(anchored, score).otherwise(0)
+
+    body = F.concat(k, F.when(dated, version).otherwise(F.lit("基础版")))
+    score = Q.let(F.filter("tk", lambda t: F.contains(k, t) & ~longer(t)), lambda got: Q.let(body, lambda b: of_body(got, b)))
+    return pairs.withColumn("score", F.explode(F.filter(F.array(score), lambda x: x > 0)))
 
 
 def ranked(asked: DataFrame, files: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` best files of each question, or as many as it wants, that don't conflict with it: with rank."""
-    fit = scored(candidates(asked, files)).where("score > 0 and not conflict and anchored")
+    fit = scored(candidates(asked, files))
     best = Window.partitionBy("q_id").orderBy(F.col("score").desc(), "name")
     return fit.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.greatest(F.lit(limit), F.col("wanted")))
 

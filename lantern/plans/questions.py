@@ -89,12 +89,12 @@ def questions(spark, d) -> DataFrame:
 
 def asked(spark, d) -> DataFrame:
     """Questions with their slots and routes."""
-    s = questions(spark, d).select("q_id", Q.slots(F.col("q")).alias("s"))
-    return s.select("q_id", "s", Q.routed(F.col("s")).alias("r")).select("q_id", "s.*", "r.*")
+    s = questions(spark, d).select("q_id", Q.once(Q.slots(F.col("q"))).alias("s"))
+    return s.select("q_id", "s", Q.once(Q.routed(F.col("s"))).alias("r")).select("q_id", "s.*", "r.*")
 
 
 def _profiled(spark, d) -> DataFrame:
-    p = questions(spark, d).select("q_id", Q.profile(F.col("q")).alias("p")).select("q_id", "p.*")
+    p = questions(spark, d).select("q_id", Q.once(Q.profile(F.col("q"))).alias("p")).select("q_id", "p.*")
     return p.select("*", *(c.alias(n) for n, c in Q.flags().items()))
 
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lantern.functions import text as T
-from lantern.plans import catalog, evidence  # noqa: F401, evidence registers its queries
+from lantern.operators import packing
+from lantern.plans import answers, catalog, evidence, questions, records, scoring  # noqa: F401, these register their queries
 from lantern.sources import files
 from lantern.streaming import tasks
 
@@ -30,6 +31,21 @@ def test_text(spark):
     assert one(spark, T.html_rows, "<table><tr><th>a</th><td> <b>1</b></td></tr><tr><td></td></tr></table>") == [[["a", "1"]]]
 
 
+def test_packing():
+    sizes, none = [3, 4, 5, 1, 9, 2], [False] * 6
+    assert packing.greedy(sizes, none, 6, before=False) == [0, 0, 1, 1, 1, 2]
+    assert packing.greedy(sizes, none, 8, before=True) == [0, 0, 1, 1, 2, 3]
+    assert packing.greedy(sizes, [True, False, False, True, False, False], 100, before=True) == [0, 0, 0, 1, 1, 1]
+    assert packing.greedy([], [], 5, before=True) == []
+
+
+def test_conditions(spark):
+    df = spark.range(6).selectExpr("id", "cast(id % 3 as string) s")
+    assert records.where_equal(df, {"s": ["1", "2"], "id": 4}).count() == 1 and records.where_equal(df, {"s": "", "id": 0}).count() == 6
+    with pytest.raises(TypeError):
+        records.where_equal(df, {"s": 1.5})
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\n\ntwo")
     (tmp_path / "b.pdf").write_bytes(b"not a pdf")
@@ -68,10 +84,10 @@ def test_ingestion_adds_each_key_once(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == list(range(8))
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "retrieval_metrics", "doc_round_robin", "tag_lift", "line_chunks", "soft_hard_filter", "cross_query_fusion", "region_overlap", "cross_page_tables", "crash_recovery", "answer_metrics"])
+@pytest.mark.parametrize("name", ["bm25_topk", "retrieval_metrics", "doc_round_robin", "tag_lift", "line_chunks", "soft_hard_filter", "cross_query_fusion", "region_overlap", "cross_page_tables", "crash_recovery", "answer_metrics", "latency_percentile", "corpus_fingerprint", "dup_uploads", "question_slots", "question_routes", "question_weights", "planned_queries", "coverage_rerank", "answerability", "answer_checks", "evidence_order", "token_chunks", "merged_boxes", "document_metadata", "numerals_and_dates", "retrieval_report", "markdown_tables"])
 def test_queries_as_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "lineitem", "events"):
+    for t in ("documents", "benchmark", "labels", "lineitem", "events", "orders", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = catalog.QUERIES[name](spark, sf)
     columns = sorted(got.columns)
