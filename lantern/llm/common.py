@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -96,3 +97,14 @@ def slices(batch, size: int = 256):
     """Small pieces of an Arrow batch, so that few texts are Python objects at a time."""
     for i in range(0, batch.num_rows, size):
         yield batch.slice(i, size)
+
+
+def portions(batch, column: int, most: int = 8 << 20):
+    """Pieces of an Arrow batch, each of about ``most`` bytes of a text column at the most, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop

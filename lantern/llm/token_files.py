@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lantern.llm.common import slices
+from lantern.llm.common import portions, slices
 
 SAMPLES, DICTIONARY, BLOCK, LEVEL = 2000, 64 * 1024, 4 << 20, 3
 SLICES, SLICE = 8, 256
@@ -80,19 +80,21 @@ class Encoder:
         if len(self.known) > MEMORY:
             self.old, self.known = self.known, {}
         known, old, marks = self.known, self.old, self.marks
-        ended, new = [], set()
+        ended, words, others = [], set(), []
         for p in [p for p in pieces if p not in known]:
             ids = old.get(p)
             if ids is not None:
                 known[p] = ids
+            elif p.isalpha():
+                words.add(p)
             elif p[-1:] in marks and p[:-1].isalpha():  # letters and a mark are two tokens' worth
                 ended.append(p)
                 if p[:-1] not in known:
-                    new.add(p[:-1])
+                    words.add(p[:-1])
             else:
-                new.add(p)
-        heads, rest, alone = [], [], []
-        for p in new:
+                others.append(p)
+        heads, rest, alone = [], list(words), []
+        for p in others:
             if not p or p[-1].isspace() or p[0].isspace() and (p[0] != "\n" or p[1:2].isspace()):
                 alone.append(p)  # would touch the line break beside it
             else:
@@ -111,13 +113,11 @@ class Encoder:
         words = pc.split_pattern(cut, " ")
         coded = words.flatten().dictionary_encode()
         ids = self._learn(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts, held = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(ids), "<u4")
-        codes = coded.indices.to_numpy()
-        sizes = lengths[codes]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        every = held[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], sizes)]
-        at = ends[words.offsets.to_numpy()].tolist()
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], ends))), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        taken = lists.take(coded.indices)
+        every = taken.flatten().to_numpy()
+        at = taken.offsets.to_numpy()[words.offsets.to_numpy()].tolist() if len(taken) else [0] * len(words.offsets)
         parts = iter([every[i + 1 : j] for i, j in zip(at[:-1], at[1:], strict=True)])  # without the line break put before the text
         return [next(parts) if s else np.frombuffer(next(whole), "<u4") for s in safe]
 
@@ -190,7 +190,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> str:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value), write_content_size=True)
         rows, held, number = [], 0, 0
         for batch in batches:
-            for part in slices(batch):
+            for part in portions(batch, 2):
                 for doc, ids in zip(part.column(1).to_pylist(), pieces.encode(part.column(2).to_pylist()), strict=True):
                     frame = packer.compress(serialized(ids, end))
                     rows.append((doc, len(ids) + 1, frame))
@@ -203,11 +203,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> str:
             yield block(here, number, rows)
 
     def block(part, number, rows):
-        ends = np.cumsum([0, *(len(r[2]) for r in rows)]).tolist()
-        starts = np.cumsum([0, *(r[1] for r in rows)]).tolist()
-        places = [{"doc_id": r[0], "offset": o, "bytes": len(r[2]), "before": s, "n_tokens": r[1]} for r, o, s in zip(rows, ends, starts, strict=False)]
-        kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("doc_id", "offset", "bytes", "before", "n_tokens")]))
-        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), pa.array([digest]), pa.array([starts[-1]], pa.int64()), pa.array([places], kind), pa.array([b"".join(r[2] for r in rows)], pa.binary())], ["block", "dictionary_hash", "tokens", "places", "data"])
+        ids, tokens, frames = zip(*rows, strict=True)
+        sizes, tokens = np.fromiter(map(len, frames), np.int64, len(frames)), np.array(tokens, np.int64)
+        columns = [pa.array(ids, pa.int64()), *map(pa.array, (np.cumsum(sizes) - sizes, sizes, np.cumsum(tokens) - tokens, tokens))]
+        places = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.StructArray.from_arrays(columns, ["doc_id", "offset", "bytes", "before", "n_tokens"]))
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), pa.array([digest]), pa.array([int(tokens.sum())], pa.int64()), places, pa.array([b"".join(frames)], pa.binary())], ["block", "dictionary_hash", "tokens", "places", "data"])
 
     order = F.col("doc_id").asc_nulls_first()
     ranged = _texts(docs).repartitionByRange(order, F.xxhash64("text")).sortWithinPartitions(order)
@@ -234,8 +234,8 @@ def _opened(spark: SparkSession, path: str) -> tuple[str, bytes]:
     return row["hash"], data
 
 
-def _decoded(spark: SparkSession, path: str, blocks: DataFrame, each, schema: str, names: list) -> DataFrame:
-    """Decodes blocks where they are read and calls each(ids) for every document; schema has what it gives. Blocks aren't shuffled."""
+def _decoded(spark: SparkSession, path: str, blocks: DataFrame, each, name: str, sql: str, kind: pa.DataType) -> DataFrame:
+    """Decodes blocks where they are read; column ``name`` holds each(ids) of every document. Blocks aren't shuffled."""
     digest, data = _opened(spark, path)
     shared = spark.sparkContext.broadcast(data)
 
@@ -243,25 +243,26 @@ def _decoded(spark: SparkSession, path: str, blocks: DataFrame, each, schema: st
         opener = zstandard.ZstdDecompressor(dict_data=_dictionary(shared.value))
         for batch in batches:
             for part in slices(batch, 1):
-                (number,), (held,), (places,), (blob,) = (c.to_pylist() for c in part.columns)
+                (number,), (held,), (blob,) = (part.column(i).to_pylist() for i in (0, 1, 3))
                 if held != digest:
                     raise ValueError("a block was written with another dictionary")
-                rows = []
-                for d in places:
-                    ids = deserialized(opener.decompress(blob[d["offset"] : d["offset"] + d["bytes"]]))
-                    if len(ids) != d["n_tokens"]:
-                        raise ValueError(f"document {d['doc_id']} has {len(ids)} ids, its index {d['n_tokens']}")
-                    rows.append({"doc_id": d["doc_id"], "block": number, "before": d["before"], "n_tokens": len(ids), **each(ids)})
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*((k, pa.int64()) for k in ("doc_id", "block", "before", "n_tokens")), *names]))
-
-    decoded = blocks.select("block", "dictionary_hash", "places", "data").mapInArrow(run, f"doc_id long, block long, before long, n_tokens long, {schema}")
+                docs, offsets, sizes, before, tokens = part.column(2).flatten().flatten()
+                view, out = memoryview(blob), []
+                for o, n, count in zip(offsets.to_pylist(), sizes.to_pylist(), tokens.to_pylist(), strict=True):
+                    ids = deserialized(opener.decompress(view[o : o + n]))
+                    if len(ids) != count:
+                        raise ValueError(f"block {number} has a document of {len(ids)} ids, its index {count}")
+                    out.append(each(ids))
+                yield pa.RecordBatch.from_arrays([docs, pa.array([number] * len(out), pa.int64()), before, tokens, pa.array(out, kind)], ["doc_id", "block", "before", "n_tokens", name])
+
+    decoded = blocks.select("block", "dictionary_hash", "places", "data").mapInArrow(run, f"doc_id long, block long, before long, n_tokens long, {name} {sql}")
     heads = spark.read.parquet(f"{path}/heads")
-    return decoded.join(heads, "block").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", *(n[0] for n in names))
+    return decoded.join(heads, "block").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", name)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids."""
-    return _decoded(spark, path, spark.read.parquet(f"{path}/blocks"), lambda ids: {"ids": ids.tolist()}, "ids array<long>", [("ids", pa.list_(pa.int64()))])
+    return _decoded(spark, path, spark.read.parquet(f"{path}/blocks"), lambda ids: ids.tolist(), "ids", "array<long>", pa.list_(pa.int64()))
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -269,9 +270,13 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     found = spark.read.parquet(f"{path}/index").where(F.col("doc_id").isin(doc_ids)).select("block").distinct().collect()
     blocks = spark.read.parquet(f"{path}/blocks").where(F.col("block").isin([r["block"] for r in found]))
     blocks = blocks.withColumn("places", F.filter("places", lambda p: p["doc_id"].isin(doc_ids)))
-    return _decoded(spark, path, blocks, lambda ids: {"ids": ids.tolist()}, "ids array<long>", [("ids", pa.list_(pa.int64()))])
+    return _decoded(spark, path, blocks, lambda ids: ids.tolist(), "ids", "array<long>", pa.list_(pa.int64()))
+
+
+def zlib_crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.tobytes())
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, from the files."""
-    return _decoded(spark, path, spark.read.parquet(f"{path}/blocks"), lambda ids: {"ids_crc32": zlib.crc32(ids.tobytes())}, "ids_crc32 long", [("ids_crc32", pa.int64())])
+    return _decoded(spark, path, spark.read.parquet(f"{path}/blocks"), zlib_crc, "ids_crc32", "long", pa.int64())
