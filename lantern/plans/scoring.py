@@ -224,3 +224,73 @@ def year_conflicts(spark, d):
     """Whether the years of a question and of its evidence have none in common."""
     y = references(spark, d).select("q_id", F.explode_outer(Q.years(F.concat_ws(" ", "name", "text"))).alias("y")).groupBy("q_id").agg(F.collect_set("y").alias("found"))
     return asked(spark, d).join(y, "q_id").select("q_id", ((F.size("years") > 0) & (F.size("found") > 0) & ~F.arrays_overlap("years", "found")).alias("conflict"))
+
+
+# ---- sections, dictionaries, forms ----
+
+_LINES = f"l AS (SELECT page_id, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS n FROM (SELECT page_id, {_MD} AS t FROM pages))"
+_WORDS = "len(regexp_extract_all(line, '[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]'))"
+
+
+@query(f"""WITH {_LINES}, f AS (SELECT *, {_WORDS} > 12 AS large, starts_with(trim(line), '#') AS head FROM l),
+    h AS (SELECT page_id, n, part, CASE WHEN large THEN CASE WHEN part = 0 THEN left(line, length(line) // 2) ELSE substr(line, length(line) // 2 + 1) END ELSE line END AS line, large, head AND NOT (large AND part = 1) AS head FROM f, (SELECT unnest(range(2)) AS part) WHERE large OR part = 0),
+    s AS (SELECT *, last_value(CASE WHEN head THEN 1 WHEN large THEN 0 END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY n, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside FROM h),
+    g AS (SELECT *, sum((large OR head OR coalesce(inside, 0) = 0)::INT) OVER (PARTITION BY page_id ORDER BY n, part ROWS UNBOUNDED PRECEDING) AS section FROM s)
+    SELECT page_id, section::INT AS section, string_agg(line, chr(10) ORDER BY n, part) AS text FROM g GROUP BY page_id, section""")
+def markdown_sections(spark, d):
+    """Lines of Markdown; those behind a heading belong to it, an overlong one is halved and stands alone."""
+    m = table(spark, d, "pages").select("page_id", F.posexplode(F.split(F.expr(_MD), "\n", -1)).alias("n", "line"))
+    large = F.regexp_count("line", F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) > 12
+    m = m.withColumn("large", large).withColumn("head", F.startswith(F.trim("line"), F.lit("#")))
+    half = F.floor(F.length("line") / 2).cast("int")
+    parts = F.when(F.col("large"), F.array(F.left("line", half), F.substring("line", half + 1, F.length("line")))).otherwise(F.array("line"))
+    m = m.select("page_id", "n", "large", "head", F.posexplode(parts).alias("part", "line")).withColumn("head", F.col("head") & ~(F.col("large") & (F.col("part") == 1)))
+    w = Window.partitionBy("page_id").orderBy("n", "part")
+    inside = F.last(F.when(F.col("head"), 1).when(F.col("large"), 0), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (F.col("large") | F.col("head") | (F.coalesce(inside, F.lit(0)) == 0)).cast("int")
+    g = m.withColumn("fresh", fresh).withColumn("section", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    g = g.groupBy("page_id", "section").agg(F.sort_array(F.collect_list(F.struct("n", "part", "line"))).alias("l"))
+    return g.select("page_id", "section", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+
+
+_BULLETS = (("chapter", "^第[一二三四五六七八九十百0-9]+(?:编|章|节|条)"), ("number", "^[0-9]{1,2}[.、]"), ("mark", "^(?:#|[(（][一二三四五六七八九十0-9]+[)）])"), ("dash", "^[-|]"))
+
+
+@query(f"""WITH {_LINES}, v AS (SELECT page_id, k, count(*) AS n FROM (SELECT page_id, unnest(list_filter([{', '.join(f"CASE WHEN regexp_matches(trim(line), '{p}') THEN {i} END" for i, (_, p) in enumerate(_BULLETS))}], lambda x: x IS NOT NULL)) AS k FROM l) GROUP BY page_id, k)
+    SELECT page_id, {list(n for n, _ in _BULLETS)}[k + 1] AS kind, n FROM v QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, k) = 1""")
+def bullet_votes(spark, d):
+    """The kind of numbering that most lines of a page have, the first of equal ones."""
+    lines = table(spark, d, "pages").select("page_id", F.explode(F.transform(F.split(F.expr(_MD), "\n"), lambda x: F.trim(x))).alias("line"))
+    kinds = F.array_compact(F.array(*(F.when(F.rlike("line", F.lit(p)), F.lit(i)) for i, (_, p) in enumerate(_BULLETS))))
+    v = lines.select("page_id", F.explode(kinds).alias("k")).groupBy("page_id", "k").agg(F.count("*").alias("n"))
+    best = v.groupBy("page_id").agg(F.max_by(F.struct("k", "n"), F.struct("n", -F.col("k"))).alias("b"))
+    return best.select("page_id", F.element_at(F.array(*(F.lit(n) for n, _ in _BULLETS)), F.col("b.k") + 1).alias("kind"), "b.n")
+
+
+_ALIASES = {"economy": ("econ", "budget"), "standard": ("std", "default"), "promo": ("promotion",), "small": ("mini", "tiny"), "large": ("big", "huge")}
+
+
+@query(f"""WITH e AS (SELECT unnest({list(_ALIASES)}) AS entry, unnest({[list(v) for v in _ALIASES.values()]}) AS aliases), t AS (SELECT p_partkey, lower(trim(p_type)) AS kind, lower(p_name) AS name FROM part)
+    SELECT p_partkey, min(entry) AS entry, min(CASE WHEN kind = entry THEN 0 WHEN list_contains(aliases, kind) THEN 1 ELSE 2 END)::INT AS how FROM t JOIN e ON kind = entry OR list_contains(aliases, kind) OR contains(name, entry) GROUP BY p_partkey""")
+def dictionary_lookup(spark, d):
+    """Entries of a dictionary by name, by alias or inside a text; the dictionary is small and sent to all tasks."""
+    entries = spark.createDataFrame([(k, list(v)) for k, v in _ALIASES.items()], "entry string, aliases array<string>")
+    t = table(spark, d, "part").select("p_partkey", F.lower(F.trim("p_type")).alias("kind"), F.lower("p_name").alias("name"))
+    alias = F.array_contains("aliases", F.col("kind"))
+    how = F.when(F.col("kind") == F.col("entry"), 0).when(alias, 1).otherwise(2)
+    found = t.join(F.broadcast(entries), (F.col("kind") == F.col("entry")) | alias | F.contains("name", F.col("entry")))
+    return found.groupBy("p_partkey").agg(F.min("entry").alias("entry"), F.min(how).alias("how"))
+
+
+@query("""SELECT o_orderkey, regexp_replace(regexp_replace(o_totalprice::DECIMAL(18, 2)::VARCHAR, '0+$', ''), '[.]$', '') AS price, sha256(json_object('status', o_orderstatus, 'total', regexp_replace(regexp_replace(o_totalprice::DECIMAL(18, 2)::VARCHAR, '0+$', ''), '[.]$', ''))::VARCHAR)[:16] AS id FROM orders""")
+def canonical_records(spark, d):
+    """Numbers without needless zeros, and ids of records by their canonical JSON."""
+    price = F.regexp_replace(F.regexp_replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), "0+$", ""), "[.]$", "")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", price.alias("price"))
+    return o.select("o_orderkey", "price", F.left(F.sha2(F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("price").alias("total"))), 256), F.lit(16)).alias("id"))
+
+
+@query(f"""SELECT name, count(*) AS chunks, min(doc_id) AS first_id FROM (SELECT doc_id, {_FILE} AS name FROM documents) GROUP BY name""")
+def indexed_names(spark, d):
+    """Names in the index with the number of their chunks."""
+    return table(spark, d, "documents").groupBy(F.expr(_FILE).alias("name")).agg(F.count("*").alias("chunks"), F.min("doc_id").alias("first_id"))
