@@ -294,3 +294,63 @@ def canonical_records(spark, d):
 def indexed_names(spark, d):
     """Names in the index with the number of their chunks."""
     return table(spark, d, "documents").groupBy(F.expr(_FILE).alias("name")).agg(F.count("*").alias("chunks"), F.min("doc_id").alias("first_id"))
+
+
+# ---- payloads ----
+
+
+@query(f"""WITH {_R}, g AS (SELECT o_orderkey AS q_id, {_ANSWER} AS answer, (o_orderkey % 4)::INT AS n FROM orders), c AS (SELECT q_id, n, len({_CITED})::INT AS cited FROM g),
+    f AS (SELECT q_id, name, min(i) AS i FROM refs GROUP BY q_id, name), t AS (SELECT q_id, string_agg(name, '|' ORDER BY i) FILTER (WHERE k <= 3) AS top FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY i) AS k FROM f) GROUP BY q_id)
+    SELECT c.q_id, n AS evidence, cited, coalesce(top, '') AS documents, n > 0 AND cited = 0 AS review FROM c LEFT JOIN t ON c.q_id = t.q_id""")
+def audit_payloads(spark, d):
+    """What is kept of an answer: how much evidence it had, how much it cites, the first three documents, whether someone should look."""
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("q_id"), F.expr(_ANSWER).alias("answer"), (F.col("o_orderkey") % 4).cast("int").alias("evidence"))
+    cited = F.size(F.filter(citations(canonical_citations(F.col("answer"))), lambda j: (j >= 1) & (j <= F.col("evidence"))))
+    r = references(spark, d).groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("i", "name"))).alias("l"))
+    top = F.array_join(F.slice(F.array_distinct(F.transform("l", lambda x: x["name"])), 1, 3), "|")
+    a = a.select("q_id", "evidence", cited.alias("cited")).join(r.select("q_id", top.alias("documents")), "q_id", "left")
+    return a.select("q_id", "evidence", "cited", F.coalesce("documents", F.lit("")).alias("documents"), ((F.col("evidence") > 0) & (F.col("cited") == 0)).alias("review"))
+
+
+@query(f"""WITH {_R} SELECT q_id, i, '【' || regexp_replace(name, '[.][^.]+$', '') || '】' || CASE WHEN len(a) > 0 THEN '锚点：' || array_to_string(a, '、') || chr(10) ELSE '' END || text AS enriched, sha1(name || '#' || i)[:16] AS id
+    FROM (SELECT *, {_distinct(f"regexp_extract_all(text, '{Q.ARTICLE}')")}[1:16] AS a FROM refs)""")
+def enriched_chunks(spark, d):
+    """A chunk's text behind its document's name and its first 16 anchors, with an id of its own."""
+    r = references(spark, d).withColumn("a", F.slice(Q.ordered(Q.every(F.col("text"), Q.ARTICLE)), 1, 16))
+    head = F.concat(F.lit("【"), F.regexp_replace("name", "[.][^.]+$", ""), F.lit("】"))
+    anchors = F.when(F.size("a") > 0, F.concat(F.lit("锚点："), F.array_join("a", "、"), F.lit("\n"))).otherwise("")
+    return r.select("q_id", "i", F.concat(head, anchors, F.col("text")).alias("enriched"), F.substring(F.sha1(F.concat_ws("#", "name", "i").cast("binary")), 1, 16).alias("id"))
+
+
+_STOPS = ("第", "《", "的", "版", "现行", "公报", "年", "，")
+
+
+@query(f"""WITH {_Q}, p AS (SELECT q_id, question, list_min(list_filter([{', '.join(f"strpos(question, '{w}')" for w in _STOPS)}], lambda x: x > 0)) AS stop FROM asked)
+    SELECT q_id, CASE WHEN length(c) BETWEEN 2 AND 16 THEN c ELSE '' END AS subject FROM (SELECT q_id, string_split_regex(trim(CASE WHEN stop IS NULL THEN question ELSE left(question, stop - 1) END), '[，。？?：:\\s]')[1] AS c FROM p)""")
+def subject_candidates(spark, d):
+    """What stands before the first word that can't belong to a name, if it is as long as a name."""
+    q = asked(spark, d).select("q_id", "question")
+    places = F.filter(F.array(*(F.instr("question", w) for w in _STOPS)), lambda x: x > 0)
+    stop = F.array_min(places)
+    head = F.trim(F.when(stop.isNull(), F.col("question")).otherwise(F.left("question", stop - 1)))
+    c = F.get(F.split(head, r"[，。？?：:\s]"), 0)
+    return q.select("q_id", F.when(F.length(c).between(2, 16), c).otherwise("").alias("subject"))
+
+
+_PERIODS = "CASE o_orderkey % 5 WHEN 0 THEN '2' || (o_orderkey % 10) || 'Q' || (o_orderkey % 4 + 1) || '营收' WHEN 1 THEN '2023年报与23H1' WHEN 2 THEN '2022三季报、2022半年报' WHEN 3 THEN '24q1 和 24Q1' ELSE o_orderpriority END"
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS q_id, {_PERIODS} AS t FROM orders), x AS (SELECT q_id, regexp_extract_all(t, '(?i)[0-9]{{2}}(?:Q[1-4]|H[12])') || regexp_extract_all(t, '[0-9]{{4}}(?:年报|三季报|中报|半年报)') AS p FROM t)
+    SELECT q_id, array_to_string({_distinct('p')}, '|') AS periods, len(p)::INT AS n FROM x""")
+def report_periods(spark, d):
+    """Quarters, halves and reports that a text names."""
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("q_id"), F.expr(_PERIODS).alias("t"))
+    p = F.concat(Q.every(F.col("t"), "(?i)[0-9]{2}(?:Q[1-4]|H[12])"), Q.every(F.col("t"), "[0-9]{4}(?:年报|三季报|中报|半年报)"))
+    return t.select("q_id", F.array_join(F.array_distinct(p), "|").alias("periods"), F.size(p).alias("n"))
+
+
+@query("""SELECT event_id, floor(epoch(ts))::BIGINT AS seconds, strftime(ts, '%Y-%m') AS month, date_diff('day', ts::DATE, DATE '2030-01-01')::INT AS days, floor(date_diff('day', ts::DATE, DATE '2030-01-01') / 365.25)::INT AS age FROM events""")
+def date_parts(spark, d):
+    """Seconds, months, days and whole years up to a day."""
+    days = F.datediff(F.lit("2030-01-01").cast("date"), F.to_date("ts"))
+    return table(spark, d, "events").select("event_id", F.unix_timestamp("ts").alias("seconds"), F.date_format("ts", "yyyy-MM").alias("month"), days.alias("days"), F.floor(days / 365.25).cast("int").alias("age"))
