@@ -1,20 +1,24 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
-A document's n-grams are hashed to 64 bits. Documents with equal sets are one class, of which the smallest doc_id stands for all.
-Since a pair that links has so large an overlap, it shares one of the first ``n - ceil(t n) + 1`` n-grams of either document in any
-fixed order; only these columns of the incidence matter. The order puts n-grams that are common in the corpus last, by a count
-sketch of fixed size over all documents (it decides only the order, so results don't depend on it).
-
-The incidence's column of an n-gram is a block: its documents. In each block every document is multiplied with one, the block's
-leader, and overlaps are accumulated by pair; pairs are discarded by bounds derived from their sizes, from the place of the
-n-gram (the first common one of a pair that links stands early in both), and from parity sketches: bits flipped by each n-gram,
-of which two sets differ in no more places than in n-grams. What is left gets its exact overlap from the texts. Documents that
-link with their block's leader need no comparison among themselves; the other pairs of a block are multiplied as well, under the
-same bounds. So all links between classes are found or implied by components, and a large group of near copies doesn't become
-all of its pairs.
-
-Null, empty and blank texts have no n-grams and link with nothing. Rows without doc_id get no component. Repeated rows are copies.
-Texts with fewer than n words have one n-gram, all of their words. Of the input only doc_id and text are used.
+A document's n-grams are hashed to 64 bits. Documents with equal sets are one class, one row of the incidence. Since a pair that
+links has so large an overlap, it shares one of the first ``n - ceil(t n) + 1`` n-grams of either document in any fixed order; only
+these columns of the incidence are needed to find it. The order puts n-grams that are common in the corpus last, by a count sketch
+over all documents that grows with them (it decides only the order, so results don't depend on it).
+
+The incidence's column of an n-gram is a block: its documents. Each block is multiplied with one of its rows, the block's leader: that
+in which the n-gram stands first, since of near copies the one with the fewest n-grams of its own is nearest to the others. Pairs are
+discarded by bounds derived from their sizes, from the place of the n-gram (the first common one of a pair that links
+stands early in both), and from parity sketches: bits flipped by each n-gram, of which two sets differ in no more places than in
+n-grams. For what is left the overlap counts of these columns are accumulated: with ``met`` n-grams in common there, a pair can't
+have more than ``met`` and what the larger rest of the two rows holds, which discards all pairs that don't reach the overlap that
+their sizes ask for. The pairs that then remain get the product of their whole rows, a block leader's row at a time, and their
+exact overlap decides. Documents that links with leaders connect need no comparison among themselves; the other pairs of a block
+are multiplied as well, under the same bounds. So all links between classes are found or implied by components, and a large group of
+near copies doesn't become all of its pairs.
+
+Null, empty and blank texts have no n-grams and link with nothing. Rows without doc_id get no component. Rows that are equal in
+doc_id and text are copies; rows of one doc_id with different texts are documents of their own, so inside a row's key is the 64-bit
+hash of both. Texts with fewer than n words have one n-gram, all of their words. Of the input only doc_id and text are used.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lantern.llm.common import as_bytes, hash_words, kgrams, slices, stored
-from lantern.llm.components import components
+from lantern.llm.common import as_bytes, hash_words, kgrams, packed, slices, small_batches, stored, unpacked
+from lantern.llm.components import components, contracted, spread_join
 
-#: The sketch has 2**SKETCH counters, in pieces of 2**PIECE.
-SKETCH, PIECE = 19, 13
+#: The sketch has a counter for about ``USUAL`` n-grams, 2**LEAST to 2**MOST of them, in pieces of 2**PIECE.
+USUAL, LEAST, MOST, PIECE = 256, 16, 24, 13
 #: 64-bit words of a parity sketch.
 PARITY = 8
 
@@ -45,16 +49,15 @@ def grams(text: bytes, n: int) -> np.ndarray:
 
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     """For each counter, how common its n-grams are: 0, or 1 and more by powers of two above the usual."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST, max(LEAST, int(size / 6 / USUAL).bit_length()))  # a word has about six bytes
 
     def count(batches):
-        sums = np.zeros(1 << SKETCH, np.int64)
+        sums = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for part in slices(batch):
-                g = [grams(t, n) for t in part.column(0).to_pylist()]
-                sums += np.bincount((np.concatenate(g) >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
-        yield from packed(sums)
-
-    def packed(sums):
+                for text in part.column(0).to_pylist():
+                    np.add.at(sums, (grams(text, n) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         pieces = [zlib.compress(p.astype(np.uint64).tobytes(), 1) for p in sums.reshape(-1, 1 << PIECE)]
         yield pa.RecordBatch.from_pydict({"piece": pa.array(range(len(pieces)), pa.int32()), "counts": pa.array(pieces, pa.binary())})
 
@@ -68,8 +71,9 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
 
     schema = "piece int, counts binary"
     parts = docs.select(as_bytes().alias("text")).mapInArrow(count, schema)
-    rows = parts.repartition(1 << (SKETCH - PIECE), "piece").mapInArrow(add, schema).collect()  # of fixed size
-    out = np.zeros((1 << (SKETCH - PIECE), 1 << PIECE))
+    with small_batches(docs.sparkSession):
+        rows = parts.repartition(1 << (bits - PIECE), "piece").mapInArrow(add, schema).collect()  # at most 2**MOST counters
+    out = np.zeros((1 << (bits - PIECE), 1 << PIECE))
     for r in rows:
         out[r["piece"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
     usual = np.median(out)
@@ -77,38 +81,59 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     return np.where(over > 0, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
 
 
+def _key():
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
 def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, print (of the set), parity and prefix (the n-grams of the incidence that matter), a written table."""
-    common = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n))
+    """key, doc_id, n_shingles, print (of the set), parity and prefix (the n-grams of the incidence that matter), a written table."""
+    rank = _sketch(docs, n)
+    shift = np.uint64(64 - (len(rank).bit_length() - 1))
+    common = docs.sparkSession.sparkContext.broadcast(rank)
 
     def sign(batches):
         rank = common.value
         for batch in batches:
             for part in slices(batch, 1024):
                 sizes, prints, prefixes, flips = [], [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     g = grams(text, n)
                     size = len(g)
                     sizes.append(size)
                     prints.append(xxhash.xxh3_128_digest(g.tobytes()))
                     flips.append(np.packbits(np.bincount((g & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).view(np.int64))
-                    order = np.argsort(rank[(g >> np.uint64(64 - SKETCH)).astype(np.int64)], kind="stable")
+                    order = np.argsort(rank[(g >> shift).astype(np.int64)], kind="stable")
                     prefixes.append(g[order[: size - -(-num * size // den) + 1]].view(np.int64) if size else np.empty(0, np.int64))
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
                 parity = pa.ListArray.from_arrays(pa.array(range(0, PARITY * len(flips) + 1, PARITY), pa.int32()), pa.array(np.concatenate(flips)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), parity, lists], ["doc_id", "n_shingles", "print", "parity", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), parity, lists], ["key", "doc_id", "n_shingles", "print", "parity", "prefix"])
+
+    rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text"))
+    out = stored(rows.mapInArrow(sign, "key long, doc_id long, n_shingles long, print binary, parity array<long>, prefix array<long>"), "prints")
+    common.unpersist()
+    return out
 
-    return stored(docs.select("doc_id", as_bytes().alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, print binary, parity array<long>, prefix array<long>"), "prints")
+
+def _counted(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, met) of the pairs whose overlap may still be large enough.
+
+    rows: key, n and the columns of the key's prefix that another row shares. met is the overlap in these columns. An n-gram of both
+    that isn't among them stands behind the prefix of one of the two, so there are at most as many as that rest is long.
+    """
+    side = lambda k: rows.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}"))
+    counted = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("met", F.size(F.array_intersect("ga", "gb")))
+    rest = lambda k: f"ceil({num} * {k} / {den}) - 1"
+    return counted.where(f"met + greatest({rest('na')}, {rest('nb')}) >= ceil({num} * (na + nb) / {num + den})").select("a", "b", "met")
 
 
 def _exact(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, with inter, from both texts."""
+    """The pairs (a, b) that link, with inter: the product of a's whole row with those of its block."""
 
     def overlap(batches):
         last, mine = None, None
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 32):
                 inter, linked = [], []
                 for a, x, y in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     if a != last or mine is None:
@@ -120,71 +145,100 @@ def _exact(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
                 out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(inter, pa.int64())], ["a", "b", "inter"])
                 yield out.filter(pa.array(linked, pa.bool_()))
 
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+    left = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
     joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
     return joined.mapInArrow(overlap, "a long, b long, inter long")
 
 
-def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): classes is doc_id, n_shingles, rep; links is a, b, inter between representatives, as many as components need."""
+def _links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """signatures; (print, n, rep, first) of each class; links (a, b, inter) between the keys of representatives; edges (a, b) that
+    have the links' components."""
     signed = signatures(docs, n, num, den)
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = signed.select("doc_id", "n_shingles", "print").join(reps.withColumnRenamed("n_shingles", "n"), "print", "left").select("doc_id", "n_shingles", "rep")
-    alone = full.join(reps.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    incidence = alone.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
-    leaders = incidence.groupBy("gram").agg(F.count("*").alias("held"), F.min(F.struct("rep", "n", "pos")).alias("lead")).where("held > 1")
-    blocks = stored(incidence.join(leaders, "gram").select("gram", "rep", "n", "pos", "lead", "held"), "blocks")
-    parity = signed.where("doc_id is not null").select("doc_id", "parity").dropDuplicates(["doc_id"])
+    reps = full.groupBy("print", F.col("n_shingles").alias("n")).agg(F.min("key").alias("rep"), F.min("doc_id").alias("first"))
+    reps = stored(reps, "classes")
+    alone = full.join(reps.select("rep"), F.col("key") == F.col("rep"), "left_semi").dropDuplicates(["key"])
+    incidence = alone.select("key", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
+    leaders = incidence.groupBy("gram").agg(F.count("*").alias("held"), F.min(F.struct("pos", "key", "n")).alias("lead")).where("held > 1")
+    blocks = stored(incidence.join(leaders, "gram").select("gram", "key", "n", "pos", "lead", "held"), "blocks")
+    rows = blocks.groupBy("key", "n").agg(F.collect_list("gram").alias("grams"))
+    parity = full.select("key", "parity").dropDuplicates(["key"])
     # of pairs with sizes na, nb and places pa, pb of their first common n-gram: needed is the overlap of a pair that links
     needed = f"ceil({num} * (na + nb) / {num + den})"
     sizes = f"least(na, nb) * {den} >= greatest(na, nb) * {num} and pa + {needed} <= na and pb + {needed} <= nb"
     apart = " + ".join(f"bit_count(sa[{i}] ^ sb[{i}])" for i in range(PARITY))
     bits = f"{apart} <= na + nb - 2 * {needed}"
-    star = blocks.where("rep <> lead.rep").selectExpr("lead.rep a", "lead.n na", "lead.pos pa", "rep b", "n nb", "pos pb").where(sizes)
-    star = star.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    star = star.join(parity.select(F.col("doc_id").alias("a"), F.col("parity").alias("sa")), "a").join(parity.select(F.col("doc_id").alias("b"), F.col("parity").alias("sb")), "b")
-    star = stored(star.where(bits).select("a", "b"), "star")
-    # the other pairs of blocks of more than two: at least one of the two doesn't link with the leader
-    many = blocks.where("held > 2 and rep <> lead.rep").select("gram", "rep", "n", "pos", F.col("lead.rep").alias("leader"))
-    texts = docs.select(F.col("doc_id").alias("rep"), as_bytes().alias("text"))
-    ids = star.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(many.select("rep")).distinct()
-    texts = stored(texts.join(ids, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+    star = blocks.where("key <> lead.key").selectExpr("lead.key a", "lead.n na", "lead.pos pa", "key b", "n nb", "pos pb").where(sizes)
+    star = stored(star.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")), "pairs")
+    held = star.groupBy("a").agg(F.count("*").alias("held"))  # a leader may have very many followers
+    star = spread_join(star, parity.select(F.col("key").alias("a"), F.col("parity").alias("sa")).join(held, "a"), "a", star.count())
+    star = star.join(parity.select(F.col("key").alias("b"), F.col("parity").alias("sb")), "b")
+    star = stored(_counted(star.where(bits).select("a", "b"), rows, num, den), "star")
+    # the other pairs of blocks of more than two: those that no links with leaders connect yet
+    many = blocks.where("held > 2 and key <> lead.key").select("gram", "key", "n", "pos", F.col("lead.key").alias("leader"))
+    texts = docs.select(_key().alias("key"), as_bytes().alias("text"))
+    ids = star.select(F.explode(F.array("a", "b")).alias("key")).unionByName(many.select("key")).distinct()
+    texts = stored(texts.join(ids, "key", "left_semi").dropDuplicates(["key"]), "texts")
     linked = stored(_exact(star, texts, n, num, den), "linked")
-    hub = linked.select(F.col("a").alias("l"), F.col("b").alias("r"), F.lit(True).alias("joined"))
-    placed = many.join(hub, (F.col("leader") == F.col("l")) & (F.col("rep") == F.col("r")), "left").join(parity, F.col("rep") == F.col("doc_id"))
-    placed = stored(placed.select("gram", "rep", "n", "pos", "parity", F.coalesce("joined", F.lit(False)).alias("joined")), "placed")
-    x = placed.where("not joined").selectExpr("gram", "rep x", "n na", "pos pa", "parity sa")
-    y = placed.selectExpr("gram g", "rep y", "n nb", "pos pb", "parity sb", "joined")
-    rest = x.join(y, (F.col("gram") == F.col("g")) & ((F.col("joined") & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y"))) & F.expr(sizes) & F.expr(bits))
-    rest = rest.selectExpr("least(x, y) a", "greatest(x, y) b").groupBy("a", "b").agg(F.count("*").alias("met"))
-    return classes, linked.unionByName(_exact(rest, texts, n, num, den))
+    # rows of one label are connected; that not all connected ones have one label only makes more pairs
+    nearer = contracted(linked)
+    least = nearer.groupBy("u").agg(F.min("v").alias("v"))
+    labels = least.unionByName(least.select(F.col("v").alias("u"), "v").distinct().join(least.select("u"), "u", "left_anti"))
+    labels = stored(labels, "labels")
+    label = labels.select(F.col("u").alias("key"), F.col("v").alias("label"))
+    lead = labels.select(F.col("u").alias("leader"), F.col("v").alias("lead_label"))
+    placed = many.join(label, "key", "left").join(lead, "leader", "left").join(parity, "key")
+    own, first = F.coalesce("label", "key"), F.coalesce("lead_label", "leader")
+    placed = stored(placed.select("gram", "key", "n", "pos", "parity", own.alias("label"), (own == first).alias("joined")), "placed")
+    x = placed.where("not joined").selectExpr("gram", "key x", "n na", "pos pa", "parity sa", "label lx")
+    y = placed.selectExpr("gram g", "key y", "n nb", "pos pb", "parity sb", "label ly", "joined")
+    rest = x.join(y, (F.col("gram") == F.col("g")) & (F.col("lx") != F.col("ly")) & (F.col("joined") | (F.col("x") < F.col("y"))) & F.expr(sizes) & F.expr(bits))
+    rest = stored(rest.selectExpr("least(x, y) a", "greatest(x, y) b").distinct(), "rest")
+    late = stored(_exact(_counted(rest, rows, num, den), texts, n, num, den), "late")
+    return signed, reps, linked.unionByName(late), nearer.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(late.select("a", "b"))
+
+
+def _labelled(reps: DataFrame, edges: DataFrame) -> DataFrame:
+    """reps with component_id, the smallest doc_id that links reach."""
+    labels = stored(components(edges), "labels")
+    least = labels.join(reps, F.col("node") == F.col("rep")).groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("held"))
+    labels = spread_join(labels, least, "component", labels.count())
+    return reps.join(labels, F.col("rep") == F.col("node"), "left").select("print", "n", "rep", F.coalesce("least", "first").alias("component_id"))
+
+
+def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(classes, links): classes is doc_id, n_shingles, rep; links is a, b, inter between reps, as many as components need.
+
+    A rep is the key of one row of its class; rows without n-grams or doc_id have none.
+    """
+    signed, reps, found, _ = _links(docs, n, num, den)
+    classes = signed.where("doc_id is not null").join(reps.select("print", "rep"), "print", "left")
+    return classes.unionByName(signed.where("doc_id is null").withColumn("rep", F.lit(None).cast("long"))).select("doc_id", "n_shingles", "rep"), found
 
 
 def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, the document's own included."""
-    classes, found = links(docs, n, num, den)
-    labels = components(found).select(F.col("node").alias("rep"), "component")
-    return classes.join(labels, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    signed, reps, _, edges = _links(docs, n, num, den)
+    out = signed.join(_labelled(reps, edges).select("print", "component_id"), "print", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each group that links make: that of the smallest doc_id, a null one last.
 
     Rows with equal or no doc_id are documents of their own: of copies one stays, of different texts each is judged for itself.
-    Texts without n-grams stay. Inside, a row's doc_id is the 64-bit hash of its doc_id and text; rows equal in both share it, and
-    of these any one is taken.
+    Texts without n-grams stay, all of them. Rows equal in doc_id and text share a key; of these any one is taken. Columns of any
+    name are kept as they are.
     """
-    key, names = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), docs.columns
-    found = groups(docs.select(key.alias("doc_id"), "text"), n, num, den).where("n_shingles > 0")
-    found = stored(found.select("doc_id", "component_id").distinct(), "components")
-    ids = docs.select(key.alias("row"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id").alias("place"))
-    ids = ids.groupBy("row").agg(F.min("place").alias("place"), F.count("*").alias("n_rows"))
-    placed = stored(ids.join(found, F.col("row") == F.col("doc_id")).select("row", "n_rows", "place", "component_id"), "places")
-    kept = placed.groupBy("component_id").agg(F.min(F.struct("place", "row")).alias("kept")).select(F.col("kept.row").alias("stays"))
-    judged = stored(placed.join(kept, F.col("row") == F.col("stays"), "left").select("row", "n_rows", F.col("stays").isNotNull().alias("first")), "judged")
-    left = docs.withColumn("row_key", key)
-    once = left.join(judged.where("not first or n_rows > 1"), F.col("row_key") == F.col("row"), "left_anti")
-    many = left.join(judged.where("first and n_rows > 1"), F.col("row_key") == F.col("row"), "left_semi").dropDuplicates(["row_key"])
-    return once.unionByName(many).select(*names)
+    rows = packed(docs, key=_key(), doc_id=F.col("doc_id"), text=F.col("text"))
+    found = groups(rows.select(F.col("key").alias("doc_id"), "text"), n, num, den).where("n_shingles > 0")
+    found = stored(found.select(F.col("doc_id").alias("key"), "component_id").distinct(), "components")
+    ids = rows.select("key", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id").alias("place"))
+    ids = ids.groupBy("key").agg(F.min("place").alias("place"), F.count("*").alias("n_rows"))
+    placed = stored(ids.join(found, "key"), "places")
+    kept = placed.groupBy("component_id").agg(F.min(F.struct("place", "key")).alias("kept")).select(F.col("kept.key").alias("key"), F.lit(True).alias("first"))
+    judged = stored(placed.join(kept, "key", "left").select("key", "n_rows", F.coalesce("first", F.lit(False)).alias("first")), "judged")
+    once = rows.join(judged.where("not first or n_rows > 1"), "key", "left_anti")
+    many = rows.join(judged.where("first and n_rows > 1"), "key", "left_semi").dropDuplicates(["key"])
+    return unpacked(once.select("row").unionByName(many.select("row")), docs)
