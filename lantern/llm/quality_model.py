@@ -59,13 +59,18 @@ def _features(texts: list[str], lexicon: dict[str, int]) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights (constant first) by Newton's method with a ridge."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
+    """Weights (constant first) by Newton's method with a ridge; rows are taken in pieces, so that the driver holds them once."""
+    k = x.shape[1] + 1
+    w, ridge = np.zeros(k), np.eye(k)
     ridge[0, 0] = 1e-3
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        first, second = -ridge @ w, ridge.copy()
+        for i in range(0, len(x), 1000):
+            part = np.column_stack([np.ones(len(x[i : i + 1000])), x[i : i + 1000]])
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            second += (part * (p * (1 - p))[:, None]).T @ part
+            first += part.T @ (y[i : i + 1000] - p)
+        step = np.linalg.solve(second, first)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -103,11 +108,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = joined.select("text", F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(run, "x binary, quality int, toxic int").collect()  # at most ``sample``
     joined.unpersist()
     rows.sort(key=lambda r: (bytes(r["x"]), r["quality"], r["toxic"]))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], float)
-    model.mean, model.spread = x.mean(0), x.std(0) + 1e-3
-    x = (x - model.mean) / model.spread
-    model.good = _logistic(x, np.array([float(r["quality"] == 1) for r in rows]))
-    model.toxic = _logistic(x, np.array([float(r["toxic"] == 1) for r in rows]))
+    good, toxic = (np.array([float(r[k] == 1) for r in rows]) for k in kinds)
+    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), -1)
+    del rows
+    model.mean = x.mean(0, dtype=float)
+    model.spread = x.std(0, dtype=float) + 1e-3
+    x = ((x - model.mean.astype(np.float32)) / model.spread.astype(np.float32)).astype(np.float32)
+    model.good, model.toxic = _logistic(x, good), _logistic(x, toxic)
     return model
 
 
@@ -175,10 +182,13 @@ def judge(scored: DataFrame, rates: DataFrame, host: str, path: str) -> DataFram
 def classify(docs: DataFrame, labels: DataFrame, *columns: str, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """docs, or these columns, with q_good, q_toxic, q_host_rate, q_path_rate, q_odds, q_kept.
 
-    Scores are written once, beside the columns asked for, and serve the rates and the verdicts.
+    Scores are written once, beside the columns asked for, and serve the rates and the verdicts. Where texts are asked for, only the
+    sites' scores are written and the texts are scored again, since to write all of them would cost as much disk as the input.
     """
     model = fit(docs, labels, sample)
     columns = columns or tuple(docs.columns)
-    scored = stored(score(docs, model, *dict.fromkeys([*columns, host, path])), "scores")
+    small = [c for c in columns if c != "text"] if "text" not in columns else []
+    scored = stored(score(docs, model, *dict.fromkeys([*small, host, path])), "scores")
     rates = stored(posteriors(scored, host, path), "rates")
-    return judge(scored, rates, host, path).select(*columns, "q_good", "q_toxic", "q_host_rate", "q_path_rate", "q_odds", "q_kept")
+    verdicts = judge(score(docs, model, *dict.fromkeys([*columns, host, path])) if "text" in columns else scored, rates, host, path)
+    return verdicts.select(*columns, "q_good", "q_toxic", "q_host_rate", "q_path_rate", "q_odds", "q_kept")
