@@ -66,7 +66,7 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         bucket = F.coalesce("e.bucket", F.shiftleft("below", BITS) + (1 << BITS) - 1)
         state = state.select("source", "source_size", "target", "whole", (F.col("rest") - F.coalesce("e.before", F.lit(0))).alias("rest"), bucket.alias("below"), F.coalesce("e.n", F.lit(0)).alias("n"))
         state = stored(state, f"mix{level}")
-    return full.unionByName(state.select("source", "source_size", "target", "whole", (F.col("below") + (F.col("rest") * 2 >= F.col("n")).cast("long")).alias("below")))
+    return stored(full.unionByName(state.select("source", "source_size", "target", "whole", (F.col("below") + (F.col("rest") * 2 >= F.col("n")).cast("long")).alias("below"))), "cuts")
 
 
 def copies(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> DataFrame:
