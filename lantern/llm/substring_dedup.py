@@ -5,7 +5,8 @@ a document with a smaller doc_id.
 
 Which reference a document must be matched against is found first: each window has an anchor, the run of ``gram`` words in it
 whose hash is least, so equal windows have equal anchors. The smallest document that holds an anchor is its reference. The
-references' windows are dealt to shards of bounded size, by document. Each shard's automaton is sent to as many tasks as the
+references' windows are dealt to shards of bounded size, by document, and those of a very long one by anchor as well. Each shard's
+automaton is sent to as many tasks as the
 text that must stream through it asks for, and only those documents are streamed that share an anchor with it, so neither the
 number of shards nor a passage that very many documents share makes all meet all. Matching statistics give for each window
 whether a smaller document of the shard holds it. A window that its anchor's reference doesn't hold can still be shared with
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lantern.llm.automaton import SuffixAutomaton
 from lantern.llm.common import as_bytes, hash_words, kgrams, slices, stored
+from lantern.llm.components import spread_join
 
 WINDOW, GRAM = 50, 8
 #: Words of a shard's references, and of the text that one task streams through its automaton.
@@ -75,7 +77,8 @@ def signatures(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
 
 
 def _regions(cand: DataFrame, window: int, gram: int) -> DataFrame:
-    """Of (doc_id, text_key, text, shared (anchor, first)): runs of windows whose anchor another document has, with the reference's doc_id."""
+    """Of (doc_id, text_key, text, shared (anchor, first, piece)): runs of windows whose anchor another document has, with the
+    reference's doc_id and its piece."""
 
     def run(batches):
         for batch in batches:
@@ -85,18 +88,20 @@ def _regions(cand: DataFrame, window: int, gram: int) -> DataFrame:
                     w = text.split()
                     key, _ = _anchors(hash_words(w), window, gram)
                     keys = np.array([s["anchor"] for s in shared], np.int64)
-                    first = np.array([s["first"] for s in shared], np.int64)
+                    owners, owner = np.unique(np.array([(s["first"], s["piece"]) for s in shared], np.int64), axis=0, return_inverse=True)
                     order = np.argsort(keys)
-                    keys, first = keys[order], first[order]
+                    keys, owner = keys[order], owner.ravel()[order]
                     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    has = keys[at] == key
-                    ref = first[at]
-                    for of in np.unique(ref[has]).tolist():
-                        for a, b in _runs(has & (ref == of)):
-                            rows.append((doc, text_key, of, a, b - a + window - 1, b" ".join(w[a : b + window - 1])))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "text_key", "first", "start", "n", "words"])
+                    ref = np.where(keys[at] == key, owner[at], -1)
+                    edges = np.concatenate(([0], np.flatnonzero(np.diff(ref)) + 1, [len(ref)]))
+                    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                        if ref[a] >= 0:
+                            of, piece = owners[ref[a]].tolist()
+                            rows.append((doc, text_key, of, piece, a, b - a + window - 1, b" ".join(w[a : b + window - 1])))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "text_key", "first", "piece", "start", "n", "words"])
 
-    return cand.mapInArrow(run, "doc_id long, text_key long, first long, start int, n int, words binary")
+    return cand.mapInArrow(run, "doc_id long, text_key long, first long, piece int, start int, n int, words binary")
 
 
 def _matches(dealt: DataFrame, window: int) -> DataFrame:
@@ -147,15 +152,18 @@ def _matches(dealt: DataFrame, window: int) -> DataFrame:
 def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, signed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(removed, candidates): removed is doc_id, text_key and runs of words (start, end) that go; candidates holds each of these texts once."""
     signed = stored(signatures(docs, window, gram), "anchors") if signed is None else signed
-    held = signed.where("doc_id is not null").select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
-    shared = held.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    by_doc = held.join(shared, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("anchor", "first")).alias("shared"))
+    held = signed.where("doc_id is not null").select("doc_id", "text_key", "n_words", F.explode("anchors").alias("anchor"))
+    shared = held.groupBy("anchor").agg(F.min(F.struct("doc_id", "n_words")).alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("held")).where("least.doc_id < last")
+    pieces = F.ceil(F.col("least.n_words") / SHARD_WORDS)
+    shared = stored(shared.select("anchor", F.col("least.doc_id").alias("first"), F.pmod("anchor", pieces).cast("int").alias("piece"), "held"), "shared")
+    total = signed.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    by_doc = spread_join(held.select("doc_id", "text_key", "anchor"), shared, "anchor", total).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("anchor", "first", "piece")).alias("shared"))
     cand = _texts(docs).join(by_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "shared")
     cand = stored(cand.dropDuplicates(["doc_id", "text_key"]), "candidates")
     regions = stored(_regions(cand, window, gram), "regions")
     refs = regions.where("doc_id = first").groupBy(F.lit(1)).agg(F.sum("n").alias("n")).first()
     shards = max(1, -(-(refs["n"] if refs else 0) // SHARD_WORDS))
-    placed = regions.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int")).withColumn("query", (F.col("doc_id") != F.col("first")).cast("int"))
+    placed = regions.withColumn("shard", F.pmod(F.xxhash64("first", "piece"), F.lit(shards)).cast("int")).withColumn("query", (F.col("doc_id") != F.col("first")).cast("int"))
     loads = placed.where("query = 1").groupBy("shard").agg(F.sum("n").alias("load")).select("shard", F.ceil(F.col("load") / TASK_WORDS).cast("int").alias("tasks"))
     salted = placed.join(loads, "shard")
     salts = F.when(F.col("query") == 0, F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "start"), F.col("tasks")).cast("int")))
