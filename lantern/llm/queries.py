@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lantern.llm import chat_format, decontamination, mixing, ngram_join, quality_model, quality_rules, secret_scan, sharding, substring_dedup, token_files
+from lantern.llm import chat_format, decontamination, merkle, mixing, ngram_join, quality_model, quality_rules, secret_scan, sharding, substring_dedup, token_files
 from lantern.llm.common import stored, table, work_dir
 
 
@@ -61,12 +61,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_quality_model, op4_ngram_join, op5_token_files, op6_mixing, op7_decontamination, op8_sharding, op9_quality_rules, op10_substring_dedup)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    leaves = docs.select("lang", "doc_id", merkle.leaf(*(F.col(c) for c in merkle.FIELDS)).alias("leaf"), F.when(tampered, merkle.leaf(*(lowered if c == "text" else F.col(c) for c in merkle.FIELDS))).alias("changed"))
+    rows, root = merkle.manifest(leaves, "lang", "doc_id", "changed")
+    folded = rows.select("doc_id", merkle.as_text(F.col("leaf")).alias("leaf"), merkle.as_text(F.col("subroot")).alias("subroot"), F.lit(root).cast("string").alias("root"), merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.fold(F.coalesce("changed", "leaf"), F.col("path")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_quality_model, op4_ngram_join, op5_token_files, op6_mixing, op7_decontamination, op8_sharding, op9_quality_rules, op10_substring_dedup, op11_merkle_manifest)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_AZ = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+
 _ESCAPED = r"regexp_replace(regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g'), '\|(\\*)>', '|\1\\>', 'g')"
 
 ORACLES = {
@@ -110,4 +123,21 @@ ORACLES = {
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(cut), 0)::BIGINT AS n_removed,
             sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(coalesce(cut, []), i)), lambda i: w[i]), ' '), '')) AS kept_sha256
         FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id""",
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE c AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295) AS crc FROM documents),
+        l AS (SELECT doc_id, lang, crc, sha256({_FIELD.format('doc_id')} || {_FIELD.format('source')} || {_FIELD.format('lang')} || {_FIELD.format('n_chars')} || {_FIELD.format('text')}) AS leaf,
+                sha256({_FIELD.format('doc_id')} || {_FIELD.format('source')} || {_FIELD.format('lang')} || {_FIELD.format('n_chars')} || {_FIELD.format(_AZ)}) AS lowered FROM c),
+        p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS id FROM l),
+        t AS (SELECT lang, 0 AS lvl, pos, leaf AS h, n FROM p UNION ALL SELECT lang, lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM t WHERE n > 1 GROUP BY lang, lvl, pos // 8, n),
+        s AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+        u AS (SELECT 0 AS lvl, pos, h, n FROM s UNION ALL SELECT lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM u WHERE n > 1 GROUP BY lvl, pos // 8, n),
+        f AS (SELECT id, lang, 0 AS lvl, pos, CASE WHEN crc % 3 = 0 THEN lowered ELSE leaf END AS h, '' AS sib FROM p
+              UNION ALL SELECT id, f.lang, f.lvl + 1, f.pos // 8, sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.h ELSE t.h END, '' ORDER BY t.pos)), f.sib || coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos <> f.pos), '')
+              FROM f JOIN t ON f.lang IS NOT DISTINCT FROM t.lang AND f.lvl = t.lvl AND f.pos // 8 = t.pos // 8 WHERE t.n > 1 GROUP BY id, f.lang, f.lvl, f.pos, f.sib),
+        g AS (SELECT id, 0 AS lvl, s.pos, f.h, f.sib FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY lvl DESC) = 1) f JOIN s ON f.lang IS NOT DISTINCT FROM s.lang
+              UNION ALL SELECT id, g.lvl + 1, g.pos // 8, sha256(string_agg(CASE WHEN u.pos = g.pos THEN g.h ELSE u.h END, '' ORDER BY u.pos)), g.sib || coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos <> g.pos), '')
+              FROM g JOIN u ON g.lvl = u.lvl AND g.pos // 8 = u.pos // 8 WHERE u.n > 1 GROUP BY id, g.lvl, g.pos, g.sib)
+        SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(g.sib) AS proof_sha256, g.h AS folded_root, g.h = r.h AS verified
+        FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY lvl DESC) = 1) g ON p.id = g.id, (SELECT h FROM u WHERE n = 1) r""",
 }
