@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lantern.llm import chat_format, decontamination, merkle, mixing, ngram_join, quality_model, quality_rules, secret_scan, sharding, substring_dedup, token_files
+from lantern.llm import chat_format, decontamination, merkle, mixing, ngram_join, quality_model, quality_rules, ranked_search, secret_scan, sharding, substring_dedup, token_files
 from lantern.llm.common import stored, table, work_dir
 
 
@@ -71,12 +71,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_quality_model, op4_ngram_join, op5_token_files, op6_mixing, op7_decontamination, op8_sharding, op9_quality_rules, op10_substring_dedup, op11_merkle_manifest)}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_quality_model, op4_ngram_join, op5_token_files, op6_mixing, op7_decontamination, op8_sharding, op9_quality_rules, op10_substring_dedup, op11_merkle_manifest, op12_ranked_search)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _AZ = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
 
@@ -140,4 +145,14 @@ ORACLES = {
               FROM g JOIN u ON g.lvl = u.lvl AND g.pos // 8 = u.pos // 8 WHERE u.n > 1 GROUP BY id, g.lvl, g.pos, g.sib)
         SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(g.sib) AS proof_sha256, g.h AS folded_root, g.h = r.h AS verified
         FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY lvl DESC) = 1) g ON p.id = g.id, (SELECT h FROM u WHERE n = 1) r""",
+    "op12_ranked_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS t FROM documents),
+        i AS (SELECT row_number() OVER () AS i, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        q AS (SELECT i, item_id, term, count(*) AS qtf FROM (SELECT i, item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM i) GROUP BY ALL),
+        s AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS length FROM d WHERE len(t) > 0),
+        p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, docs),
+        sc AS (SELECT i, item_id, r, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length))))::BIGINT AS score
+               FROM p JOIN w ON p.term = w.term JOIN q ON p.term = q.term, s GROUP BY i, item_id, r, doc_id)
+        SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM sc WHERE score > 0 QUALIFY rank <= 10""",
 }
