@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lantern.llm import chat_format, decontamination, merkle, mixing, ngram_join, quality_model, quality_rules, ranked_search, secret_scan, sharding, substring_dedup, token_files
+from lantern.llm import chat_format, decontamination, merkle, minhash, mixing, ngram_join, quality_model, quality_rules, ranked_search, secret_scan, sharding, substring_dedup, token_files
 from lantern.llm.common import stored, table, work_dir
 
 
@@ -75,7 +75,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_quality_model, op4_ngram_join, op5_token_files, op6_mixing, op7_decontamination, op8_sharding, op9_quality_rules, op10_substring_dedup, op11_merkle_manifest, op12_ranked_search)}
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"), n=5, num=85, den=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_quality_model, op4_ngram_join, op5_token_files, op6_mixing, op7_decontamination, op8_sharding, op9_quality_rules, op10_substring_dedup, op11_merkle_manifest, op12_ranked_search, op13_minhash_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -155,4 +159,13 @@ ORACLES = {
         sc AS (SELECT i, item_id, r, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length))))::BIGINT AS score
                FROM p JOIN w ON p.term = w.term JOIN q ON p.term = q.term, s GROUP BY i, item_id, r, doc_id)
         SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM sc WHERE score > 0 QUALIFY rank <= 10""",
+    "op13_minhash_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        pairs AS (SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id
+                  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a)
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(reach.b) AS component_id, min(reach.b) = s.doc_id AS kept FROM s JOIN reach ON s.doc_id = reach.a GROUP BY s.doc_id, len(s.s)""",
 }
