@@ -17,8 +17,9 @@ are multiplied as well, under the same bounds. So all links between classes are
 near copies doesn't become all of its pairs.
 
 Null, empty and blank texts have no n-grams and link with nothing. Rows without doc_id get no component. Rows that are equal in
-doc_id and text are copies; rows of one doc_id with different texts are documents of their own, so inside a row's key is the 64-bit
-hash of both. Texts with fewer than n words have one n-gram, all of their words. Of the input only doc_id and text are used.
+doc_id and text are copies; rows of one doc_id with different texts are documents of their own, so inside a row's key is a 128-bit
+hash of both. Texts with fewer than n words have one n-gram, all of their words; very long texts are taken whole. Of the input only
+doc_id and text are used.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lantern.llm.common import as_bytes, hash_words, kgrams, packed, slices, small_batches, stored, unpacked
-from lantern.llm.components import components, contracted, spread_join
+from lantern.llm.pairing import blocked, compared, labelled, others, overlap, row_key, star
 
 #: The sketch has a counter for about ``USUAL`` n-grams, 2**LEAST to 2**MOST of them, in pieces of 2**PIECE.
 USUAL, LEAST, MOST, PIECE = 256, 16, 24, 13
@@ -81,10 +82,6 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     return np.where(over > 0, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
 
 
-def _key():
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-
-
 def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """key, doc_id, n_shingles, print (of the set), parity and prefix (the n-grams of the incidence that matter), a written table."""
     rank = _sketch(docs, n)
@@ -109,8 +106,9 @@ def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 parity = pa.ListArray.from_arrays(pa.array(range(0, PARITY * len(flips) + 1, PARITY), pa.int32()), pa.array(np.concatenate(flips)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), parity, lists], ["key", "doc_id", "n_shingles", "print", "parity", "prefix"])
 
-    rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text"))
-    out = stored(rows.mapInArrow(sign, "key long, doc_id long, n_shingles long, print binary, parity array<long>, prefix array<long>"), "prints")
+    kind = "binary" if dict(docs.dtypes)["doc_id"] == "binary" else "long"
+    rows = docs.select(row_key().alias("key"), F.col("doc_id").cast(kind).alias("doc_id"), as_bytes().alias("text"))
+    out = stored(rows.mapInArrow(sign, f"key binary, doc_id {kind}, n_shingles long, print binary, parity array<long>, prefix array<long>"), "prints")
     common.unpersist()
     return out
 
@@ -118,37 +116,17 @@ def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 def _counted(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, met) of the pairs whose overlap may still be large enough.
 
-    rows: key, n and the columns of the key's prefix that another row shares. met is the overlap in these columns. An n-gram of both
-    that isn't among them stands behind the prefix of one of the two, so there are at most as many as that rest is long.
+    rows: key and value, the size of the key's set and the columns of its prefix that another row shares. met is the overlap in these
+    columns. An n-gram of both that isn't among them stands behind the prefix of one of the two, so there are at most as many as that
+    rest is long.
     """
-    side = lambda k: rows.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}"))
-    counted = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("met", F.size(F.array_intersect("ga", "gb")))
-    rest = lambda k: f"ceil({num} * {k} / {den}) - 1"
-    return counted.where(f"met + greatest({rest('na')}, {rest('nb')}) >= ceil({num} * (na + nb) / {num + den})").select("a", "b", "met")
 
+    def met(x: tuple, y: tuple) -> int | None:
+        both = len(np.intersect1d(x[1], y[1], assume_unique=True))
+        rest = max(-(-num * x[0] // den), -(-num * y[0] // den)) - 1
+        return both if both + rest >= -(-num * (x[0] + y[0]) // (num + den)) else None
 
-def _exact(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, with inter: the product of a's whole row with those of its block."""
-
-    def overlap(batches):
-        last, mine = None, None
-        for batch in batches:
-            for part in slices(batch, 32):
-                inter, linked = [], []
-                for a, x, y in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    if a != last or mine is None:
-                        last, mine = a, grams(x, n)
-                    other = grams(y, n)
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    inter.append(both)
-                    linked.append(den * both >= num * (len(mine) + len(other) - both))
-                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(inter, pa.int64())], ["a", "b", "inter"])
-                yield out.filter(pa.array(linked, pa.bool_()))
-
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(overlap, "a long, b long, inter long")
+    return compared(pairs, rows, lambda v: (int(v[0]), np.sort(v[1:])), met, 1024)
 
 
 def _links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -159,52 +137,27 @@ def _links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Data
     reps = full.groupBy("print", F.col("n_shingles").alias("n")).agg(F.min("key").alias("rep"), F.min("doc_id").alias("first"))
     reps = stored(reps, "classes")
     alone = full.join(reps.select("rep"), F.col("key") == F.col("rep"), "left_semi").dropDuplicates(["key"])
-    incidence = alone.select("key", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
-    leaders = incidence.groupBy("gram").agg(F.count("*").alias("held"), F.min(F.struct("pos", "key", "n")).alias("lead")).where("held > 1")
-    blocks = stored(incidence.join(leaders, "gram").select("gram", "key", "n", "pos", "lead", "held"), "blocks")
-    rows = blocks.groupBy("key", "n").agg(F.collect_list("gram").alias("grams"))
-    parity = full.select("key", "parity").dropDuplicates(["key"])
+    incidence = alone.select("key", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "block"))
+    leaders = incidence.groupBy("block").agg(F.count("*").alias("held"), F.min(F.struct("pos", "key", "n")).alias("lead")).where("held > 1")
+    columns = full.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    blocks = stored(blocked(incidence, stored(leaders, "leaders"), columns), "blocks")
+    rows = blocks.groupBy("key").agg(F.concat(F.array(F.max("n").cast("long")), F.collect_list("block")).alias("value"))
+    parity = full.select("key", F.col("parity").alias("sketch")).dropDuplicates(["key"])
     # of pairs with sizes na, nb and places pa, pb of their first common n-gram: needed is the overlap of a pair that links
     needed = f"ceil({num} * (na + nb) / {num + den})"
     sizes = f"least(na, nb) * {den} >= greatest(na, nb) * {num} and pa + {needed} <= na and pb + {needed} <= nb"
     apart = " + ".join(f"bit_count(sa[{i}] ^ sb[{i}])" for i in range(PARITY))
     bits = f"{apart} <= na + nb - 2 * {needed}"
-    star = blocks.where("key <> lead.key").selectExpr("lead.key a", "lead.n na", "lead.pos pa", "key b", "n nb", "pos pb").where(sizes)
-    star = stored(star.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")), "pairs")
-    held = star.groupBy("a").agg(F.count("*").alias("held"))  # a leader may have very many followers
-    star = spread_join(star, parity.select(F.col("key").alias("a"), F.col("parity").alias("sa")).join(held, "a"), "a", star.count())
-    star = star.join(parity.select(F.col("key").alias("b"), F.col("parity").alias("sb")), "b")
-    star = stored(_counted(star.where(bits).select("a", "b"), rows, num, den), "star")
-    # the other pairs of blocks of more than two: those that no links with leaders connect yet
-    many = blocks.where("held > 2 and key <> lead.key").select("gram", "key", "n", "pos", F.col("lead.key").alias("leader"))
-    texts = docs.select(_key().alias("key"), as_bytes().alias("text"))
-    ids = star.select(F.explode(F.array("a", "b")).alias("key")).unionByName(many.select("key")).distinct()
+    first = stored(star(blocks, parity, sizes, bits), "star")
+    first = stored(_counted(first, rows, num, den), "counted")
+    texts = docs.select(row_key().alias("key"), as_bytes().alias("value"))
+    ids = first.select(F.explode(F.array("a", "b")).alias("key")).unionByName(blocks.where("held > 2 and key <> lead.key").select("key")).distinct()
     texts = stored(texts.join(ids, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    linked = stored(_exact(star, texts, n, num, den), "linked")
-    # rows of one label are connected; that not all connected ones have one label only makes more pairs
-    nearer = contracted(linked)
-    least = nearer.groupBy("u").agg(F.min("v").alias("v"))
-    labels = least.unionByName(least.select(F.col("v").alias("u"), "v").distinct().join(least.select("u"), "u", "left_anti"))
-    labels = stored(labels, "labels")
-    label = labels.select(F.col("u").alias("key"), F.col("v").alias("label"))
-    lead = labels.select(F.col("u").alias("leader"), F.col("v").alias("lead_label"))
-    placed = many.join(label, "key", "left").join(lead, "leader", "left").join(parity, "key")
-    own, first = F.coalesce("label", "key"), F.coalesce("lead_label", "leader")
-    placed = stored(placed.select("gram", "key", "n", "pos", "parity", own.alias("label"), (own == first).alias("joined")), "placed")
-    x = placed.where("not joined").selectExpr("gram", "key x", "n na", "pos pa", "parity sa", "label lx")
-    y = placed.selectExpr("gram g", "key y", "n nb", "pos pb", "parity sb", "label ly", "joined")
-    rest = x.join(y, (F.col("gram") == F.col("g")) & (F.col("lx") != F.col("ly")) & (F.col("joined") | (F.col("x") < F.col("y"))) & F.expr(sizes) & F.expr(bits))
-    rest = stored(rest.selectExpr("least(x, y) a", "greatest(x, y) b").distinct(), "rest")
-    late = stored(_exact(_counted(rest, rows, num, den), texts, n, num, den), "late")
-    return signed, reps, linked.unionByName(late), nearer.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(late.select("a", "b"))
-
-
-def _labelled(reps: DataFrame, edges: DataFrame) -> DataFrame:
-    """reps with component_id, the smallest doc_id that links reach."""
-    labels = stored(components(edges), "labels")
-    least = labels.join(reps, F.col("node") == F.col("rep")).groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("held"))
-    labels = spread_join(labels, least, "component", labels.count())
-    return reps.join(labels, F.col("rep") == F.col("node"), "left").select("print", "n", "rep", F.coalesce("least", "first").alias("component_id"))
+    met, prepare = overlap(num, den), lambda text: grams(text, n)
+    linked = stored(compared(first, texts, prepare, met), "linked")
+    rest, nearer = others(blocks, parity, linked, sizes, bits)
+    late = stored(compared(stored(_counted(stored(rest, "rest"), rows, num, den), "counted"), texts, prepare, met), "late")
+    return signed, reps, linked.unionByName(late).withColumnRenamed("met", "inter"), nearer.unionByName(late.select("a", "b"))
 
 
 def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -214,13 +167,13 @@ def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[D
     """
     signed, reps, found, _ = _links(docs, n, num, den)
     classes = signed.where("doc_id is not null").join(reps.select("print", "rep"), "print", "left")
-    return classes.unionByName(signed.where("doc_id is null").withColumn("rep", F.lit(None).cast("long"))).select("doc_id", "n_shingles", "rep"), found
+    return classes.unionByName(signed.where("doc_id is null").withColumn("rep", F.lit(None).cast("binary"))).select("doc_id", "n_shingles", "rep"), found
 
 
 def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, the document's own included."""
     signed, reps, _, edges = _links(docs, n, num, den)
-    out = signed.join(_labelled(reps, edges).select("print", "component_id"), "print", "left")
+    out = signed.join(labelled(reps, edges).select("print", "component_id"), "print", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
@@ -231,7 +184,7 @@ def first_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     Texts without n-grams stay, all of them. Rows equal in doc_id and text share a key; of these any one is taken. Columns of any
     name are kept as they are.
     """
-    rows = packed(docs, key=_key(), doc_id=F.col("doc_id"), text=F.col("text"))
+    rows = packed(docs, key=row_key(), doc_id=F.col("doc_id"), text=F.col("text"))
     found = groups(rows.select(F.col("key").alias("doc_id"), "text"), n, num, den).where("n_shingles > 0")
     found = stored(found.select(F.col("doc_id").alias("key"), "component_id").distinct(), "components")
     ids = rows.select("key", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id").alias("place"))
