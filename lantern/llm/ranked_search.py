@@ -34,7 +34,7 @@ WIDTH, SATURATED = 1 << 16, 255
 #: Documents that are scored for each query before the threshold is known.
 FIRST = 32
 #: Query terms of a batch; entries of a bound matrix and of a list before it is cut; pairs up to which candidates are broadcast.
-BATCH_TERMS, ENTRIES, BROADCAST = 50_000, 2_000_000, 200_000
+BATCH_TERMS, ENTRIES, BROADCAST = 50_000, 1_000_000, 200_000
 #: Distinct terms whose counts a task holds before it gives them out.
 HELD_TERMS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -130,10 +130,16 @@ class _Batch:
         doc, at, tf = np.repeat(np.arange(len(n)), lengths)[asked], at[asked], tf[asked]
         impact = np.where(tf == SATURATED, 1_000_000, 1_000_000_000 * tf // (1000 * tf + np.array([self.slope(x) for x in n], np.int64)[doc]))
         count = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(count)
-        which = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(self.starts[at], count)
-        cell = np.repeat(doc, count) * self.size + self.query[which]
-        return np.bincount(cell, np.repeat(impact, count) * self.weight[which], len(n) * self.size).reshape(len(n), self.size)
+        ends, out, start = np.cumsum(count), np.zeros(len(n) * self.size), 0
+        while start < len(at):  # a word of all documents and all queries makes very many entries
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + ENTRIES // 4, "right")))
+            some = slice(start, stop)
+            first = np.repeat(self.starts[at[some]] - (ends[some] - count[some]), count[some])
+            which = np.arange(ends[start] - count[start], ends[stop - 1]) + first
+            cell = np.repeat(doc[some], count[some]) * self.size + self.query[which]
+            out += np.bincount(cell, np.repeat(impact[some], count[some]) * self.weight[which], len(out))
+            start = stop
+        return out.reshape(len(n), self.size)
 
     def scores(self, text: bytes, wanted: list[int]) -> list[int]:
         words = terms(text)
