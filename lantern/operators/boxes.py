@@ -109,7 +109,7 @@ def bands(boxes: Column, start: str, end: str, slack: float = 0.0) -> Column:
 
     def step(made: Column, b: Column) -> Column:
         a = F.element_at(made, -1)
-        joined = one(F.least(a["start"], b["start"]), F.greatest(a["end"], b["end"]), (a["run"] + b["run"]) / 2)
+        joined = one(F.least(a["start"], b["start"]), F.greatest(a["end"], b["end"]), F.least(a["run"], b["run"]))
         return F.when(b["start"] >= a["run"] - slack, F.concat(made, F.array(b))).otherwise(F.concat(_init(made), F.array(joined)))
 
     return _fold(each, step)
