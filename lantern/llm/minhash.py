@@ -8,7 +8,7 @@ pairs at 0.85, where a wrong miss must also break a component to be seen. Classe
 A signature holds four bits of each minimum and a parity sketch (bits flipped by each shingle). Two sets that link differ in few of the
 minima (``FAR`` is over six standard deviations above the mean at the threshold) and in no more bits of the sketch than in shingles.
 Signatures discard the other pairs of a block before any text moves; what remains is confirmed on the full sets. In a block each class
-meets the block's leader, its smallest; only classes that links with leaders don't connect meet the others of the block
+meets the block's leader, one of them by hash; only classes that links with leaders don't connect meet the others of the block
 (``pairing.others``), so a large group of near copies doesn't become all of its pairs, and no link between components is lost.
 
 Null, empty and blank texts have no shingles and link with nothing; texts of fewer than n words have one, all of their words; long
@@ -101,8 +101,8 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
     reps = stored(full.groupBy("print", F.col("n_shingles").alias("n")).agg(F.min("key").alias("rep"), F.min("doc_id").alias("first")), "classes")
     alone = stored(full.join(reps.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"]), "representatives")
     rows = alone.select(F.explode("bands").alias("block"), "key", F.col("n_shingles").alias("n"), F.lit(0).alias("pos"))
-    leaders = rows.groupBy("block").agg(F.count("*").alias("held"), F.min(F.struct("n", "key", "pos")).alias("lead"))
-    blocks = stored(blocked(rows, stored(leaders.where("held > 1"), "leaders"), alone.count() * BANDS), "blocks")
+    lead = F.min(F.struct(F.xxhash64("key").alias("order"), "key", "n", "pos"))  # any one: the first or the shortest would be an outlier
+    blocks = stored(blocked(rows, rows.groupBy("block").agg(F.count("*").alias("held"), lead.alias("lead"))), "blocks")
     differ = lambda x: f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & 1229782938247303441L)"
     minima_apart = " + ".join(differ(f"(sa[{i}] ^ sb[{i}])") for i in range(NIBBLES))
     bits_apart = " + ".join(f"bit_count(sa[{i}] ^ sb[{i}])" for i in range(NIBBLES, NIBBLES + PARITY))
@@ -111,11 +111,11 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
     sketches = alone.select("key", "sketch")
     first = stored(star(blocks, sketches, fits, near), "star")
     met, prepare = overlap(num, den), lambda text: grams(text, n)
-    ids = first.select(F.explode(F.array("a", "b")).alias("key")).unionByName(blocks.where("held > 2").select("key")).distinct()
+    ids = first.select(F.explode(F.array("a", "b")).alias("key")).unionByName(blocks.where("held > 2 and key <> lead.key").select("key")).distinct()
     texts = docs.select(row_key().alias("key"), as_bytes().alias("value"))
     texts = stored(texts.join(ids, "key", "left_semi").dropDuplicates(["key"]), "texts")
     linked = stored(compared(first, texts, prepare, met), "linked")
-    rest, nearer = others(blocks, sketches, linked, fits, near)
+    rest, nearer = others(blocks, alone.select("key", "sketch", F.col("bands").alias("blocks")), linked, fits, near)
     late = stored(compared(stored(rest, "rest"), texts, prepare, met), "late")
     named = labelled(reps, nearer.unionByName(late.select("a", "b"))).select("print", "component_id")
     out = signed.join(named, "print", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

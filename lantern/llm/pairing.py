@@ -68,9 +68,12 @@ def overlap(num: int, den: int) -> Callable:
     return met
 
 
-def blocked(rows: DataFrame, leaders: DataFrame, total: int) -> DataFrame:
-    """rows with the leader (``lead``) and the size (``held``) of their block, if it has two rows and more. leaders: block, lead, held."""
-    return spread_join(rows, leaders.where("held > 1").withColumn("size", F.col("held")), "block", total).withColumnRenamed("size", "held")
+def blocked(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+    """rows with the leader (``lead``) and the size (``held``) of their block, if it has two rows and more. leaders: block, lead, held.
+
+    The other side of a hot block's rows is one small row, so Spark splits them over tasks as it does any skewed join.
+    """
+    return rows.join(leaders.where("held > 1").select("block", "lead", "held"), "block")
 
 
 def star(blocks: DataFrame, sketches: DataFrame, fits: str, near: str) -> DataFrame:
@@ -87,7 +90,8 @@ def others(blocks: DataFrame, sketches: DataFrame, linked: DataFrame, fits: str,
     """((a, b), edges): the pairs of blocks without their leaders that the links with leaders don't connect; edges that have their components.
 
     Rows that links connect to their leader needn't be compared with each other. A block's other rows meet all of its rows under
-    the conditions, a salt of the block at a time.
+    the conditions, a salt of the block at a time. If sketches has a column ``blocks``, an array of all blocks of the key, a pair meets
+    only in the smallest block that both are in.
     """
     many = blocks.where("held > 2 and key <> lead.key").select("block", "key", "n", "pos", F.col("lead.key").alias("leader"))
     # rows of one label are connected; that not all connected ones have one label only makes more pairs
@@ -97,16 +101,20 @@ def others(blocks: DataFrame, sketches: DataFrame, linked: DataFrame, fits: str,
     label = labels.select(F.col("u").alias("key"), F.col("v").alias("label"))
     leaders = many.groupBy("leader").agg(F.count("*").alias("held")).join(labels.select(F.col("u").alias("leader"), F.col("v").alias("lead_label")), "leader", "left")
     placed = many.join(label, "key", "left")
-    placed = spread_join(placed, leaders.withColumn("lead_label", F.coalesce("lead_label", "leader")), "leader", many.count()).join(sketches, "key")
+    placed = spread_join(placed, leaders.withColumn("lead_label", F.coalesce("lead_label", "leader")), "leader", many.count())
     own = F.coalesce("label", "key")
-    placed = stored(placed.select("block", "key", "n", "pos", "sketch", own.alias("label"), (own == F.col("lead_label")).alias("joined")), "placed")
-    open_ = placed.where("not joined").groupBy("block").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"), F.count("*").alias("held"))
-    x = placed.where("not joined").join(open_.select("block", "salts"), "block").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
-    x = x.selectExpr("block", "salt", "key x", "n na", "pos pa", "sketch sa", "label lx")
-    y = placed.join(open_.select("block", "salts"), "block").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    y = y.selectExpr("block g", "s", "key y", "n nb", "pos pb", "sketch sb", "label ly", "joined")
+    placed = stored(placed.select("block", "key", "n", "pos", own.alias("label"), (own == F.col("lead_label")).alias("joined")), "placed")
+    open_ = placed.groupBy("block").agg(F.count_if(~F.col("joined")).alias("open"), F.count("*").alias("held")).where("open > 0")
+    open_ = stored(open_.withColumn("salts", F.ceil(F.col("open") / GROUP).cast("int")), "open")
+    meeting = stored(spread_join(placed, open_.select("block", "salts", "held"), "block", placed.count()).join(sketches, "key"), "meeting")
+    once = "blocks" in sketches.columns
+    x = meeting.where("not joined").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
+    x = x.selectExpr("block", "salt", "key x", "n na", "pos pa", "sketch sa", "label lx", *["blocks ba"] * once)
+    y = meeting.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    y = y.selectExpr("block g", "s", "key y", "n nb", "pos pb", "sketch sb", "label ly", "joined", *["blocks bb"] * once)
     met = (F.col("block") == F.col("g")) & (F.col("salt") == F.col("s")) & (F.col("lx") != F.col("ly")) & (F.col("joined") | (F.col("x") < F.col("y")))
-    rest = x.join(y, met & F.expr(fits) & F.expr(near))
+    met = met & F.expr(fits) & F.expr(near)
+    rest = x.join(y, met & (F.array_min(F.array_intersect("ba", "bb")) == F.col("block")) if once else met)
     return rest.selectExpr("least(x, y) a", "greatest(x, y) b").distinct(), nearer.select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
