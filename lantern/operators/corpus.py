@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lantern.functions import questions as Q
+from lantern.sources.shared import written
 
 # What a name's signs are worth.
 CONFLICT, TITLE, ALL_TITLES, ARTICLE_TITLE, PLAIN, COMMENT, SUBJECT = -200, 35, 20, 70, 45, -55, 18
@@ -12,6 +13,26 @@ GAZETTE, NPC, KEY, YEAR, ISSUE, DATE, OTHER_DATE, CURRENT, BASE, NOT_BASE, ARTIC
 COMMENTS = ("关于适用", "解释", "批复", "案例", "合同")
 
 
+#: What of a question the rank of files depends on, besides whether it names the gazette.
+ASKED = ("titles", "refused_titles", "subjects", "keys", "dates", "refused_dates", "years", "issues", "refused_issues", "articles", "cases", "route", "wanted", "current", "base", "no_dated", "no_base", "strong")
+
+
+def profiles(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids, profiles): (q_id, p_id) of the strong questions, and what they ask for, each different one once with p_id as its q_id.
+
+    Many questions ask for the same; files are ranked for each profile once, and only ids go back to the questions.
+    """
+    p = asked.where("strong").withColumn("question", F.when(F.contains("question", F.lit("公报")), "公报").otherwise(""))
+    p = written(p.select("q_id", "question", *ASKED).withColumn("p_id", F.md5(F.to_json(F.struct("question", *ASKED)).cast("binary"))), "asked")
+    first = p.groupBy("p_id").agg(*(F.first(c).alias(c) for c in ("question", *ASKED)))
+    return p.select("q_id", "p_id"), written(first.withColumnRenamed("p_id", "q_id"), "profiles")
+
+
+def of_questions(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """found, by profile, for each question."""
+    return found.withColumnRenamed("q_id", "p_id").join(ids, "p_id").drop("p_id")
+
+
 def _count(values, test) -> Column:
     return F.size(F.filter(values, test))
 

@@ -222,7 +222,8 @@ _LEGAL = f"""{_Q}, files AS (SELECT DISTINCT {_FILE} AS name FROM documents), n
 @query(f"WITH {_LEGAL} SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, name) AS rank, name, score FROM score WHERE score > 0 AND NOT conflict AND anchored QUALIFY rank <= greatest(5, wanted)")
 def corpus_rank(spark, d):
     """The best files for each strong question by their names alone."""
-    return corpus.ranked(asked(spark, d), _files(spark, d), 5).select("q_id", "rank", "name", "score")
+    ids, profiles = corpus.profiles(asked(spark, d))
+    return corpus.of_questions(corpus.ranked(profiles, _files(spark, d), 5).select("q_id", "rank", "name", "score"), ids).select("q_id", "rank", "name", "score")
 
 
 def _files(spark, d) -> DataFrame:
@@ -238,4 +239,6 @@ def _files(spark, d) -> DataFrame:
     SELECT q_id, name, coverage, row_number() OVER (PARTITION BY q_id ORDER BY CASE WHEN wanted > 1 AND lead AND nth <= wanted THEN 0 ELSE 1 END, pos) AS place FROM nth""")
 def coverage_rerank(spark, d):
     """The ranked files with one of each wanted target first."""
-    return corpus.covered(corpus.ranked(asked(spark, d), _files(spark, d), 5)).select("q_id", "name", "coverage", "place")
+    ids, profiles = corpus.profiles(asked(spark, d))
+    found = corpus.covered(corpus.ranked(profiles, _files(spark, d), 5)).select("q_id", "name", "coverage", "place")
+    return corpus.of_questions(found, ids).select("q_id", "name", "coverage", "place")

@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lantern.plans.catalog import query, table
+from lantern.sources.shared import folder
 from lantern.sources.versions import Table
 from lantern.streaming import states
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file:///tmp"
-    return f"{base}/lantern-{uuid.uuid4().hex}-{name}"
-
-
 _BATCH = "SELECT o_custkey, max(struct_pack(d := o_orderdate, k := o_orderkey, s := o_orderstatus, p := o_orderpriority)) AS r FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey % 3 = {} GROUP BY o_custkey"
 
 
