@@ -87,10 +87,16 @@ def questions(spark, d) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("q_id"), F.expr(_QUESTION).alias("q"))
 
 
+def texts(spark, d) -> DataFrame:
+    """Each different question once, its text as q_id, with slots and routes: many ask in the same words."""
+    s = questions(spark, d).select("q").distinct().select(F.col("q").alias("q_id"), Q.once(Q.slots(F.col("q"))).alias("s"))
+    return s.select("q_id", "s", Q.once(Q.routed(F.col("s"))).alias("r")).select("q_id", "s.*", "r.*")
+
+
 def asked(spark, d) -> DataFrame:
     """Questions with their slots and routes."""
-    s = questions(spark, d).select("q_id", Q.once(Q.slots(F.col("q"))).alias("s"))
-    return s.select("q_id", "s", Q.once(Q.routed(F.col("s"))).alias("r")).select("q_id", "s.*", "r.*")
+    parsed = texts(spark, d)
+    return questions(spark, d).join(parsed.withColumnRenamed("q_id", "q"), "q").select("q_id", *parsed.columns[1:])
 
 
 def _profiled(spark, d) -> DataFrame:
@@ -222,10 +228,15 @@ _LEGAL = f"""{_Q}, files AS (SELECT DISTINCT {_FILE} AS name FROM documents), n
 @query(f"WITH {_LEGAL} SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, name) AS rank, name, score FROM score WHERE score > 0 AND NOT conflict AND anchored QUALIFY rank <= greatest(5, wanted)")
 def corpus_rank(spark, d):
     """The best files for each strong question by their names alone."""
-    ids, profiles = corpus.profiles(asked(spark, d))
+    ids, profiles = _profiles(spark, d)
     return corpus.of_questions(corpus.ranked(profiles, _files(spark, d), 5).select("q_id", "rank", "name", "score"), ids).select("q_id", "rank", "name", "score")
 
 
+def _profiles(spark, d) -> tuple[DataFrame, DataFrame]:
+    ids, profiles = corpus.profiles(texts(spark, d))
+    return questions(spark, d).join(ids.withColumnRenamed("q_id", "q"), "q").select("q_id", "p_id"), profiles
+
+
 def _files(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.expr(_FILE).alias("name")).where(F.col("name").endswith(".pdf")).distinct()
 
@@ -239,6 +250,6 @@ def _files(spark, d) -> DataFrame:
     SELECT q_id, name, coverage, row_number() OVER (PARTITION BY q_id ORDER BY CASE WHEN wanted > 1 AND lead AND nth <= wanted THEN 0 ELSE 1 END, pos) AS place FROM nth""")
 def coverage_rerank(spark, d):
     """The ranked files with one of each wanted target first."""
-    ids, profiles = corpus.profiles(asked(spark, d))
+    ids, profiles = _profiles(spark, d)
     found = corpus.covered(corpus.ranked(profiles, _files(spark, d), 5)).select("q_id", "name", "coverage", "place")
     return corpus.of_questions(found, ids).select("q_id", "name", "coverage", "place")
