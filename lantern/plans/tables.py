@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from lantern.operators import hierarchy, intervals
 from lantern.plans.catalog import query, table
 from lantern.sources.shared import folder
 from lantern.sources.versions import Table
@@ -49,3 +50,37 @@ _THEN = "CASE " + " ".join(f"WHEN s = '{s}' AND event = '{v}' THEN '{n}'" for (s
 def task_states(spark, d) -> DataFrame:
     """The state of each task after all its events: transitions, retries, illegal events, timeouts of six hours."""
     return states.latest(task_events(table(spark, d, "events")), 6 * 3600)
+
+
+_CHAIN = """e AS (SELECT o_orderkey AS node, CASE WHEN o_custkey % 20 = 0 THEN coalesce(lag(o_orderkey) OVER w, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    ELSE lag(o_orderkey) OVER w END AS up, o_custkey FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))"""
+
+
+@query(f"""WITH RECURSIVE {_CHAIN}, r AS (SELECT node, up, CASE WHEN up IS NULL THEN [] ELSE [up] END AS path, up IS NOT NULL AND up = node AS cyclic FROM e
+        UNION ALL SELECT r.node, e.up, CASE WHEN e.up IS NULL THEN path ELSE path || [e.up] END, e.up IS NOT NULL AND (list_contains(path, e.up) OR e.up = r.node) FROM r JOIN e ON r.up = e.node WHERE NOT r.cyclic),
+    l AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cyclic DESC, len(path) DESC, up NULLS FIRST) AS k FROM r)
+    SELECT node, CASE WHEN NOT cyclic THEN len(path) END AS depth, CASE WHEN NOT cyclic THEN coalesce(path[-1], node) END AS root, CASE WHEN NOT cyclic THEN array_to_string(path, '>') END AS path, cyclic FROM l WHERE k = 1""")
+def order_chains(spark, d) -> DataFrame:
+    """Each order's ancestors, the customer's orders before it; every twentieth customer's chain bites its tail."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    before, last = F.lag("o_orderkey").over(w), F.max("o_orderkey").over(Window.partitionBy("o_custkey"))
+    up = F.when(F.col("o_custkey") % 20 == 0, F.coalesce(before, last)).otherwise(before)
+    chains = hierarchy.ancestors(table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), up.alias("up")), "node", "up")
+    return chains.withColumn("path", F.array_join("path", ">"))
+
+
+_PERIODS = "p AS (SELECT o_custkey, o_orderdate::DATE AS s, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE + (floor(o_totalprice)::BIGINT % 200)::INT END AS e, o_orderpriority AS label FROM orders), v AS (SELECT o_custkey, s, coalesce(e, DATE '2026-01-01') AS e, e IS NULL AS open, label FROM p WHERE s IS NOT NULL AND coalesce(e, DATE '2026-01-01') >= s)"
+
+
+@query(f"""WITH {_PERIODS}, f AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS fresh FROM v),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM f),
+    i AS (SELECT o_custkey, island, min(s) AS s, max(e) AS e FROM g GROUP BY ALL), h AS (SELECT *, s - lag(e) OVER (PARTITION BY o_custkey ORDER BY s) AS gap FROM i),
+    w AS (SELECT o_custkey, sum(e - s)::BIGINT AS covered_days, coalesce(max(gap), 0) AS longest_gap, count(*) AS islands FROM h GROUP BY o_custkey)
+    SELECT o_custkey, count(*) AS jobs, round(avg(e - s), 6) AS mean_days, max(CASE WHEN open THEN e - s END) AS current_days, arg_min(label, (s, label)) AS first, arg_max(label, (s, label)) AS last, any_value(covered_days) AS covered_days, any_value(longest_gap) AS longest_gap, any_value(islands) AS islands
+    FROM v JOIN w USING (o_custkey) GROUP BY o_custkey""")
+def tenures(spark, d) -> DataFrame:
+    """Customers' orders as jobs that last some days or are still held: union of periods, gaps, tenures, first and last."""
+    start = F.col("o_orderdate").cast("date")
+    end = F.when(F.col("o_orderstatus") != "P", F.date_add(start, (F.floor("o_totalprice") % 200).cast("int")))
+    periods = table(spark, d, "orders").select("o_custkey", start.alias("s"), end.alias("e"), F.col("o_orderpriority").alias("label"))
+    return intervals.tenure(periods, "o_custkey", "s", "e", F.lit("2026-01-01").cast("date"), "label")
