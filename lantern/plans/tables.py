@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lantern.operators import hierarchy, intervals
 from lantern.plans.catalog import query, table
+from lantern.sources.encodings import decoded
 from lantern.sources.shared import folder
 from lantern.sources.versions import Table
 from lantern.streaming import states
@@ -84,3 +85,14 @@ def tenures(spark, d) -> DataFrame:
     end = F.when(F.col("o_orderstatus") != "P", F.date_add(start, (F.floor("o_totalprice") % 200).cast("int")))
     periods = table(spark, d, "orders").select("o_custkey", start.alias("s"), end.alias("e"), F.col("o_orderpriority").alias("label"))
     return intervals.tenure(periods, "o_custkey", "s", "e", F.lit("2026-01-01").cast("date"), "label")
+
+
+_ONE_BYTE = r"regexp_replace(coalesce(text, ''), '[^\x00-\xFF]', '?', 'g')"
+
+
+@query(rf"SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND regexp_matches({_ONE_BYTE}, '[\x80-\xFF]') THEN 'cp1252' ELSE 'utf-8' END AS codec, md5(CASE WHEN doc_id % 2 = 0 THEN {_ONE_BYTE} ELSE coalesce(text, '') END) AS text_md5 FROM documents")
+def decoded_documents(spark, d) -> DataFrame:
+    """Documents as files, every second one in a one-byte encoding: the codec that is found, and the text that is read by it."""
+    text = F.coalesce("text", F.lit(""))
+    content = F.when(F.col("doc_id") % 2 == 0, F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", "?"), "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    return table(spark, d, "documents").select("doc_id", decoded(content).alias("x")).select("doc_id", "x.codec", F.md5(F.col("x.text").cast("binary")).alias("text_md5"))

@@ -9,6 +9,8 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lantern.sources.encodings import like_text
+
 ALLOWED = ("pdf", "docx", "txt", "md", "html", "json", "xlsx", "xls", "pptx", "ppt")
 LARGEST = 5 * 1024 * 1024
 
@@ -21,12 +23,12 @@ def scan(spark: SparkSession, path: str, allowed=ALLOWED) -> DataFrame:
 
 
 def signature_ok(ext: Column, content: Column) -> Column:
-    """Whether the first bytes fit the extension."""
+    """Whether the first bytes fit the extension; of a text, whether all of it is one."""
     head = F.hex(F.substring(content, 1, 8))
     zipped = F.rlike(head, F.lit("^504B(0304|0506|0708)"))
     return (
         F.when(ext == "pdf", F.startswith(head, F.lit("255044462D"))).when(ext.isin("docx", "xlsx", "pptx"), zipped)
-        .when(ext.isin("xls", "ppt", "doc"), F.startswith(head, F.lit("D0CF11E0A1B11AE1"))).otherwise(~F.contains(F.hex(F.substring(content, 1, 4096)), F.lit("00")) | F.is_valid_utf8(content.cast("string")))
+        .when(ext.isin("xls", "ppt", "doc"), F.startswith(head, F.lit("D0CF11E0A1B11AE1"))).otherwise(like_text(content))
     )
 
 
@@ -61,7 +63,8 @@ def docx_paragraphs(content: bytes) -> list[str]:
         if node.tag == f"{_W}p":
             out.append(words(node))
         elif node.tag == f"{_W}tbl":
-            rows = ["".join(f"<td>{words(c)}</td>" for c in r.iter(f"{_W}tc")) for r in node.iter(f"{_W}tr")]
+            # direct children only: a nested table's words stand in its cell, once
+            rows = ["".join(f"<td>{words(c)}</td>" for c in r.findall(f"{_W}tc")) for r in node.findall(f"{_W}tr")]
             out.append("<table>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>")
     return out
 

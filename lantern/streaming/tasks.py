@@ -21,10 +21,10 @@ def sessions(events: DataFrame, ts: str, gap: str, by: str) -> DataFrame:
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str, key: str):
-    """A query that appends each batch's new keys to a Parquet table; a batch that is run again adds nothing."""
+    """A query that appends each batch's new keys to a Parquet table; a batch that is run again adds nothing. Null keys are dropped."""
 
     def batch(df: DataFrame, _: int) -> None:
-        spark, new = df.sparkSession, df.dropDuplicates([key])
+        spark, new = df.sparkSession, df.where(F.col(key).isNotNull()).dropDuplicates([key])
         try:
             old = spark.read.parquet(target).select(key)
         except Exception as e:  # the first batch finds no table
