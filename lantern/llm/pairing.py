@@ -23,18 +23,21 @@ def row_key():
     return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary")))
 
 
-def compared(pairs: DataFrame, values: DataFrame, prepare: Callable, met: Callable, step: int = 32) -> DataFrame:
+def compared(pairs: DataFrame, values: DataFrame, prepare: Callable, met: Callable, step: int = 32, key: pa.DataType | None = None) -> DataFrame:
     """(a, b, met) of the pairs (a, b) for which ``met(a's, b's)`` isn't None.
 
     values: key, value (binary, or an array of longs), one row for each key. ``prepare`` makes of a value what ``met`` takes. Pairs are
-    distinct. Rows come to a task by (a, salt), a's own value first; one prepared value is held at a time.
+    distinct. Rows come to a task by (a, salt), a's own value first; one prepared value is held at a time. ``key`` is the keys' type, binary
+    if not given.
     """
+    key = key or pa.binary()
+    name = "long" if pa.types.is_int64(key) else "binary"
     total = pairs.count()
     held = pairs.groupBy("a").agg(F.count("*").alias("held"))
     held = held.withColumn("salts", F.ceil(F.col("held") / GROUP).cast("int"))
     salted = spread_join(pairs.select("a", "b"), held, "a", total).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     others = salted.join(values.withColumnRenamed("key", "b"), "b").select("a", "salt", "b", "value")
-    own = held.join(values.withColumnRenamed("key", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"), "value")
+    own = held.join(values.withColumnRenamed("key", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast(name).alias("b"), "value")
     dealt = others.unionByName(own).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
@@ -53,9 +56,9 @@ def compared(pairs: DataFrame, values: DataFrame, prepare: Callable, met: Callab
                         of, mine = (x, s), prepare(v)
                     elif of == (x, s) and (m := met(mine, prepare(v))) is not None:
                         found.append((x, y, m))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["a", "b", "met"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((key, key, pa.int64()))], ["a", "b", "met"])
 
-    return dealt.mapInArrow(run, "a binary, b binary, met long")
+    return dealt.mapInArrow(run, f"a {name}, b {name}, met long")
 
 
 def overlap(num: int, den: int) -> Callable:
