@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lantern.operators import hierarchy, intervals
+from lantern.operators import hierarchy, intervals, json_split
 from lantern.plans.catalog import query, table
 from lantern.sources.encodings import decoded
 from lantern.sources.shared import folder
@@ -96,3 +96,11 @@ def decoded_documents(spark, d) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     content = F.when(F.col("doc_id") % 2 == 0, F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", "?"), "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
     return table(spark, d, "documents").select("doc_id", decoded(content).alias("x")).select("doc_id", "x.codec", F.md5(F.col("x.text").cast("binary")).alias("text_md5"))
+
+
+@query()
+def json_pieces(spark, d) -> DataFrame:
+    """Documents as JSON with their lines as a list, in pieces; tests put pieces together again."""
+    whole = F.to_json(F.struct("doc_id", "source", "lang", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines")))
+    parts = table(spark, d, "documents").select("doc_id", F.posexplode(json_split.split(whole, 1000)).alias("piece", "json"))
+    return parts.select("doc_id", "piece", F.length("json").alias("length"), F.md5(F.col("json").cast("binary")).alias("json_md5"))
