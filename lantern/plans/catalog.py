@@ -186,9 +186,13 @@ def numeric_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(T.number_tokens(F.col("text"))).alias("n"))
 
 
-@query(r"SELECT DISTINCT page_id, y FROM (SELECT page_id, unnest(regexp_extract_all(html, '[0-9]+')) AS y FROM pages) WHERE regexp_full_match(y, '(19|20)[0-9]{2}')")
+#: The pages hold no tables and hardly a year, so each gets a table of its host and a year, of up to three rows and an empty one.
+TABLED = """html || '<table><tr><th>year</th><th>host</th></tr>' || repeat('<tr><td>' || CAST(1985 + page_id % 45 AS STRING) || '</td><td class="h">' || split_part(url, '/', 3) || '</td></tr>', CAST(page_id % 4 AS INT)) || '<tr><td> </td></tr></table>'"""
+
+
+@query(rf"SELECT DISTINCT page_id, y FROM (SELECT page_id, unnest(regexp_extract_all({TABLED}, '[0-9]+')) AS y FROM pages) WHERE regexp_full_match(y, '(19|20)[0-9]{{2}}')")
 def year_tokens(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(T.year_tokens(F.col("html"))).alias("y"))
+    return table(spark, d, "pages").select("page_id", F.explode(T.year_tokens(F.expr(TABLED))).alias("y"))
 
 
 @query(r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
@@ -197,10 +201,10 @@ def html_sections(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"), T.html_text(F.col("html")).alias("body"))
 
 
-@query(r"""SELECT page_id, len(rows)::INT AS n_rows, coalesce(list_sum(list_transform(rows, lambda r: len(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1)))), 0)::INT AS n_cells FROM (
-    SELECT page_id, list_filter(regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1), lambda r: len(list_filter(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda c: length(trim(regexp_replace(c, '<[^>]*>|[ \t\r\n]', '', 'g'))) > 0)) > 0) AS rows FROM pages)""")
+@query(rf"""SELECT page_id, len(rows)::INT AS n_rows, coalesce(list_sum(list_transform(rows, lambda r: len(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1)))), 0)::INT AS n_cells FROM (
+    SELECT page_id, list_filter(regexp_extract_all({TABLED}, '(?is)<tr[^>]*>(.*?)</tr>', 1), lambda r: len(list_filter(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda c: length(trim(regexp_replace(c, '<[^>]*>|[ \t\r\n]', '', 'g'))) > 0)) > 0) AS rows FROM pages)""")
 def html_rows(spark, d):
-    rows = table(spark, d, "pages").select("page_id", T.html_rows(F.col("html")).alias("r"))
+    rows = table(spark, d, "pages").select("page_id", T.html_rows(F.expr(TABLED)).alias("r"))
     return rows.select("page_id", F.size("r").alias("n_rows"), F.aggregate("r", F.lit(0), lambda a, x: a + F.size(x)).alias("n_cells"))
 
 
@@ -329,10 +333,14 @@ def report_delta(spark, d):
     return metrics.delta(of("O"), of("F"), "k", ["a", "b"]).withColumns({c: F.round(c, 9) for c in ("current", "baseline")})
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN quality = 0 THEN 'junk' WHEN toxic = 1 THEN 'toxic' WHEN n_chars < 200 THEN 'short' ELSE 'fine' END AS kind FROM labels JOIN documents USING (doc_id)) GROUP BY kind""")
+@query("""SELECT k.kind, count(x.kind) AS n FROM (SELECT unnest(['junk', 'toxic', 'short', 'unlabelled', 'fine']) AS kind) k
+    LEFT JOIN (SELECT CASE WHEN quality = 0 THEN 'junk' WHEN toxic = 1 THEN 'toxic' WHEN n_chars < 200 THEN 'short' WHEN quality IS NULL THEN 'unlabelled' ELSE 'fine' END AS kind FROM labels JOIN documents USING (doc_id)) x ON k.kind = x.kind GROUP BY k.kind""")
 def failure_taxonomy(spark, d):
-    kind = F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").when(F.col("n_chars") < 200, "short").otherwise("fine")
-    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    """Counts of all classes, those without rows as 0."""
+    kind = F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").when(F.col("n_chars") < 200, "short").when(F.col("quality").isNull(), "unlabelled").otherwise("fine")
+    found = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    every = spark.range(1).select(F.explode(F.array(*map(F.lit, ("junk", "toxic", "short", "unlabelled", "fine")))).alias("kind"))
+    return every.join(found, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""SELECT trait, count(*) AS n, count(*) FILTER (WHERE quality = 0) AS misses FROM (SELECT quality, unnest(list_filter([CASE WHEN contains(text, '!') THEN 'loud' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'numeric' END, CASE WHEN contains(text, '|') THEN 'table' END], lambda x: x IS NOT NULL)) AS trait

@@ -8,7 +8,7 @@ from lantern.functions import answers as A, questions as Q
 from lantern.functions import text as T
 from lantern.operators import packing
 from lantern.plans.answers import _R, _REF_TEXT, _anc, references
-from lantern.plans.catalog import query, table
+from lantern.plans.catalog import TABLED, query, table
 from lantern.plans.evidence import _BOXES, _boxes
 from lantern.plans.questions import _FILE, _Q, _QUESTION, _distinct, _has, asked, questions
 
@@ -87,9 +87,9 @@ def first_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 24)).alias("line_no", "line"))
 
 
-@query("""SELECT page_id, len(regexp_extract_all(html, '(?is)<tr[ >]'))::INT AS html_rows, len(string_split(html, chr(10)))::INT AS text_rows FROM pages""")
+@query(f"""SELECT page_id, len(regexp_extract_all({TABLED}, '(?is)<tr[ >]'))::INT AS html_rows, len(string_split(html, chr(10)))::INT AS text_rows FROM pages""")
 def row_counts(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("(?is)<tr[ >]")).alias("html_rows"), F.size(F.split("html", "\n")).alias("text_rows"))
+    return table(spark, d, "pages").select("page_id", F.regexp_count(F.expr(TABLED), F.lit("(?is)<tr[ >]")).alias("html_rows"), F.size(F.split("html", "\n")).alias("text_rows"))
 
 
 # ---- boxes ----
@@ -143,6 +143,7 @@ def merged_boxes(spark, d):
 
 # ---- text rules ----
 
+# Phrases that a request begins with, and what its subject is cut at.
 _ASK = "^(?:我想先看|我想看|我需要|我只想|先把|先给我|先看|帮我找|帮我看|给我|把|发我|给我发|告诉我|我先看)"
 _CUT = "的?(?:法条原文|条文原文|法律原文|司法解释原文|案例原文|原文|全文|摘要|办事流程|申请材料|受理条件|办理时限|解读|评述|点评|核心内容|适用条件)|[,，。；]"
 _PERIOD = "20[0-9]{2}年?(?:[0-9]{1,2}月)?(?:[0-9]{1,2}日)?"
@@ -176,6 +177,7 @@ def period_aliases(spark, d):
     return q.select("q_id", F.explode(F.concat(F.array("p", y, F.concat(y, F.lit("年"))), month, day)).alias("alias")).distinct()
 
 
+# Words of questions that say nothing of their subject.
 _WHAT = "是*(什么样的|哪家|一下|那家|请问|啥样|咋样了|什么时候|何时|何地|何人|是否|是不是|多少|哪里|怎么|哪儿|怎么样|如何|哪些|是啥|啥是|啊|吗|呢|吧|咋|什么|有没有|呀|谁|哪位|哪个)是*"
 _FILL = "(^| )('s|'re|is|are|were|was|do|does|did|don't|doesn't|didn't|has|have|be|there|you|me|your|my|mine|just|please|may|i|should|would|wouldn't|will|won't|done|go|for|with|so|the|a|an|by|i'm|it's|he's|she's|they|they're|you're|as|by|on|in|at|up|out|down|of|to|or|and|if) "
 _MIXED = f"CASE WHEN o_orderkey % 4 = 0 THEN 'What is The ' || o_orderpriority || ' of a list, and how is it done ' || o_orderstatus ELSE {_QUESTION} END"
@@ -207,10 +209,10 @@ def english_vote(spark, d):
     return table(spark, d, "conversations").where("text is not null").groupBy("conv_id").agg(F.count("*").alias("n"), F.round(share, 6).alias("share"), (share > 0.8).alias("english"))
 
 
-@query("""SELECT conv_id, turn, trim(regexp_extract(fenced, '(?s)^\\s*```[a-z]*\\n?(.*?)\\n?```\\s*$', 1)) AS body FROM (SELECT conv_id, turn, '```json' || chr(10) || left(text, 80) || chr(10) || '```' AS fenced FROM conversations)""")
+@query("""SELECT conv_id, turn, trim(regexp_extract(fenced, '(?s)^\\s*```[a-z]*\\n?(.*?)\\n?```\\s*$', 1)) AS body FROM (SELECT conv_id, turn, '```json' || chr(10) || text || chr(10) || '```' AS fenced FROM conversations)""")
 def code_fences(spark, d):
-    """What stands inside a fence."""
-    fenced = F.concat(F.lit("```json\n"), F.substring("text", 1, 80), F.lit("\n```"))
+    """What stands inside a fence, however long."""
+    fenced = F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.trim(F.regexp_extract(fenced, r"(?s)^\s*```[a-z]*\n?(.*?)\n?```\s*$", 1)).alias("body"))
 
 

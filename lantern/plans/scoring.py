@@ -106,6 +106,7 @@ def title_forms(spark, d):
 
 # ---- routes and fallbacks ----
 
+# What a question may ask for.
 _ASKS = ("法条原文", "条文原文", "法律原文", "司法解释原文", "指导性案例原文", "完整条文", "全文", "原文", "不要解读", "不看解读", "仅要法条", "仅要条文")
 _SUMS = ("摘要", "表格", "办事流程", "申请材料", "受理条件", "办理时限", "不用全文", "不看全文", "不用整本", "不看整本")
 
@@ -159,6 +160,7 @@ def family_adjusted(spark, d):
 
 # ---- markdown, cells, cases ----
 
+# Patterns of bordered and borderless tables.
 _TABLE, _BARE = r"(?:\n|^)(?:\|.*?\|.*?\|.*?\n)(?:\|(?:\s*[:-]+[-| :]*\s*)\|.*?\n)(?:\|.*?\|.*?\|.*?\n)+", r"(?:\n|^)(?:\S.*?\|.*?\n)(?:(?:\s*[:-]+[-| :]*\s*).*?\n)(?:\S.*?\|.*?\n)+"
 _MD = """CASE page_id % 3 WHEN 0 THEN 'intro' || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | ' || url || ' |' || chr(10) || '| 2 | y |' || chr(10) || 'tail' WHEN 1 THEN '# head' || chr(10) || url || chr(10) || 'k | v' || chr(10) || '--- | ---' || chr(10) || 'x | 1' || chr(10) || 'end' ELSE url || chr(10) || '## two' || chr(10) || 'body' END || chr(10)"""
 
