@@ -80,8 +80,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("of")).agg(F.max("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     known = known.orderBy(F.xxhash64("of"), "of").limit(sample)
-    # the limit bounds what is broadcast
-    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("of")).persist()
+    # the limit bounds what is broadcast; of rows that share a labelled doc_id one text is fitted on, so ``sample`` bounds the rows too
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("of"))
+    joined = texts.groupBy("doc_id", "quality", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).persist()
     kinds = ["quality", "toxic"]
     words = joined.select(*kinds, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)))).alias("word"))
     total = joined.agg(F.count("*").alias("n"), *(F.sum(k).alias(k) for k in kinds)).first()
