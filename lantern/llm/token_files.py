@@ -34,8 +34,8 @@ from lantern.llm.common import portions, slices
 
 SAMPLES, DICTIONARY, BLOCK, LEVEL = 2000, 64 * 1024, 4 << 20, 3
 SLICES, SLICE = 8, 256
-#: Pieces that a task remembers with their ids.
-MEMORY = 500_000
+#: Pieces that a task remembers with their ids, and characters of the longest that it does.
+MEMORY, LONG = 500_000, 64
 #: New pieces that are encoded as one text.
 TOGETHER = 256
 END = 2
@@ -46,8 +46,8 @@ class Encoder:
     """Ids of texts as arrays of little-endian 32-bit integers.
 
     No token of a byte-level vocabulary reaches over a line break between two other characters, or from there over a single space,
-    so a text is cut there and each piece is encoded once while it is remembered: the last ``MEMORY`` pieces, and as many before
-    them. A batch's distinct pieces are found and put together by Arrow and numpy. New pieces are encoded many at a time with line
+    so a text is cut there and each piece is encoded once while it is remembered: the last ``MEMORY`` pieces of up to ``LONG``
+    characters, and as many before them. A batch's distinct pieces are found and put together by Arrow and numpy. New pieces are encoded many at a time with line
     breaks between them. Texts that begin with white space, have runs of it or an added token's string are encoded whole.
     """
 
@@ -104,7 +104,10 @@ class Encoder:
         known.update(zip(rest, self._many([" " + p for p in rest]), strict=True))
         for p in ended:
             known[p] = known[p[:-1]] + marks[p[-1]]
-        return [known[p] for p in pieces]
+        out = [known[p] for p in pieces]
+        for p in (p for some in (pieces, words) for p in some if len(p) > LONG):  # or long strings would fill the memory
+            known.pop(p, None)
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         safe = [not t[:1].isspace() and not _UNSAFE.search(t) and not any(a in t for a in self.added) for t in texts]
