@@ -27,6 +27,22 @@ def test_each_encoding_is_told_apart(codec):
     assert detect((TEXTS[codec] * 50).encode(codec)) == codec
 
 
+WESTERN = (
+    "Euxvi, ççpa. Aiauxan éle éêè ai de.", "De anque re éè en auxrepa que oureque, auxqueque la enç.", "ÑÑUEAR!! RRAR!! ÑASCI!! CIÓNÓOS!! ADOQUETA!!",
+    "loweiig Te auunger von ö beberte.", "La é, é, é, é, é, la et.", "Of erlysh er thedtion esou èê, thnth atlyre.", "un Çèen de la",
+)
+
+
+@pytest.mark.parametrize("text", WESTERN)
+def test_accented_letters_that_stand_alone_or_together_stay_western(text):
+    assert detect(text.encode("cp1252")) == "cp1252"
+
+
+@pytest.mark.parametrize("codec,text", [("cp1251", "The word привет means hello in Russian"), ("koi8_r", "п. 5 и ст. 6 закона о правах")])
+def test_words_of_other_letters_among_latin_ones_are_still_found(codec, text):
+    assert detect(text.encode(codec)) == codec
+
+
 def test_columns_nulls_and_empty_files(spark):
     rows = [(k, v.encode(k)) for k, v in TEXTS.items()] + [("none", None), ("empty", b"")]
     got = {r["k"]: (r["x"]["codec"], r["x"]["text"]) for r in spark.createDataFrame(rows, "k string, c binary").select("k", decoded("c").alias("x")).collect() if r["x"] is not None}
