@@ -12,9 +12,9 @@ it holds, by a join with its substrings.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-from functools import lru_cache
+from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 DENOMINATOR, UNKNOWN, SPREAD = 1_000_000, -12, 30
 #: Letters of a stretch, letters of a word, words of a dictionary that is broadcast.
 PIECE, LONGEST, SMALL = 48, 12, 2_000_000
+#: The weight of what is no word, in arrays; letters that are read at once, stretches that are divided at once.
+NONE, CHUNK, BLOCK = -(1 << 16), 1 << 16, 256
 
 
 def weight(freq: Column) -> Column:
@@ -99,20 +101,187 @@ def finer(token: str, words: Mapping[str, int]) -> list[str]:
     return [token] if len(parts) == len(token) else parts
 
 
+class Words:
+    """A dictionary as a tree of letters in arrays: edges (node, letter) -> node in a hash table, exact keys; the root is node 0."""
+
+    def __init__(self, words: Mapping[str, int]):
+        listed = sorted(w for w in words if 0 < len(w) <= LONGEST)
+        letters = np.array(listed, dtype=f"U{LONGEST}").view(np.uint32).reshape(-1, LONGEST).astype(np.int64) if listed else np.zeros((0, LONGEST), np.int64)
+        self.weight = np.full(1, NONE, np.int32)
+        parent, fresh, keys = np.zeros(len(listed), np.int64), np.zeros(len(listed), bool), []
+        fresh[:1] = True
+        for i in range(LONGEST):  # words are sorted, so a node's words lie together
+            fresh[1:] |= letters[1:, i] != letters[:-1, i]
+            there = letters[:, i] > 0
+            node = len(self.weight) - 1 + np.cumsum(fresh & there)
+            keys.append((parent << 21 | letters[:, i])[fresh & there])
+            self.weight = np.concatenate([self.weight, np.full(len(keys[-1]), NONE, np.int32)])
+            last = there & (letters[:, i + 1] == 0 if i + 1 < LONGEST else True)
+            self.weight[node[last]] = [words[listed[j]] for j in np.flatnonzero(last)]
+            parent = np.where(there, node, 0)
+        edge = np.concatenate(keys)
+        self.bits = max(4, int(2 * len(edge)).bit_length())
+        self.keys, self.nodes = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        left, at = np.arange(len(edge)), self._slot(edge)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = edge[left[free]]
+            held = self.keys[at] == edge[left]
+            self.nodes[at[held]] = left[held] + 1
+            left, at = left[~held], (at[~held] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The node that each letter leads to, 0 where there is none."""
+        key = node << 21 | letter
+        at, out, left = self._slot(key), np.zeros(len(key), np.int64), np.arange(len(key))
+        while len(left):
+            there = self.keys[at]
+            held = there == key
+            out[left[held]] = self.nodes[at[held]]
+            on = ~held & (there >= 0)
+            left, key, at = left[on], key[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+
+def _matches(letters: np.ndarray, left: np.ndarray, words: Words) -> np.ndarray:
+    """[n - 1, p]: the weight of the n letters from p on, NONE for what is no word; ``left`` letters remain in p's run."""
+    found = np.full((LONGEST, len(letters)), NONE, np.int32)
+    at, node = np.arange(len(letters)), np.zeros(len(letters), np.int64)
+    for n in range(LONGEST):
+        on = left[at] > n
+        at, node = at[on], node[on]
+        node = words.step(node, letters[at + n])
+        at, node = at[node > 0], node[node > 0]
+        found[n, at] = words.weight[node]
+    return found
+
+
+def _best_borders(found: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """``_best`` for many stretches at once: the places of borders inside them.
+
+    For each number of words, the best path to each place is (weights, long words, length of the last word), packed in an integer in this order.
+    Rounds end when no more words can win: their score is at most SPREAD / n + 1 and the best sum of any number of words.
+    """
+    m, cols = int(sizes.max()), np.arange(len(starts))
+    place = np.minimum(starts + np.arange(m)[:, None], found.shape[1] - 1)
+    step = found[:, place]
+    step[0][step[0] == NONE] = UNKNOWN
+    n_letters = np.arange(1, LONGEST + 1, dtype=np.int32)[:, None, None]
+    outside = (step == NONE) | (np.arange(m)[None, :, None] + n_letters > sizes)
+    most = np.full((m + 1, len(starts)), NONE, np.int32)
+    most[0] = 0
+    plain = np.where(outside, NONE, step)
+    for e in range(1, m + 1):
+        for n in range(1, min(LONGEST, e) + 1):
+            np.maximum(most[e], most[e - n] + plain[n - 1, e - n], out=most[e])
+    step = np.where(outside, NONE * 1024, (step * 64 + (n_letters > 1)) * 16 + n_letters)
+    now, most = np.full((m + 1, len(starts)), NONE * 1024, np.int32), most[sizes, cols]
+    now[0] = 0
+    backs, score, words = [], np.full(len(starts), -np.inf), np.zeros(len(starts), np.int64)
+    for k in range(1, m + 1):
+        then = np.full_like(now, NONE * 1024)
+        for n in range(1, min(LONGEST, m - k + 1) + 1):
+            np.maximum(then[k - 1 + n :], now[k - 1 : m + 1 - n] + step[n - 1, k - 1 : m + 1 - n], out=then[k - 1 + n :])
+        backs.append((then & 15).astype(np.int8))
+        now = then & ~15
+        if k < least:
+            continue
+        end = now[sizes, cols] >> 4
+        new = np.where(end > NONE * 32, np.round((SPREAD + (end & 63)) / k + (end >> 6), 9), -np.inf)
+        better = new > score
+        score, words = np.where(better, new, score), np.where(better, k, words)
+        if (SPREAD / (k + 1) + 1 + most <= score - 1e-6).all():
+            break
+    at, borders = sizes.copy(), []
+    for k in range(int(words.max()), 1, -1):
+        on = words >= k
+        at[on] -= np.array(backs[k - 1])[at[on], cols[on]]
+        borders.append((starts + at)[on])
+    return np.concatenate(borders) if borders else np.zeros(0, np.int64)
+
+
+def divided(runs: list[str], words: Words, fine: bool = False) -> list[list[str]]:
+    """``divide``, or ``finer``, for many runs at once."""
+    sizes = np.array([len(r) for r in runs], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    text, size = "".join(runs), int(sizes.sum())
+    if not size:
+        return [[] for _ in runs]
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    found = _matches(letters, np.repeat(ends, sizes) - np.arange(size), words)
+    border = np.zeros(size + 1, bool)
+    border[0] = border[ends] = True
+    if fine:
+        a, b = (ends - sizes)[(sizes >= 3) & (sizes <= 10)], ends[(sizes >= 3) & (sizes <= 10)]
+    else:
+        far, near = np.arange(1, size + 1), np.arange(-1, size)
+        for n in range(2, LONGEST + 1):
+            p = np.flatnonzero(found[n - 1] != NONE)
+            far[p], near[p + n] = p + n, p
+        forward, backward = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+        for reading, step, at, end in ((forward, far.tolist(), 0, size), (backward, near.tolist(), size, 0)):  # no word goes beyond its run
+            borders = [at]
+            while at != end:
+                at = step[at]
+                borders.append(at)
+            reading[borders] = True
+        common = forward & backward
+        met = np.flatnonzero(common)
+        for i in np.flatnonzero(np.diff(met) >= PIECE):  # long stretches are cut at borders of the forward reading
+            start = met[i]
+            for b in np.flatnonzero(forward[met[i] + 1 : met[i + 1]]) + met[i] + 1:
+                if b - start >= PIECE:
+                    common[b], start = True, b
+        cuts = np.flatnonzero(common)
+        a, b, count = cuts[:-1], cuts[1:], np.cumsum(forward | backward)
+        border |= common
+        open_ = ~backward[b] | (count[b - 1] > count[a])
+        a, b = a[open_], b[open_]
+    order = np.argsort(b - a, kind="stable")
+    for i in range(0, len(order), BLOCK):
+        block = order[i : i + BLOCK]
+        border[_best_borders(found, a[block], (b - a)[block], 2 if fine else 1)] = True
+    places = np.flatnonzero(border).tolist()
+    tokens = [text[x:y] for x, y in zip(places, places[1:], strict=False)]
+    last = np.cumsum(border)[ends] - 1
+    out = [tokens[x:y] for x, y in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
+    return [[r] if fine and len(t) == len(r) else t for r, t in zip(runs, out, strict=True)] if fine else out
+
+
+def in_chunks(texts: Iterable[str | None], words: Words, fine: bool = False) -> list[list[str]]:
+    """The words of each text's runs, some texts at a time."""
+    out: list[list[str]] = []
+    some: list[list[str]] = []
+    letters = 0
+
+    def done():
+        flat = iter(divided([r for rs in some for r in rs], words, fine))
+        out.extend([t for _ in rs for t in next(flat)] for rs in some)
+
+    for text in texts:
+        some.append((text or "").split())
+        letters += len(text or "")
+        if letters >= CHUNK:
+            done()
+            some, letters = [], 0
+    done()
+    return out
+
+
 def segmented(texts: DataFrame, dictionary: DataFrame, text: str, fine: bool = False, small: int = SMALL) -> DataFrame:
     """texts with ``tokens``: for each run of letters in a text its words, in order. Null texts have none."""
     weights = dictionary.select("word", weight(F.col("freq")).alias("weight")).where(F.length("word").between(1, LONGEST))
     work = finer if fine else divide
     if weights.count() <= small:
-        shared = texts.sparkSession.sparkContext.broadcast(dict(weights.collect()))  # at most ``small`` words
+        shared = texts.sparkSession.sparkContext.broadcast(Words(dict(weights.collect())))  # at most ``small`` words
 
         @F.pandas_udf("array<string>")
         def words_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known = shared.value
-            best = lru_cache(1 << 16)(lambda run: tuple(_best(run, known)))
-            each = (lambda run: finer(run, known)) if fine else (lambda run: divide(run, known, lambda r, _: best(r)))
             for part in parts:
-                yield part.map(lambda s: [t for run in (s or "").split() for t in each(run)])
+                yield pd.Series(in_chunks(part, shared.value, fine))
 
         return texts.withColumn("tokens", words_of(F.col(text)))
     rows = texts.withColumn("seg_id", F.monotonically_increasing_id())

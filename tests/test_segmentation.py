@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import pytest
 
@@ -48,6 +49,26 @@ def test_readings_that_agree_stand_and_long_texts_are_cut_in_pieces():
     assert "".join(S.divide("研究生命" * 5000, words)) == "研究生命" * 5000
 
 
+def test_runs_divided_at_once_as_one_by_one(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(S, "BLOCK", 7)
+    for _ in range(120):
+        words = {"".join(rng.choice("abc𝒳") for _ in range(rng.randint(1, rng.choice([3, 12])))): rng.randint(-13, 3) for _ in range(rng.randint(0, 40))}
+        runs = ["".join(rng.choice("abcd𝒳") for _ in range(rng.randint(1, 130))) for _ in range(20)]
+        tree, short = S.Words(words), [r[: rng.randint(1, 12)] for r in runs]
+        assert S.divided(runs, tree) == [S.divide(r, words) for r in runs]
+        assert S.divided(short, tree, fine=True) == [S.finer(r, words) for r in short]
+
+
+def test_many_sentences_without_a_common_reading_take_little_time():
+    rng = random.Random(6)
+    words = {"".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))): rng.randint(-13, -2) for _ in range(3000)}
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(120)) for _ in range(2000)]
+    tree, start = S.Words(words), time.process_time()
+    out = S.in_chunks([*texts, None, ""], tree)
+    assert time.process_time() - start < 3 and ["".join(t) for t in out] == [*texts, "", ""]  # one by one 6.6 seconds were measured
+
+
 def test_joined_and_broadcast_dictionaries_agree(spark):
     rng = random.Random(2)
     words = [("".join(rng.choice("abc") for _ in range(rng.randint(1, 5))), rng.randint(1, 9000), "t") for _ in range(60)]
