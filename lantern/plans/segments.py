@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lantern.operators import lexical, segmentation as S
 from lantern.plans.catalog import query, table
+from lantern.sources.shared import written
 
 _WORDS = r"SELECT doc_id, lang, unnest(string_split_regex(lower(coalesce(text, '')), '[^\p{L}]+')) AS word FROM documents"
 _DICT = rf"""w AS ({_WORDS}),
@@ -63,7 +64,7 @@ def segmented_items(spark, d):
 def segmented_sentences(spark, d):
     """The same for all sentences of all documents; too slow in SQL, tests hold it against plain recursion."""
     docs = table(spark, d, "documents")
-    out = S.segmented(runs(docs, "doc_id"), dictionary(docs), "run")
+    out = S.segmented(runs(docs, "doc_id"), written(dictionary(docs), "dictionary"), "run")
     return out.select("doc_id", "part", F.array_join("tokens", " ").alias("words"), F.size("tokens").cast("long").alias("n_words"))
 
 
@@ -71,13 +72,14 @@ def segmented_sentences(spark, d):
 def segmented_bm25(spark, d):
     """BM25 of items in documents, both written without spaces, over the words that segmentation finds."""
     docs = table(spark, d, "documents")
-    words = dictionary(docs)
+    words = written(dictionary(docs), "dictionary")
 
     def spaced(rows, id):
         found = S.segmented(runs(rows, id), words, "run")
         return found.groupBy(id).agg(F.array_join(F.flatten(F.collect_list("tokens")), " ").alias("text"))
 
-    return lexical.bm25(spaced(table(spark, d, "benchmark"), "item_id"), spaced(docs, "doc_id"), "item_id", "doc_id")
+    items, texts = (written(spaced(rows, id), id) for rows, id in ((table(spark, d, "benchmark"), "item_id"), (docs, "doc_id")))
+    return lexical.bm25(items, texts, "item_id", "doc_id")
 
 
 @query(rf"""WITH RECURSIVE {_DICT}, runs AS (SELECT row_number() OVER () AS r, word AS run FROM dict WHERE length(word) BETWEEN 3 AND 10), {_MATCHES}, stretch AS (SELECT r, 0::BIGINT AS a, length(run)::BIGINT AS b FROM runs), {_PATHS.replace('LEAST_N', '2')}
