@@ -111,8 +111,7 @@ _LISTS = f"""{_BM25},
 
 
 def _coverage_top(spark, d):
-    hits = lexical.coverage(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", 0.0)
-    return ranking.ranked(hits, "item_id", F.col("hits").desc(), F.col("doc_id")).where("rank <= 5")
+    return lexical.coverage_top(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", 5)
 
 
 def _lists(spark, d):
