@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lantern.functions import text as T
+from lantern.operators.lexical import by_id
+from lantern.operators.matching import matches
+from lantern.sources.shared import written
 
 
 def budgeted(df: DataFrame, by: str, order: list[Column], text: str, most: int, each: int, total: int, sep: str = "\n") -> DataFrame:
@@ -90,14 +95,20 @@ def term_weights(queries: DataFrame, docs: DataFrame, qid: str, id: str, text: s
 def field_search(queries: DataFrame, docs: DataFrame, qid: str, id: str, boosts: dict[str, float], share: float = 0.3, text: str = "text") -> DataFrame:
     """qid, id, score: best field of a document, where a field scores its boost times the presence idf of the query's terms it has.
 
-    A document needs ``share`` of the query's terms in one field. One equi-join on (field, term); the idf is in [0, 1].
+    A document needs ``share`` of the query's terms in one field. Each task adds up its documents' scores; the idf is in [0, 1].
     """
-    fields = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.lit(float(b)).alias("boost"), F.array_distinct(T.tokens(F.col(n))).alias("terms")) for n, b in boosts.items())))
-    long = docs.select(id, fields.alias("f")).select(id, "f.field", "f.boost", F.explode("f.terms").alias("term"))
+    held = docs.select(id, *(F.array_distinct(T.tokens(F.col(name))).alias(name) for name in boosts))
+    fields = lambda rows: rows.select(id, F.explode(F.array(*(F.struct(F.lit(name).alias("field"), F.col(name).alias("terms")) for name in boosts))).alias("f"))
+    long = lambda rows: fields(rows).select(id, "f.field", F.explode("f.terms").alias("term"))
     n = docs.agg(F.count("*").alias("n"))  # one row
-    df = long.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(n))
+    df = long(held).groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(n))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) / F.log(1 + (F.col("n") - 0.5) / 1.5)
-    asked = queries.select(qid, F.array_distinct(T.tokens(F.col(text))).alias("q")).select(qid, F.size("q").alias("_n"), F.explode("q").alias("term"))
-    weighed = asked.join(df.select("field", "term", idf.alias("idf")), "term")
-    hits = weighed.join(long, ["field", "term"]).groupBy(qid, id, "field", "_n").agg(F.count("*").alias("shared"), F.sum(F.col("boost") * F.col("idf")).alias("score"))
-    return hits.where(F.col("shared") >= share * F.col("_n")).groupBy(qid, id).agg(F.max("score").alias("score"))
+    boost = F.coalesce(*(F.when(F.col("field") == name, F.lit(float(x))) for name, x in boosts.items()))
+    asked = queries.select(qid, F.array_distinct(T.tokens(F.col(text))).alias("q")).select(qid, (share * F.size("q")).alias("least"), F.explode("q").alias("term"))
+    asked = written(asked.join(df, "term").select(qid, "field", "term", (boost * idf).alias("weight"), "least"), "asked")
+    single, several = by_id(held, id)
+    found = [matches(single.select(id, F.col(name).alias("tokens")), asked.where(F.col("field") == name), id, qid).select(qid, id, "score") for name in boosts]
+    if several is not None:
+        hits = asked.join(long(several), ["field", "term"]).groupBy(qid, id, "field", "least").agg(F.count("*").alias("shared"), F.sum("weight").alias("score"))
+        found.append(hits.where("shared >= least").select(qid, id, "score"))
+    return reduce(DataFrame.unionByName, found).groupBy(qid, id).agg(F.max("score").alias("score"))

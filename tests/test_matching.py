@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lantern.operators import lexical, matching
+from lantern.operators import context, lexical, matching
 
 RNG = random.Random(7)
 WORDS = [f"w{i}" for i in range(12)]
@@ -62,3 +62,21 @@ def test_only_the_best_of_some_documents_leave_a_task(spark, given, monkeypatch)
     asked = spark.createDataFrame([(q, "w1", 1.0, 1) for q in range(6)], "q long, term string, weight double, least long")
     out = matching.matches(docs, asked, "d", "q", k=5)
     assert out.count() <= 6 * 5 * 400 / 50 and sorted({r["d"] for r in out.where("d < 50").collect()}) == [0, 1, 2, 3, 4]
+
+
+def test_best_field_as_by_plain_search(spark, given):
+    docs = given[1].withColumn("title", F.substring_index(F.coalesce("text", F.lit("")), " ", 2))
+    got = {(r["q"], r["d"]): r["score"] for r in context.field_search(given[0], docs, "q", "d", {"title": 10.0, "text": 2.0}).collect()}
+    fields = {"title": (10.0, lambda t: t[:2]), "text": (2.0, lambda t: t)}
+    df = {f: Counter(w for _, t in DOCS for w in set(cut((t or "").split()))) for f, (_, cut) in fields.items()}
+    idf = lambda c: math.log(1 + (len(DOCS) - c + 0.5) / (c + 0.5)) / math.log(1 + (len(DOCS) - 0.5) / 1.5)
+    want = {}
+    for q, text in QUERIES:
+        for f, (boost, cut) in fields.items():
+            held = {}
+            for i, t in DOCS:  # rows of equal id are one document
+                held.setdefault(i, []).extend(w for w in set(cut((t or "").split())) if w in set(text.split()))
+            for i, words in held.items():
+                if words and len(words) >= 0.3 * len(set(text.split())):
+                    want[q, i] = max(want.get((q, i), 0.0), sum(boost * idf(df[f][w]) for w in words))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
