@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lantern.functions import text as T
+from lantern.operators.lexical import by_id
+from lantern.operators.matching import matches
+from lantern.sources.shared import written
 
 
 def positions(docs: DataFrame, id: str, text: str = "text") -> DataFrame:
@@ -51,12 +54,17 @@ def near(placed: DataFrame, pairs: DataFrame, id: str, slop: int) -> DataFrame:
 def search(queries: DataFrame, docs: DataFrame, qid: str, id: str, k: int = 10, slop: int = 2, least: float = 0.3, common: float = 0.25) -> DataFrame:
     """(qid, rank, id, score, terms, phrases): the k best documents, with how many terms and phrases of the query they hold."""
     vocabulary = positions(queries, qid).select("term").distinct()
-    placed = positions(docs, id).join(vocabulary, "term", "left_semi")
+    placed = written(positions(docs, id).join(F.broadcast(vocabulary), "term", "left_semi"), "positions")
     terms, phrases = built(queries, placed, docs.agg(F.count("*").alias("docs")), qid, id, common)
-    held = placed.groupBy(id, "term").agg(F.count("*").alias("tf")).join(terms, "term")
+    terms, phrases = written(terms, "terms"), written(phrases, "phrases")
     saturated = lambda w, f: F.col(w) * F.col(f) / (F.col(f) + 1)
-    found = held.groupBy(qid, id, "n").agg(F.count("*").alias("terms"), F.sum(saturated("weight", "tf")).alias("by_term"))
-    found = found.where(F.col("terms") >= F.greatest(F.lit(1), F.floor(F.col("n") * least)))
+    single, several = by_id(docs.select(id, T.tokens(F.coalesce(F.col("text"), F.lit(""))).alias("tokens")), id)
+    asked = terms.withColumn("least", F.greatest(F.lit(1), F.floor(F.col("n") * least)))
+    found = matches(single, asked, id, qid, lambda tf, n: tf / (tf + 1)).select(qid, id, F.col("shared").alias("terms"), F.col("score").alias("by_term"))
+    if several is not None:
+        held = several.select(id, F.explode("tokens").alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf")).join(asked, "term")
+        more = held.groupBy(qid, id, "least").agg(F.count("*").alias("terms"), F.sum(saturated("weight", "tf")).alias("by_term")).where("terms >= least")
+        found = found.unionByName(more.select(qid, id, "terms", "by_term"))
     close = near(placed, phrases.select("left", "right").distinct(), id, slop).join(phrases, ["left", "right"])
     close = close.groupBy(qid, id).agg(F.count("*").alias("phrases"), F.sum(saturated("boost", "freq")).alias("by_phrase"))
     score = F.round(F.col("by_term") + F.coalesce("by_phrase", F.lit(0.0)), 6)
