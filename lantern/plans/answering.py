@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, functions as F
 
 from lantern.functions import text as T
-from lantern.operators import context
+from lantern.operators import context, lexical
 from lantern.plans.catalog import _TOKENS, query, table
 from lantern.plans.evidence import _BOXES, _CANDIDATES, _boxes, _candidates, _lineitems
 
@@ -82,9 +82,8 @@ def context_budget(spark, d):
     SELECT item_id, sentence, doc_id, round(sim, 6) AS sim FROM k WHERE best >= level AND sim > best QUALIFY row_number() OVER (PARTITION BY item_id, sentence ORDER BY round(sim, 9) DESC, doc_id) <= 4""")
 def citation_insert(spark, d):
     """The documents that each sentence of an item cites, from the item's five best."""
-    w = Window.partitionBy("item_id").orderBy(F.col("shared").desc(), "doc_id")
-    top = _candidates(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 5").select("item_id", "doc_id")
-    terms = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).join(top, "doc_id")
+    top = lexical.coverage_top(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", 5).select("item_id", "doc_id")
+    terms = table(spark, d, "documents").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("t")).join(F.broadcast(top), "doc_id").select("item_id", "doc_id", F.explode("t").alias("term"))
     said = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), r"[.!?\n]+", -1), lambda s: s.rlike("[A-Za-z]{2}")))
     u = table(spark, d, "benchmark").select("item_id", F.explode(said).alias("sentence")).withColumn("t", F.array_distinct(T.tokens(F.col("sentence"))))
     st = u.select("item_id", "sentence", F.size("t").alias("n"), F.explode("t").alias("term"))
