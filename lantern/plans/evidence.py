@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lantern.functions import text as T
 from lantern.operators import layout, rerank
+from lantern.operators.matching import matches
 from lantern.plans.catalog import _TOKENS, query, table
+from lantern.sources.shared import written
 
 
 def _tokens(c: str = "text") -> Column:
@@ -112,13 +114,18 @@ _CANDIDATES = f"""q AS (SELECT item_id, list_distinct({_TOKENS}) AS q FROM bench
     c AS (SELECT hits.item_id, hits.doc_id, source, shared, len(q) AS n_query, len(t) AS n_doc FROM hits JOIN q ON hits.item_id = q.item_id JOIN d ON hits.doc_id = d.doc_id)"""
 
 
-def _candidates(spark, d) -> DataFrame:
-    """item_id, doc_id, source, shared, n_query, n_doc, by an equi-join on terms."""
-    q = table(spark, d, "benchmark").select("item_id", F.array_distinct(_tokens()).alias("q"))
-    docs = table(spark, d, "documents").select("doc_id", "source", F.array_distinct(_tokens()).alias("t"))
-    left = q.select("item_id", F.size("q").cast("long").alias("n_query"), F.explode("q").alias("term"))
-    right = docs.select("doc_id", "source", F.size("t").cast("long").alias("n_doc"), F.explode("t").alias("term"))
-    return left.join(right, "term").groupBy("item_id", "doc_id", "source", "n_query", "n_doc").agg(F.count("*").alias("shared"))
+def _candidates(spark, d, least: float = 0.0) -> DataFrame:
+    """item_id, doc_id, source, shared, n_query, n_doc of the pairs that share a term, and at least this part of the query's."""
+    return _shared(spark, d, least=least)
+
+
+def _shared(spark, d, least: float = 0.0, weight=lambda n: F.lit(1.0), **best) -> DataFrame:
+    """The same; ``best`` keeps those that can be among the best by ``weight`` of the query's size."""
+    q = table(spark, d, "benchmark").select("item_id", F.array_distinct(_tokens()).alias("q")).select("item_id", F.size("q").cast("long").alias("n_query"), F.explode("q").alias("term"))
+    docs = table(spark, d, "documents").select("doc_id", "source", F.array_distinct(_tokens()).alias("tokens"))
+    asked = q.select("item_id", "term", weight(F.col("n_query")).alias("weight"), F.greatest(F.lit(1.0), least * F.col("n_query")).alias("least"))
+    found = matches(docs, asked, "doc_id", "item_id", **best).join(F.broadcast(q.select("item_id", "n_query").distinct()), "item_id")
+    return found.select("item_id", "doc_id", "source", "n_query", F.col("n").alias("n_doc"), "shared")
 
 
 @query(f"WITH {_CANDIDATES} SELECT item_id, doc_id, shared, round(shared / (n_query + 1e-6), 6) AS overlap, round((shared + 1e-9) / (n_query + 1e-9), 6) AS similarity FROM c")
@@ -134,9 +141,11 @@ def token_overlaps(spark, d):
 def cross_query_fusion(spark, d):
     """Two ranked lists for each query, fused; the five best."""
     shared = F.col("shared")
-    s = _candidates(spark, d).select("item_id", "doc_id", (shared / F.col("n_query")).alias("lex"), (shared / F.sqrt(F.col("n_query") * F.col("n_doc"))).alias("vec"))
+    scores = lambda c: c.select("item_id", "doc_id", (shared / F.col("n_query")).alias("lex"), (shared / F.sqrt(F.col("n_query") * F.col("n_doc"))).alias("vec"))
     by = lambda c: F.row_number().over(Window.partitionBy("item_id").orderBy(F.round(c, 9).desc(), "doc_id")).cast("long").alias("rank")
-    lists = s.select("*", by("lex")).where("rank <= 20").unionByName(s.select("*", by("vec")).where("rank <= 20"))
+    lex = scores(_shared(spark, d, k=20))  # a query's shares of shared terms are in the order of their number
+    vec = scores(_shared(spark, d, weight=lambda n: 1 / F.sqrt(n), value=lambda _, n: 1 / n**0.5, k=20, digits=9))
+    lists = lex.select("*", by("lex")).where("rank <= 20").unionByName(vec.select("*", by("vec")).where("rank <= 20"))
     fused = rerank.fuse_queries(lists, "item_id", "doc_id", "rank", "lex", "vec", "vec").withColumn("fusion", F.round("fusion", 6)).drop("best_similarity")
     order = Window.partitionBy("item_id").orderBy(F.col("fusion").desc(), F.col("appearances").desc(), "best_rank", "doc_id")
     return fused.withColumn("n", F.row_number().over(order)).where("n <= 5").drop("n")
@@ -145,7 +154,7 @@ def cross_query_fusion(spark, d):
 @query(f"""WITH {_CANDIDATES}, strict AS (SELECT item_id, doc_id, shared FROM c WHERE shared >= 0.9 * n_query), loose AS (SELECT item_id, doc_id, shared FROM c WHERE shared >= 0.3 * n_query)
     SELECT * FROM strict UNION ALL SELECT * FROM loose WHERE item_id NOT IN (SELECT item_id FROM strict)""")
 def zero_hit_relaxation(spark, d):
-    c = _candidates(spark, d)
+    c = written(_candidates(spark, d, 0.3), "loose")
     pick = lambda share: c.where(F.col("shared") >= share * F.col("n_query")).select("item_id", "doc_id", "shared")
     return rerank.relaxed(pick(0.9), pick(0.3), "item_id")
 
