@@ -104,7 +104,7 @@ def field_search(queries: DataFrame, docs: DataFrame, qid: str, id: str, boosts:
     df = long(held).groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(n))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) / F.log(1 + (F.col("n") - 0.5) / 1.5)
     boost = F.coalesce(*(F.when(F.col("field") == name, F.lit(float(x))) for name, x in boosts.items()))
-    asked = queries.select(qid, F.array_distinct(T.tokens(F.col(text))).alias("q")).select(qid, (share * F.size("q")).alias("least"), F.explode("q").alias("term"))
+    asked = queries.select(qid, F.array_distinct(T.tokens(F.col(text))).alias("_q")).select(qid, (share * F.size("_q")).alias("least"), F.explode("_q").alias("term"))
     asked = written(asked.join(df, "term").select(qid, "field", "term", (boost * idf).alias("weight"), "least"), "asked")
     single, several = by_id(held, id)
     found = [matches(single.select(id, F.col(name).alias("tokens")), asked.where(F.col("field") == name), id, qid).select(qid, id, "score") for name in boosts]
