@@ -100,8 +100,10 @@ def asked(spark, d) -> DataFrame:
 
 
 def _profiled(spark, d) -> DataFrame:
-    p = questions(spark, d).select("q_id", Q.once(Q.profile(F.col("q"))).alias("p")).select("q_id", "p.*")
-    return p.select("*", *(c.alias(n) for n, c in Q.flags().items()))
+    """Questions with their profiles; each different text is read once."""
+    p = questions(spark, d).select("q").distinct().select("q", Q.once(Q.profile(F.col("q"))).alias("p")).select(F.col("q").alias("asked_as"), "p.*")
+    p = p.select("*", *(c.alias(n) for n, c in Q.flags().items()))
+    return questions(spark, d).join(p, F.col("q").eqNullSafe(F.col("asked_as"))).select("q_id", *p.columns[1:])
 
 
 def _joined(*names: str):
