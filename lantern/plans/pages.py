@@ -18,8 +18,9 @@ _BOXES = f"b AS (SELECT {_SIDES} {_FROM})"
 
 
 def page_boxes(spark, d) -> DataFrame:
-    of = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")))
-    return of.select(*(F.expr(e.strip().replace("//", "DIV").replace("::VARCHAR", "").replace("l_quantity::INT", "int(l_quantity)")) for e in _split(_SIDES)))
+    lines = table(spark, d, "lineitem").withColumn("page", F.expr("l_orderkey DIV 8")).repartition("page")  # once, for all that goes by page
+    of = lines.groupBy("page", "l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")))
+    return of.select("page", *(F.expr(e.strip().replace("//", "DIV").replace("::VARCHAR", "").replace("l_quantity::INT", "int(l_quantity)")) for e in _split(_SIDES)[1:]))
 
 
 def _split(columns: str) -> list[str]:
@@ -44,9 +45,7 @@ def _listed(order: str, more: str = "") -> str:
 
 
 def _given(spark, d, *order: str, more=()) -> DataFrame:
-    boxes = page_boxes(spark, d)
-    height = boxes.groupBy("page").agg(F.avg(F.col("bottom") - F.col("top")).alias("height"))
-    return B.pages(boxes, *order, more=more).join(height, "page")
+    return B.pages(page_boxes(spark, d), *order, more=more, height=F.avg(F.col("bottom") - F.col("top")))
 
 
 _PASS = """list_reverse(list_reduce(list_prepend(e, list_transform(list_reverse(made), lambda y: [y])), lambda s, a:
@@ -56,7 +55,7 @@ _PASS = """list_reverse(list_reduce(list_prepend(e, list_transform(list_reverse(
 @query(f"WITH {_BOXES}, {_listed('top, x0')}, r AS (SELECT page, {_FOLD.format(step=_PASS)} AS bs FROM p) SELECT page, bs[i].box AS box, i AS place FROM (SELECT page, bs, unnest(range(1, len(bs) + 1)) AS i FROM r)")
 def fuzzy_order(spark, d):
     """Boxes by top and left side, where those less than a line apart have changed places in turn."""
-    p = _given(spark, d, "top", "x0").select("page", F.posexplode(B.in_reading_order(F.col("boxes"), F.col("height"))).alias("place", "b"))
+    p = _given(spark, d, "top", "x0").select("page", B.in_reading_order(F.col("boxes"), F.col("height")).alias("boxes")).select("page", F.posexplode("boxes").alias("place", "b"))
     return p.select("page", "b.box", (F.col("place") + 1).cast("long").alias("place"))
 
 
