@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from lantern.sources.shared import written
@@ -15,13 +17,20 @@ def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """
     known = edges.where(F.col(child).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("up"))
     path = F.when(F.col("up").isNull(), F.array().cast(f"array<{dict(known.dtypes)['up']}>")).otherwise(F.array("up"))
-    open_ = written(known.select("node", path.alias("path"), "up", F.lit(False).alias("cyclic")), "edges")
-    while open_.where("up is not null and not cyclic").limit(1).count():
-        above = open_.select(F.col("node").alias("up"), F.col("path").alias("more"), F.col("up").alias("next"), F.col("cyclic").alias("above_cyclic"))
-        joined = open_.join(above, "up", "left")
-        path = F.concat("path", F.coalesce("more", F.array().cast(dict(open_.dtypes)["path"])))
+    live, ended = written(known.select("node", path.alias("path"), "up", F.lit(False).alias("cyclic")), "edges"), []
+    while True:
+        # those at their end are only looked up: all of them have the same null for a key
+        ended.append(live.where("up is null or cyclic"))
+        live = live.where("up is not null and not cyclic")
+        if not live.limit(1).count():
+            break
+        every = reduce(DataFrame.unionByName, ended, live)
+        above = every.select(F.col("node").alias("up"), F.col("path").alias("more"), F.col("up").alias("next"), F.col("cyclic").alias("above_cyclic"))
+        joined = live.join(above, "up", "left")
+        path = F.concat("path", F.coalesce("more", F.array().cast(dict(live.dtypes)["path"])))
         cyclic = F.col("cyclic") | F.coalesce("above_cyclic", F.lit(False)) | F.array_contains(path, F.col("node")) | (F.size(F.array_distinct(path)) < F.size(path))
-        open_ = written(joined.select("node", F.when(~cyclic, path).otherwise(F.slice(path, 1, 0)).alias("path"), F.when(~cyclic, F.col("next")).alias("up"), cyclic.alias("cyclic")), "paths")
+        live = written(joined.select("node", F.when(~cyclic, path).otherwise(F.slice(path, 1, 0)).alias("path"), F.when(~cyclic, F.col("next")).alias("up"), cyclic.alias("cyclic")), "paths")
+    every = reduce(DataFrame.unionByName, ended)
     known = F.when(~F.col("cyclic"), F.size("path").cast("long"))
     root = F.when(~F.col("cyclic"), F.when(F.size("path") > 0, F.try_element_at("path", F.lit(-1))).otherwise(F.col("node")))
-    return open_.select(F.col("node").alias(child), known.alias("depth"), root.alias("root"), F.when(~F.col("cyclic"), F.col("path")).alias("path"), "cyclic")
+    return every.select(F.col("node").alias(child), known.alias("depth"), root.alias("root"), F.when(~F.col("cyclic"), F.col("path")).alias("path"), "cyclic")
