@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lantern.sources.shared import written
+
 #: Fixed values of the fusion over several queries: what a rank, a lexical score, a vector score and a similarity weigh.
 RANK_WEIGHT, LEXICAL_WEIGHT, VECTOR_WEIGHT, SIMILARITY_WEIGHT, RANK_OFFSET = 1.2, 0.75, 0.20, 0.05, 60
 
+#: Rows that are sorted in one task.
+RANGE = 1_000_000
+
 
 def token_similarity(query: Column, doc: Column, weight=lambda t: F.lit(1.0)) -> Column:
     """Weight of the query's tokens that the document has over the weight of all, smoothed by 1e-9."""
@@ -30,10 +35,23 @@ def relaxed(strict: DataFrame, loose: DataFrame, query: str) -> DataFrame:
 
 
 def prefer(df: DataFrame, query: str, conflict: Column, matched: Column, *order: Column, name: str = "place") -> DataFrame:
-    """Conflicting rows go unless all of a query's rows conflict; matched rows come first, else the order stays."""
-    w = Window.partitionBy(query)
-    kept = df.withColumn("_c", F.coalesce(conflict, F.lit(False))).withColumn("_any", F.max(~F.col("_c")).over(w)).where(~F.col("_c") | ~F.col("_any"))
-    return kept.withColumn(name, F.row_number().over(w.orderBy(F.coalesce(matched, F.lit(False)).desc(), *order))).drop("_c", "_any")
+    """Conflicting rows go unless all of a query's rows conflict; matched rows come first, else the order stays.
+
+    All rows are sorted in ranges of about ``RANGE``, so that no query's rows need to meet in one task; a row's place is its number among all
+    less that of its query's first one.
+    """
+    by = [F.col(query), F.col("_c"), F.coalesce(matched, F.lit(False)).desc(), *order]
+    marked = written(df.withColumn("_c", F.coalesce(conflict, F.lit(False))), "marked")  # read twice, as ranges are cut by a sample
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), marked.count() // RANGE)
+    # the number counts from 0 in each range, whose own number is in the upper bits
+    dealt = written(marked.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ranges = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(every), F.lit(0)).alias("_sooner"))
+    firsts = dealt.groupBy(F.col(query).alias("_q")).agg(F.min("_at").alias("_at"), F.min("_c").alias("_all"))
+    firsts = firsts.join(F.broadcast(ranges), part == F.col("_part")).select("_q", "_all", (F.col("_sooner") + inside).alias("_first"))
+    placed = dealt.join(F.broadcast(ranges), part == F.col("_part")).join(firsts, F.col(query).eqNullSafe(F.col("_q"))).where(~F.col("_c") | F.col("_all"))
+    return placed.withColumn(name, F.col("_sooner") + inside - F.col("_first") + 1).select(*df.columns, name)
 
 
 def neighbours_boost(tokens: Column) -> Column:
