@@ -38,6 +38,19 @@ def test_accented_letters_that_stand_alone_or_together_stay_western(text):
     assert detect(text.encode("cp1252")) == "cp1252"
 
 
+SHORT = ("Anaieux éé èçou éç ê.lisr", "le éç. éé", "Üä Üä Üä Üä", "Éç Éç Éç Éç Éç", "ñ ñ ñ ñ ñ ñ", "èéê la ê", "une une çè è", "Íí Íí Íí jallie jallie", "Licensed.\nÈèç Èèç Èèç Èèç")
+
+
+@pytest.mark.parametrize("text", SHORT)
+def test_few_accented_letters_are_no_proof_of_another_script(text):
+    assert detect(text.encode("cp1252")) == "cp1252"
+
+
+@pytest.mark.parametrize("codec,text", [("cp1251", "и суд решил"), ("koi8_r", "решение суда"), ("gb18030", "合同生效"), ("big5", "今天天氣"), ("shift_jis", "東京です"), ("euc_kr", "서울에 살고"), ("gb18030", "the contract 合同自双方签字之日起生效 of both")])
+def test_a_few_words_of_other_scripts_are_enough(codec, text):
+    assert detect(text.encode(codec)) == codec
+
+
 @pytest.mark.parametrize("codec,text", [("cp1251", "The word привет means hello in Russian"), ("koi8_r", "п. 5 и ст. 6 закона о правах")])
 def test_words_of_other_letters_among_latin_ones_are_still_found(codec, text):
     assert detect(text.encode(codec)) == codec
