@@ -16,14 +16,19 @@ from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 # What a frequency is divided by, the weight of a letter that is no word, the score's first term.
 DENOMINATOR, UNKNOWN, SPREAD = 1_000_000, -12, 30
 #: Letters of a stretch, letters of a word, words of a dictionary that is broadcast.
-PIECE, LONGEST, SMALL = 48, 12, 2_000_000
+PIECE, LONGEST, SMALL = 48, 12, 16_000_000
 #: The weight of what is no word, in arrays; letters that are read at once, stretches that are divided at once.
-NONE, CHUNK, BLOCK = -(1 << 16), 1 << 16, 256
+NONE, CHUNK, BLOCK = -(1 << 15), 1 << 18, 512
+#: Runs that are read one by one, words that are spelled at once.
+FEW, SLICE = 24, 500_000
 
 
 def weight(freq: Column) -> Column:
@@ -102,59 +107,87 @@ def finer(token: str, words: Mapping[str, int]) -> list[str]:
 
 
 class Words:
-    """A dictionary as a tree of letters in arrays: edges (node, letter) -> node in a hash table, exact keys; the root is node 0."""
+    """A dictionary as a tree of letters in arrays, some 30 bytes a word; the root is node 0.
 
-    def __init__(self, words: Mapping[str, int]):
-        listed = sorted(w for w in words if 0 < len(w) <= LONGEST)
-        letters = np.array(listed, dtype=f"U{LONGEST}").view(np.uint32).reshape(-1, LONGEST).astype(np.int64) if listed else np.zeros((0, LONGEST), np.int64)
-        self.weight = np.full(1, NONE, np.int32)
-        parent, fresh, keys = np.zeros(len(listed), np.int64), np.zeros(len(listed), bool), []
+    A letter is its rank in the alphabet, in as many digits of 64 as the alphabet needs (the last number is for letters that no word
+    has). A node has a bit for each digit that goes on, and its children lie together.
+    """
+
+    def __init__(self, words: Mapping[str, int] | pa.Table):
+        if not isinstance(words, pa.Table):
+            words = pa.table({"word": pa.array(list(words), pa.string()), "weight": pa.array(list(words.values()), pa.int16())})
+        size = pc.utf8_length(words["word"])
+        words = words.filter(pc.and_(pc.greater(size, 0), pc.less_equal(size, LONGEST))).sort_by("word").combine_chunks()
+        size, texts = pc.utf8_length(words["word"]).to_numpy(), words["word"]
+        some = [slice(i, i + SLICE) for i in range(0, len(size), SLICE)]
+        spelling = lambda x: _letters("".join(texts[x].to_pylist()))
+        used = np.zeros(1 << 21, bool)
+        for x in some:
+            used[spelling(x)] = True
+        alphabet = np.flatnonzero(used)
+        self.digits = next(d for d in (1, 2, 3, 4) if len(alphabet) < 1 << 6 * d)
+        self.rank = np.full(alphabet[-1] + 2 if len(alphabet) else 1, (1 << 6 * self.digits) - 1, np.int32)
+        self.rank[alphabet] = np.arange(len(alphabet))
+        spelled = np.full((len(size), LONGEST * self.digits + 1), 64, np.uint8)
+        for x in some:
+            rank, held = self.ranks(spelling(x)), np.arange(LONGEST) < size[x, None]
+            for d in range(self.digits):
+                spelled[x, d : LONGEST * self.digits : self.digits][held] = rank >> 6 * (self.digits - 1 - d) & 63
+        weights = words["weight"].to_numpy().astype(np.int16)
+        parent, fresh, nodes, level = np.zeros(len(size), np.int32), np.zeros(len(size), bool), 1, 1
+        self.weight, self.goes, self.child = [np.full(1, NONE, np.int16)], [], []
         fresh[:1] = True
-        for i in range(LONGEST):  # words are sorted, so a node's words lie together
-            fresh[1:] |= letters[1:, i] != letters[:-1, i]
-            there = letters[:, i] > 0
-            node = len(self.weight) - 1 + np.cumsum(fresh & there)
-            keys.append((parent << 21 | letters[:, i])[fresh & there])
-            self.weight = np.concatenate([self.weight, np.full(len(keys[-1]), NONE, np.int32)])
-            last = there & (letters[:, i + 1] == 0 if i + 1 < LONGEST else True)
-            self.weight[node[last]] = [words[listed[j]] for j in np.flatnonzero(last)]
-            parent = np.where(there, node, 0)
-        edge = np.concatenate(keys)
-        self.bits = max(4, int(2 * len(edge)).bit_length())
-        self.keys, self.nodes = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
-        left, at = np.arange(len(edge)), self._slot(edge)
-        while len(left):
-            free = self.keys[at] < 0
-            self.keys[at[free]] = edge[left[free]]
-            held = self.keys[at] == edge[left]
-            self.nodes[at[held]] = left[held] + 1
-            left, at = left[~held], (at[~held] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
-        """The node that each letter leads to, 0 where there is none."""
-        key = node << 21 | letter
-        at, out, left = self._slot(key), np.zeros(len(key), np.int64), np.arange(len(key))
-        while len(left):
-            there = self.keys[at]
-            held = there == key
-            out[left[held]] = self.nodes[at[held]]
-            on = ~held & (there >= 0)
-            left, key, at = left[on], key[on], (at[on] + 1) & ((1 << self.bits) - 1)
-        return out
+        for i in range(LONGEST * self.digits):  # words are sorted, so a node's words lie together
+            digit = spelled[:, i]
+            fresh[1:] |= digit[1:] != digit[:-1]
+            new = fresh & (digit < 64)
+            rows = np.flatnonzero(new)
+            goes, child, above = np.zeros(level, np.uint64), np.zeros(level, np.int32), parent[rows]
+            first = np.flatnonzero(np.diff(above, prepend=-1))
+            if len(rows):
+                goes[above[first]] = np.bitwise_or.reduceat(_BIT[digit[rows]], first)
+                child[above[first]] = nodes + first
+            parent = np.cumsum(new, dtype=np.int32) - 1
+            weight, last = np.full(len(rows), NONE, np.int16), (digit < 64) & (spelled[:, i + 1] == 64)
+            weight[parent[last]] = weights[last]
+            self.weight.append(weight), self.goes.append(goes), self.child.append(child)
+            nodes, level = nodes + len(rows), len(rows)
+        self.weight = np.concatenate(self.weight)
+        self.goes = np.concatenate([*self.goes, np.zeros(level, np.uint64)])
+        self.child = np.concatenate([*self.child, np.zeros(level, np.int32)])
+
+    def ranks(self, letters: np.ndarray) -> np.ndarray:
+        return self.rank[np.minimum(letters, len(self.rank) - 1)]
+
+    def step(self, node: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which letters lead on, and the nodes that these lead to."""
+        on = np.arange(len(node))
+        for d in range(self.digits)[::-1]:
+            digit, goes = rank >> 6 * d & 63, self.goes[node]
+            held = goes & _BIT[digit] != 0
+            on, node, rank = on[held], self.child[node[held]] + np.bitwise_count(goes[held] & _BIT[digit[held]] - np.uint64(1)), rank[held]
+        return on, node
+
+
+#: The bit of each digit.
+_BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()])
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.int32)
 
 
 def _matches(letters: np.ndarray, left: np.ndarray, words: Words) -> np.ndarray:
     """[n - 1, p]: the weight of the n letters from p on, NONE for what is no word; ``left`` letters remain in p's run."""
-    found = np.full((LONGEST, len(letters)), NONE, np.int32)
-    at, node = np.arange(len(letters)), np.zeros(len(letters), np.int64)
+    found = np.full((LONGEST, len(letters)), NONE, np.int16)
+    at, node, rank = np.arange(len(letters)), np.zeros(len(letters), np.int32), words.ranks(letters)
     for n in range(LONGEST):
-        on = left[at] > n
-        at, node = at[on], node[on]
-        node = words.step(node, letters[at + n])
-        at, node = at[node > 0], node[node > 0]
+        if n:
+            inside = left[at] > n
+            at, node = at[inside], node[inside]
+        on, node = words.step(node, rank[at + n])
+        at = at[on]
         found[n, at] = words.weight[node]
     return found
 
@@ -162,29 +195,25 @@ def _matches(letters: np.ndarray, left: np.ndarray, words: Words) -> np.ndarray:
 def _best_borders(found: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
     """``_best`` for many stretches at once: the places of borders inside them.
 
-    For each number of words, the best path to each place is (weights, long words, length of the last word), packed in an integer in this order.
-    Rounds end when no more words can win: their score is at most SPREAD / n + 1 and the best sum of any number of words.
+    For each number of words, the best path to each place is (weights, long words, length of the last word), packed in an integer in this order,
+    as ``found`` is. What lies behind a stretch's end has no path back. Rounds end when no more words can win: their score is at most
+    SPREAD / n + 1 and the best sum of any number of words.
     """
-    m, cols = int(sizes.max()), np.arange(len(starts))
-    place = np.minimum(starts + np.arange(m)[:, None], found.shape[1] - 1)
-    step = found[:, place]
-    step[0][step[0] == NONE] = UNKNOWN
-    n_letters = np.arange(1, LONGEST + 1, dtype=np.int32)[:, None, None]
-    outside = (step == NONE) | (np.arange(m)[None, :, None] + n_letters > sizes)
-    most = np.full((m + 1, len(starts)), NONE, np.int32)
-    most[0] = 0
-    plain = np.where(outside, NONE, step)
+    m, cols, lengths = int(sizes.max()), np.arange(len(starts)), np.arange(LONGEST)
+    step = np.take(found, starts + np.arange(m)[:, None], axis=1, mode="clip")
+    plain = step >> 10
+    most = np.zeros((m + 1, len(starts)), np.int32)
     for e in range(1, m + 1):
-        for n in range(1, min(LONGEST, e) + 1):
-            np.maximum(most[e], most[e - n] + plain[n - 1, e - n], out=most[e])
-    step = np.where(outside, NONE * 1024, (step * 64 + (n_letters > 1)) * 16 + n_letters)
+        n = lengths[: min(LONGEST, e)]
+        most[e] = (most[e - 1 - n] + plain[n, e - 1 - n]).max(axis=0)
     now, most = np.full((m + 1, len(starts)), NONE * 1024, np.int32), most[sizes, cols]
     now[0] = 0
     backs, score, words = [], np.full(len(starts), -np.inf), np.zeros(len(starts), np.int64)
     for k in range(1, m + 1):
         then = np.full_like(now, NONE * 1024)
         for n in range(1, min(LONGEST, m - k + 1) + 1):
-            np.maximum(then[k - 1 + n :], now[k - 1 : m + 1 - n] + step[n - 1, k - 1 : m + 1 - n], out=then[k - 1 + n :])
+            past = min(m + 1 - n, LONGEST * (k - 1) + 1)  # beyond it no path of k - 1 words comes
+            np.maximum(then[k - 1 + n : past + n], now[k - 1 : past] + step[n - 1, k - 1 : past], out=then[k - 1 + n : past + n])
         backs.append((then & 15).astype(np.int8))
         now = then & ~15
         if k < least:
@@ -203,31 +232,41 @@ def _best_borders(found: np.ndarray, starts: np.ndarray, sizes: np.ndarray, leas
     return np.concatenate(borders) if borders else np.zeros(0, np.int64)
 
 
-def divided(runs: list[str], words: Words, fine: bool = False) -> list[list[str]]:
-    """``divide``, or ``finer``, for many runs at once."""
-    sizes = np.array([len(r) for r in runs], dtype=np.int64)
-    ends = np.cumsum(sizes)
-    text, size = "".join(runs), int(sizes.sum())
-    if not size:
-        return [[] for _ in runs]
-    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+def _reading(step: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places that a reading from ``at`` touches, in all runs at once; the last few runs go on one by one."""
+    touched, end = np.zeros(len(step), bool), np.zeros(len(step), bool)
+    touched[at], end[ends] = True, True
+    while len(at) > FEW:
+        at = step[at]
+        touched[at] = True
+        at = at[~end[at]]
+    stop = set(ends.tolist()) if len(at) else ()
+    for p in at.tolist():
+        borders = []
+        while not borders or p not in stop:
+            p = step.item(p)
+            borders.append(p)
+        touched[borders] = True
+    return touched
+
+
+def _borders(letters: np.ndarray, ends: np.ndarray, words: Words, fine: bool) -> np.ndarray:
+    """``divide``, or ``finer``, for runs that lie one after the other, none of them empty: whether a word begins or ends at a place."""
+    size, starts = len(letters), np.concatenate([[0], ends[:-1]])
+    sizes = ends - starts
     found = _matches(letters, np.repeat(ends, sizes) - np.arange(size), words)
+    found[0][found[0] == NONE] = UNKNOWN
     border = np.zeros(size + 1, bool)
     border[0] = border[ends] = True
     if fine:
-        a, b = (ends - sizes)[(sizes >= 3) & (sizes <= 10)], ends[(sizes >= 3) & (sizes <= 10)]
+        some = (sizes >= 3) & (sizes <= 10)
+        a, b = starts[some], ends[some]
     else:
-        far, near = np.arange(1, size + 1), np.arange(-1, size)
+        far, near = np.arange(1, size + 2), np.arange(-1, size)
         for n in range(2, LONGEST + 1):
             p = np.flatnonzero(found[n - 1] != NONE)
             far[p], near[p + n] = p + n, p
-        forward, backward = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
-        for reading, step, at, end in ((forward, far.tolist(), 0, size), (backward, near.tolist(), size, 0)):  # no word goes beyond its run
-            borders = [at]
-            while at != end:
-                at = step[at]
-                borders.append(at)
-            reading[borders] = True
+        forward, backward = _reading(far, starts, ends), _reading(near, ends, starts)  # no word goes beyond its run
         common = forward & backward
         met = np.flatnonzero(common)
         for i in np.flatnonzero(np.diff(met) >= PIECE):  # long stretches are cut at borders of the forward reading
@@ -240,50 +279,81 @@ def divided(runs: list[str], words: Words, fine: bool = False) -> list[list[str]
         border |= common
         open_ = ~backward[b] | (count[b - 1] > count[a])
         a, b = a[open_], b[open_]
+    packed = found.astype(np.int32) * 1024 + (np.arange(1, LONGEST + 1, dtype=np.int32) + 16 * (np.arange(LONGEST, dtype=np.int32) > 0))[:, None]
     order = np.argsort(b - a, kind="stable")
     for i in range(0, len(order), BLOCK):
         block = order[i : i + BLOCK]
-        border[_best_borders(found, a[block], (b - a)[block], 2 if fine else 1)] = True
-    places = np.flatnonzero(border).tolist()
-    tokens = [text[x:y] for x, y in zip(places, places[1:], strict=False)]
-    last = np.cumsum(border)[ends] - 1
-    out = [tokens[x:y] for x, y in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
-    return [[r] if fine and len(t) == len(r) else t for r, t in zip(runs, out, strict=True)] if fine else out
+        border[_best_borders(packed, a[block], (b - a)[block], 2 if fine else 1)] = True
+    if fine:  # a word of which only single letters are left stays
+        alone = np.diff(np.cumsum(border)[ends], prepend=1) == sizes
+        border[:-1] &= ~np.repeat(alone, sizes)
+        border[starts] = True
+    return border
+
+
+def _lists(texts: pa.Array, words: Words, fine: bool) -> pa.Array:
+    """The words of each text's runs, which white space parts."""
+    texts = texts.fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    letters, head = _letters(data.tobytes().decode()), (data & 0xC0) != 0x80
+    last = np.concatenate([[0], np.cumsum(head)])[offsets - offsets[0]]  # letters before each text's end
+    space = np.isin(letters, _SPACES)
+    ends = np.concatenate([last, np.flatnonzero(space)])
+    if space.any():
+        before = np.concatenate([[0], np.cumsum(~space)])
+        letters, data, last, ends = letters[~space], data[np.repeat(~space, np.diff(np.flatnonzero(np.append(head, True))))], before[last], before[ends]
+        head = (data & 0xC0) != 0x80
+    ends = np.unique(ends)
+    border = _borders(letters, ends[ends > 0], words, fine) if len(letters) else np.ones(1, bool)
+    at = np.flatnonzero(np.append(head, True))[border].astype(np.int32)
+    tokens = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data.tobytes()))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(border)[last] - 1, pa.int32()), tokens)
+
+
+def in_lists(texts: pa.Array, words: Words, fine: bool = False) -> pa.Array:
+    """The words of each text's runs, some texts at a time."""
+    texts, out = texts.cast(pa.large_string()), []
+    chunk = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) // CHUNK
+    cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(texts)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        out.append(_lists(texts.slice(i, j - i), words, fine))
+    return pa.concat_arrays(out)
 
 
 def in_chunks(texts: Iterable[str | None], words: Words, fine: bool = False) -> list[list[str]]:
-    """The words of each text's runs, some texts at a time."""
-    out: list[list[str]] = []
-    some: list[list[str]] = []
-    letters = 0
-
-    def done():
-        flat = iter(divided([r for rs in some for r in rs], words, fine))
-        out.extend([t for _ in rs for t in next(flat)] for rs in some)
-
-    for text in texts:
-        some.append((text or "").split())
-        letters += len(text or "")
-        if letters >= CHUNK:
-            done()
-            some, letters = [], 0
-    done()
-    return out
+    return in_lists(pa.array(texts, pa.large_string()), words, fine).to_pylist()
 
 
-def segmented(texts: DataFrame, dictionary: DataFrame, text: str, fine: bool = False, small: int = SMALL) -> DataFrame:
-    """texts with ``tokens``: for each run of letters in a text its words, in order. Null texts have none."""
-    weights = dictionary.select("word", weight(F.col("freq")).alias("weight")).where(F.length("word").between(1, LONGEST))
-    work = finer if fine else divide
-    if weights.count() <= small:
-        shared = texts.sparkSession.sparkContext.broadcast(Words(dict(weights.collect())))  # at most ``small`` words
+def divided(runs: list[str], words: Words, fine: bool = False) -> list[list[str]]:
+    """``divide``, or ``finer``, for many runs at once."""
+    return in_chunks(runs, words, fine)
+
+
+def _weights(dictionary: DataFrame) -> DataFrame:
+    return dictionary.select("word", weight(F.col("freq")).alias("weight")).where(F.length("word").between(1, LONGEST))
+
+
+def shared(dictionary: DataFrame, small: int = SMALL) -> Broadcast | None:
+    """The dictionary as it is sent to tasks; None if it has over ``small`` words."""
+    weights = _weights(dictionary)
+    return dictionary.sparkSession.sparkContext.broadcast(Words(weights.toArrow())) if weights.count() <= small else None
+
+
+def segmented(texts: DataFrame, dictionary: DataFrame, text: str, fine: bool = False, small: int = SMALL, sent: Broadcast | None = None) -> DataFrame:
+    """texts with ``tokens``: for each run of letters in a text its words, in order. Null texts have none.
+
+    ``sent`` is the dictionary as ``shared`` gives it, for those who divide several tables.
+    """
+    sent = sent or shared(dictionary, small)
+    if sent is not None:
 
-        @F.pandas_udf("array<string>")
-        def words_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def words_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for part in parts:
-                yield pd.Series(in_chunks(part, shared.value, fine))
+                yield in_lists(part, sent.value, fine)
 
-        return texts.withColumn("tokens", words_of(F.col(text)))
+        return texts.withColumn("tokens", F.arrow_udf(words_of, "array<string>")(F.col(text)))
+    weights, work = _weights(dictionary), finer if fine else divide
     rows = texts.withColumn("seg_id", F.monotonically_increasing_id())
     distinct = rows.select(F.col(text).alias("seg_text")).where("length(seg_text) > 0").distinct()
     at = distinct.select("seg_text", F.explode(F.sequence(F.lit(1), F.length("seg_text"))).alias("p"))

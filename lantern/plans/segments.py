@@ -40,7 +40,7 @@ def dictionary(docs: DataFrame) -> DataFrame:
 def runs(docs: DataFrame, id: str) -> DataFrame:
     """(id, part, run): the letters of each sentence."""
     parts = docs.select(id, F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[.\n]")).alias("part", "text"))
-    return parts.select(id, "part", F.regexp_replace("text", r"[^\p{L}]+", "").alias("run")).where("length(run) > 0")
+    return parts.where(F.col("text").rlike(r"\p{L}")).select(id, "part", F.regexp_replace("text", r"[^\p{L}]+", "").alias("run"))
 
 
 @query(rf"""WITH RECURSIVE {_DICT}, {_RUNS}, {_MATCHES},

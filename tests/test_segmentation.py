@@ -1,9 +1,11 @@
 import itertools
 import math
+import pickle
 import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lantern.operators import dense, segmentation as S
 
@@ -110,3 +112,29 @@ def test_blocks_of_queries_and_rows_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(dense, "QUERIES", 6)
     monkeypatch.setattr(dense, "ROWS", 32)
     assert sorted(map(tuple, dense.knn(q, v, "q", "id", "v", 7).collect())) == one and len(one) == 140
+
+
+def test_large_dictionaries_take_little_room_and_are_not_joined(spark, capsys):
+    rng = random.Random(7)
+    words = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyzéèçñ") for _ in range(rng.randint(4, 12))): -12 for _ in range(100_000)}
+    assert len(pickle.dumps(S.Words(words))) < 90 * len(words)  # 73 were measured, 147 as a hash table
+    letters = F.translate(F.conv(F.col("id").cast("string"), 10, 20), "0123456789", "klmnopqrst")
+    dictionary = spark.range(2_100_000).select(F.lower(letters).alias("word"), F.lit(5).alias("freq"), F.lit("").alias("tag"))
+    texts = spark.createDataFrame([("lkab", ["lkab"]), ("bbbbbbxy", ["b" * 5, "b", "x", "y"])], "run string, want array<string>")
+    out = S.segmented(texts, dictionary, "run")
+    assert [r["tokens"] for r in out.where("run = 'lkab'").collect()] == [["lkab"]] and all("".join(r["tokens"]) == r["run"] for r in out.collect())
+    out.explain()
+    assert "Join" not in capsys.readouterr().out
+
+
+def test_large_alphabets_and_white_space_as_one_by_one(monkeypatch):
+    rng = random.Random(8)
+    for alphabet in ("abé", "".join(map(chr, range(0x4E00, 0x4E46))) + "ab𝒳", "".join(map(chr, range(0x4E00, 0x6000)))):
+        for few, chunk in ((0, 50), (100, 1 << 17)):
+            monkeypatch.setattr(S, "FEW", few)
+            monkeypatch.setattr(S, "CHUNK", chunk)
+            words = {"".join(rng.choice(alphabet) for _ in range(rng.choice([1, 1, 2, 2, 3, 12]))): rng.randint(-13, 3) for _ in range(300)}
+            held = list(words)
+            runs = ["".join(rng.choices(held, k=rng.randint(0, 9)) + rng.choices(alphabet + "d", k=rng.randint(0, 3))) for _ in range(40)]
+            texts = [" ".join(rng.choices(runs, k=rng.randint(0, 4))) + rng.choice(["", " ", "　", " \n"]) for _ in range(30)] + [None, "", " "]
+            assert S.in_chunks(texts, S.Words(words)) == [[w for r in (t or "").split() for w in S.divide(r, words)] for t in texts]
