@@ -73,10 +73,18 @@ def segmented_bm25(spark, d):
     """BM25 of items in documents, both written without spaces, over the words that segmentation finds."""
     docs = table(spark, d, "documents")
     words = written(dictionary(docs), "dictionary")
+    sent = S.shared(words)
+
+    def runs_of(rows, id):
+        lower = F.lower(F.coalesce("text", F.lit("")))
+        run = F.translate(F.regexp_replace(lower, r"[^\p{L}.\n]+", ""), ".\n", "  ")  # sentences' runs
+        return S.segmented(rows.where(lower.rlike(r"\p{L}")).select(id, run.alias("run")), words, "run", sent=sent)
 
     def spaced(rows, id):
-        found = S.segmented(runs(rows, id), words, "run")
-        return found.groupBy(id).agg(F.array_join(F.flatten(F.collect_list("tokens")), " ").alias("text"))
+        """The words of each id; only rows of repeated ids are put together."""
+        single, several = lexical.by_id(rows.select(id, "text"), id)
+        found = runs_of(single, id).select(id, F.array_join("tokens", " ").alias("text"))
+        return found if several is None else found.unionByName(runs_of(several, id).groupBy(id).agg(F.array_join(F.flatten(F.collect_list("tokens")), " ").alias("text")))
 
     items, texts = (written(spaced(rows, id), id) for rows, id in ((table(spark, d, "benchmark"), "item_id"), (docs, "doc_id")))
     return lexical.bm25(items, texts, "item_id", "doc_id")

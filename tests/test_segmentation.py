@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lantern.operators import dense, segmentation as S
+from lantern.plans import segments
 
 
 def plain_best(run, words, least=1):
@@ -138,3 +139,29 @@ def test_large_alphabets_and_white_space_as_one_by_one(monkeypatch):
             runs = ["".join(rng.choices(held, k=rng.randint(0, 9)) + rng.choices(alphabet + "d", k=rng.randint(0, 3))) for _ in range(40)]
             texts = [" ".join(rng.choices(runs, k=rng.randint(0, 4))) + rng.choice(["", " ", "　", " \n"]) for _ in range(30)] + [None, "", " "]
             assert S.in_chunks(texts, S.Words(words)) == [[w for r in (t or "").split() for w in S.divide(r, words)] for t in texts]
+
+
+def test_words_of_documents_are_not_shuffled_but_those_of_repeated_ids(spark, tmp_path, monkeypatch, capsys):
+    def search(rows):
+        at = str(tmp_path / str(len(rows)))
+        spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, "Old dog. Cat, new fish"), (2, None), (3, "tree tree")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        kept = {}
+
+        def written(df, name):
+            df.explain()
+            plan = capsys.readouterr().out
+            df = df.localCheckpoint()
+            kept[name] = (plan, df)
+            return df
+
+        monkeypatch.setattr(segments, "written", written)
+        found = [tuple(r) for r in segments.segmented_bm25(spark, at).collect()]
+        return found, {k: (plan, sorted(((r[0], sorted(r["text"].split())) for r in df.collect()), key=str)) for k, (plan, df) in kept.items() if k != "dictionary"}
+
+    rows = [(1, "The old dog. The cat\nand a fish", "en"), (2, "new fish, new dog; the tree", "en"), (3, "12 ... !", "en"), (4, None, None), (5, "old dog the cat a fish new tree and", "en")]
+    found, tables = search(rows)
+    assert found and all("Exchange" not in plan for plan, _ in tables.values()) and [i for i, _ in tables["doc_id"][1]] == [1, 2, 5] and [i for i, _ in tables["item_id"][1]] == [1, 3]
+    again, more = search([*rows, (1, "new tree", "en"), (3, "...", "en"), (None, "cat", "en"), (None, "dog", "en")])
+    texts = dict(more["doc_id"][1])
+    assert again and sorted(texts, key=str) == [1, 2, 5, None] and texts[1] == sorted([*dict(tables["doc_id"][1])[1], "new", "tree"]) and texts[None] == ["cat", "dog"]
