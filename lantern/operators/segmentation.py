@@ -116,11 +116,12 @@ class Words:
     def __init__(self, words: Mapping[str, int] | pa.Table):
         if not isinstance(words, pa.Table):
             words = pa.table({"word": pa.array(list(words), pa.string()), "weight": pa.array(list(words.values()), pa.int16())})
-        size = pc.utf8_length(words["word"])
-        words = words.filter(pc.and_(pc.greater(size, 0), pc.less_equal(size, LONGEST))).sort_by("word").combine_chunks()
-        size, texts = pc.utf8_length(words["word"]).to_numpy(), words["word"]
-        some = [slice(i, i + SLICE) for i in range(0, len(size), SLICE)]
-        spelling = lambda x: _letters("".join(texts[x].to_pylist()))
+        texts, size = words["word"], pc.utf8_length(words["word"]).to_numpy()
+        order = pc.sort_indices(texts).to_numpy()
+        order = order[(size[order] > 0) & (size[order] <= LONGEST)]
+        size, weights = size[order], words["weight"].to_numpy().astype(np.int16)[order]
+        some = [slice(i, i + SLICE) for i in range(0, len(order), SLICE)]
+        spelling = lambda x: _letters("".join(texts.take(order[x]).to_pylist()))
         used = np.zeros(1 << 21, bool)
         for x in some:
             used[spelling(x)] = True
@@ -133,7 +134,6 @@ class Words:
             rank, held = self.ranks(spelling(x)), np.arange(LONGEST) < size[x, None]
             for d in range(self.digits):
                 spelled[x, d : LONGEST * self.digits : self.digits][held] = rank >> 6 * (self.digits - 1 - d) & 63
-        weights = words["weight"].to_numpy().astype(np.int16)
         parent, fresh, nodes, level = np.zeros(len(size), np.int32), np.zeros(len(size), bool), 1, 1
         self.weight, self.goes, self.child = [np.full(1, NONE, np.int16)], [], []
         fresh[:1] = True
