@@ -26,9 +26,9 @@ DENOMINATOR, UNKNOWN, SPREAD = 1_000_000, -12, 30
 #: Letters of a stretch, letters of a word, words of a dictionary that is broadcast.
 PIECE, LONGEST, SMALL = 48, 12, 16_000_000
 #: The weight of what is no word, in arrays; letters that are read at once, stretches that are divided at once.
-NONE, CHUNK, BLOCK = -(1 << 15), 1 << 18, 512
+NONE, CHUNK, BLOCK = -(1 << 15), 1 << 17, 512
 #: Runs that are read one by one, words that are spelled at once.
-FEW, SLICE = 24, 500_000
+FEW, SLICE = 64, 500_000
 
 
 def weight(freq: Column) -> Column:
@@ -161,11 +161,13 @@ class Words:
 
     def step(self, node: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which letters lead on, and the nodes that these lead to."""
-        on = np.arange(len(node))
+        on = None
         for d in range(self.digits)[::-1]:
-            digit, goes = rank >> 6 * d & 63, self.goes[node]
-            held = goes & _BIT[digit] != 0
-            on, node, rank = on[held], self.child[node[held]] + np.bitwise_count(goes[held] & _BIT[digit[held]] - np.uint64(1)), rank[held]
+            goes, bit = self.goes.take(node), _BIT.take(rank if self.digits == 1 else rank >> 6 * d & 63)
+            held = np.flatnonzero(goes & bit)
+            goes, bit = goes.take(held), bit.take(held)
+            node = self.child.take(node.take(held)) + np.bitwise_count(goes & bit - np.uint64(1))
+            on, rank = held if on is None else on.take(held), rank if d == 0 else rank.take(held)
         return on, node
 
 
@@ -181,14 +183,14 @@ def _letters(text: str) -> np.ndarray:
 def _matches(letters: np.ndarray, left: np.ndarray, words: Words) -> np.ndarray:
     """[n - 1, p]: the weight of the n letters from p on, NONE for what is no word; ``left`` letters remain in p's run."""
     found = np.full((LONGEST, len(letters)), NONE, np.int16)
-    at, node, rank = np.arange(len(letters)), np.zeros(len(letters), np.int32), words.ranks(letters)
+    at, node, rank, left = np.arange(len(letters)), np.zeros(len(letters), np.int32), words.ranks(letters), np.minimum(left, LONGEST).astype(np.int8)
     for n in range(LONGEST):
         if n:
-            inside = left[at] > n
-            at, node = at[inside], node[inside]
-        on, node = words.step(node, rank[at + n])
-        at = at[on]
-        found[n, at] = words.weight[node]
+            inside = np.flatnonzero(left.take(at) > n)
+            at, node = at.take(inside), node.take(inside)
+        on, node = words.step(node, rank.take(at + n))
+        at = at.take(on)
+        found[n][at] = words.weight.take(node)
     return found
 
 
@@ -208,27 +210,30 @@ def _best_borders(found: np.ndarray, starts: np.ndarray, sizes: np.ndarray, leas
         most[e] = (most[e - 1 - n] + plain[n, e - 1 - n]).max(axis=0)
     now, most = np.full((m + 1, len(starts)), NONE * 1024, np.int32), most[sizes, cols]
     now[0] = 0
-    backs, score, words = [], np.full(len(starts), -np.inf), np.zeros(len(starts), np.int64)
+    backs, live, score, words = [], cols, np.full(len(starts), -np.inf), np.zeros(len(starts), np.int64)
     for k in range(1, m + 1):
         then = np.full_like(now, NONE * 1024)
         for n in range(1, min(LONGEST, m - k + 1) + 1):
             past = min(m + 1 - n, LONGEST * (k - 1) + 1)  # beyond it no path of k - 1 words comes
             np.maximum(then[k - 1 + n : past + n], now[k - 1 : past] + step[n - 1, k - 1 : past], out=then[k - 1 + n : past + n])
-        backs.append((then & 15).astype(np.int8))
+        backs.append((live, (then & 15).astype(np.int8)))
         now = then & ~15
         if k < least:
             continue
-        end = now[sizes, cols] >> 4
+        end = now[sizes[live], cols[: len(live)]] >> 4
         new = np.where(end > NONE * 32, np.round((SPREAD + (end & 63)) / k + (end >> 6), 9), -np.inf)
-        better = new > score
-        score, words = np.where(better, new, score), np.where(better, k, words)
-        if (SPREAD / (k + 1) + 1 + most <= score - 1e-6).all():
+        better = new > score[live]
+        score[live[better]], words[live[better]] = new[better], k
+        on = np.flatnonzero(SPREAD / (k + 1) + 1 + most[live] > score[live] - 1e-6)
+        if not len(on):
             break
+        if len(on) < 0.7 * len(live):  # the others are settled
+            live, now, step = live[on], now[:, on], step[:, :, on]
     at, borders = sizes.copy(), []
     for k in range(int(words.max()), 1, -1):
-        on = words >= k
-        at[on] -= np.array(backs[k - 1])[at[on], cols[on]]
-        borders.append((starts + at)[on])
+        on, (live, back) = np.flatnonzero(words >= k), backs[k - 1]
+        at[on] -= back[at[on], np.searchsorted(live, on)]
+        borders.append(starts[on] + at[on])
     return np.concatenate(borders) if borders else np.zeros(0, np.int64)
 
 
